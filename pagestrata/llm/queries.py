@@ -7,13 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import quality, sharding, toxicity, urlrules, warc
+from pagestrata.llm import decontaminate, jaccard, packing, quality, sharding, substrings, toxicity, urlrules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removals(_table(spark, sf_dir, "documents"))
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -27,6 +39,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(warc.write_pages(_table(spark, sf_dir, "pages")))
 
@@ -42,7 +58,7 @@ def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_toxicity, op6_sharding, op7_quality, op9_warc, op10_urlrules)
+    f.__name__: f for f in (op1_packing, op2_substrings, op3_decontaminate, op5_toxicity, op6_sharding, op7_quality, op8_jaccard, op9_warc, op10_urlrules)
 }
 
 ORACLES: dict[str, str] = {

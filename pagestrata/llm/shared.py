@@ -67,7 +67,7 @@ def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Spark's estimate of the input's stored bytes; counted where Spark has none."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size < UNKNOWN_BYTES:
         return size
     return 64 * df.count()
