@@ -38,6 +38,13 @@ def shingles(listed: Column) -> Column:
     return F.when(F.size(listed) >= SHINGLE, F.transform(F.sequence(F.lit(0), F.size(listed) - SHINGLE), lambda i: F.xxhash64(*(at(i, k) for k in range(SHINGLE))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def shingled(df: DataFrame, *carry: str | Column) -> DataFrame:
+    """The ``carry`` columns and ``hashes``. Words and hashes pass through a one-row explode each: filters on them are not pushed below it, where they would be computed again."""
+    listed = df.select(*carry, F.explode(F.array(words(F.col("text")))).alias("word_list"))
+    kept = [c for c in listed.columns if c != "word_list"]
+    return listed.select(*kept, F.explode(F.array(shingles(F.col("word_list")))).alias("hashes"))
+
+
 def simhash(hashes: Column) -> Column:
     """The bits that more shingles have than have not."""
     votes = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.struct(b.alias("b"), F.aggregate(hashes, F.lit(0), lambda a, h: a + F.getbit(h, b).cast("int") * 2 - 1).alias("v")))
@@ -64,12 +71,12 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (a hash of the text), item, start and length in shingles, similarity: windows that hold an item."""
-    items = benchmark.select(F.col("item_id"), shingles(words(F.col("text"))).alias("hashes")).where(F.size("hashes") > 0)
+    items = shingled(benchmark, "item_id").where(F.size("hashes") > 0)
     items = items.select(F.struct("item_id").alias("item"), "hashes", F.size("hashes").alias("m"), simhash(F.col("hashes")).alias("print"))
     items = written(items, "items")
     vocabulary = items.select("item", "m", F.ceil(F.col("m") * similarity - 1e-9).cast("int").alias("need"), F.explode(F.array_distinct("hashes")).alias("h"))
 
-    text = docs.select("doc_id", F.xxhash64("text").alias("fp"), shingles(words(F.col("text"))).alias("hashes"))
+    text = shingled(docs, "doc_id", F.xxhash64("text").alias("fp"))
     spread = text.select("doc_id", "fp", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h"))
     met = spread.join(small_or_plain(vocabulary), "h")
     lists = met.groupBy("doc_id", "fp", "n", "item", "m", "need").agg(F.sort_array(F.collect_set("pos")).alias("at")).where(F.size("at") >= F.col("need"))
@@ -80,7 +87,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     windows = written(windows, "windows").withColumnsRenamed({"doc_id": "own_id", "fp": "own_fp"})
 
     held = docs.select("doc_id", "text").join(small_or_plain(windows), F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64("text") == F.col("own_fp")))
-    held = held.select("doc_id", F.col("own_fp").alias("fp"), "windows", shingles(words(F.col("text"))).alias("hashes")).dropDuplicates(["doc_id", "fp"])
+    held = shingled(held, "doc_id", F.col("own_fp").alias("fp"), "windows").dropDuplicates(["doc_id", "fp"])
     held = held.select("doc_id", "fp", "hashes", F.explode("windows").alias("w")).select("doc_id", "fp", "w.m", "w.start", F.slice("hashes", F.col("w.start") + 1, F.col("w.m")).alias("part"))
     printed = written(held.withColumn("print", simhash(F.col("part"))), "prints")
 

@@ -48,16 +48,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: DataFrame) -> None:
-    """Delete the tables written so far, but for those that ``keep`` still reads."""
-    used = set(keep.inputFiles())
+def paths_since(mark: int) -> list[str]:
+    """The paths made after the first ``mark`` ones; ``paths_since(0)`` has them all."""
+    return _WRITTEN[mark:]
+
+
+def release(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Delete these paths, but for those that ``keep`` still reads."""
+    used = keep.inputFiles()
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _WRITTEN[:]:
-        tail = path.split("://")[-1]
-        if not any(tail in u for u in used):
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        if not any(name in u for u in used):
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
-            _WRITTEN.remove(path)
 
 
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
