@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from pagestrata.functions import digests, ids, text, times, urls
 from pagestrata.operators import classify, extract, invariants, lineage, matching, rollups, sequences
 from pagestrata.plans.adapters import adapt, table
+from pagestrata.sources import bundle
+from pagestrata.storage import new_path
+from pagestrata.streaming import routes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -379,3 +383,45 @@ def chain_coverage(spark, d):
     state = adapt(spark, d, "state").withColumn("gaps", F.when(F.col("contiguous"), F.array().cast("array<string>")).otherwise(F.array(F.lit("gap"))))
     out = lineage.chain_coverage(state)
     return out.select("route_key", "newest", "oldest", F.array_join("bundles", ",").alias("bundles"), "contiguous", "holes", F.size("gaps").alias("n_gaps"))
+
+
+# --- archives and streams ---------------------------------------------------------------------------------------------
+
+
+@query
+def warc_roundtrip(spark, d):
+    """Pages written as segments and read back by their index."""
+    folder, index_path = new_path(spark, "segments"), new_path(spark, "index")
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("seq"), "url", F.col("html").cast("binary").alias("body"))
+    index = bundle.write_captures(pages, folder, index_path, lanes=8, limit=1 << 22)
+    read = bundle.read_captures(index, folder)
+    return read.select(F.col("seq").alias("page_id"), "url", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("sha256"))
+
+
+def _event_stream(spark, d):
+    """The table as a stream of its files; its folder of links is made so that a single file can be a source."""
+    source = table(spark, d, "events")
+    folder = new_path(spark, "event-stream")
+    source.repartitionByRange(4, "event_id").write.parquet(folder)
+    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+
+
+@query
+def stream_event_window(spark, d):
+    counts = routes.event_windows(_event_stream(spark, d))
+    name = f"windows_{uuid.uuid4().hex}"
+    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query
+def stream_route_state(spark, d):
+    """Each route's last state, after its events came in micro-batches and each batch's run ended."""
+    rows = _event_stream(spark, d).select(
+        (F.col("user_id") % 20).cast("string").alias("route_key"), F.when(F.col("event_id") % 50 == 49, "end").when(F.col("event_id") % 400 == 7, "gap").otherwise("page").alias("kind"),
+        F.floor(F.col("event_id") / 10).alias("page"), (F.col("event_id") % 37).alias("id"), F.col("event_id").alias("ts"))
+    out = new_path(spark, "route-state")
+    put = lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/part={k}")
+    routes.route_state(rows).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    states = spark.read.parquet(out)
+    return states.groupBy("route_key").agg(F.max_by(F.struct("high_water", "low_water", "gaps", "pages", "items", "stalled"), "batch").alias("s")).select("route_key", "s.*")

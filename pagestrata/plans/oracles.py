@@ -218,4 +218,6 @@ holes AS (SELECT s.route_key, count(*) AS holes FROM s LEFT JOIN s f ON s.floor_
 total AS (SELECT route_key, max(high_water_time) AS newest, min(low_water_time) AS oldest, string_agg(bundle_id, ',' ORDER BY pos) AS bundles, CAST(sum(CASE WHEN contiguous THEN 0 ELSE 1 END) AS INTEGER) AS n_gaps FROM s GROUP BY 1)
 SELECT t.route_key, t.newest, t.oldest, t.bundles, t.route_key IN (SELECT route_key FROM proof WHERE contiguous AND floor_time IS NULL) AND coalesce(h.holes, 0) = 0 AS contiguous, coalesce(h.holes, 0) AS holes, t.n_gaps
 FROM total t LEFT JOIN holes h ON t.route_key = h.route_key""",
+    "warc_roundtrip": "SELECT page_id, url, CAST(strlen(html) AS INTEGER) AS bytes, sha256(html) AS sha256 FROM pages",
+    "stream_event_window": "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }
