@@ -13,13 +13,17 @@ a word of any length is tokenised whole; an empty table has no pieces; extra col
 
 from __future__ import annotations
 
+import bisect
 import heapq
+import json
 import math
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +33,12 @@ from pagestrata.llm.shared import input_bytes
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-GROUP_BYTES = 2 << 20
-#: Words whose ids a worker keeps; rarer ones are tokenised again in each slice.
+GROUP_BYTES = 1 << 20
+#: Words whose ids a worker keeps, from one task to the next; others are tokenised each time.
 CACHED_WORDS = 200_000
 
 _TOKENIZERS: dict = {}
+_WORDS: dict = {}
 
 
 def tokenizer(path: str | None = None):
@@ -49,29 +54,90 @@ def tokenizer(path: str | None = None):
     return _TOKENIZERS[path]
 
 
+class _Known(dict):
+    """Ids of words as bytes; a word that isn't known is looked up, and kept while there is room."""
+
+    def __init__(self, look_up, kind: str):
+        self.look_up, self.code = look_up, "H" if kind == "<u2" else "I"
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = array(self.code, self.look_up(word)).tobytes()
+        if len(self) < CACHED_WORDS:
+            self[word] = found
+        return found
+
+
 class WordIds:
-    """Ids of texts as bytes, from the ids of their words between ASCII white space."""
+    """Ids of texts as bytes.
+
+    For a word-level BPE (lower case, white space dropped, words ending in an end mark) a text is split at ASCII white space,
+    which no token crosses, and each distinct word is looked up once: its merges are done by a rank-ordered merger, with the end
+    mark as a byte that UTF-8 never has. Words beyond Latin letters, and special tokens, are left to the tokenizer itself, and so
+    are all texts of other kinds of tokenizers. The ids are the same either way.
+    """
 
     def __init__(self, path: str | None, kind: str):
-        self.tokenizer, self.kind, self.known = tokenizer(path), kind, {}
+        self.tokenizer, self.kind, self.known = tokenizer(path), kind, _Known(self._word, kind)
+        self.merge = _merger(self.tokenizer)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
-        fresh = list(new)
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, self.kind).tobytes()
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        if len(self.known) > CACHED_WORDS:
-            for word in fresh:
-                del self.known[word]
-        return out
+        if self.merge is None:
+            found = self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)
+            return [np.array(f.ids, self.kind).tobytes() for f in found]
+        look = self.known.__getitem__
+        return [b"".join(map(look, (t if SPECIAL in t else t.lower()).split())) for t in texts]
+
+    def _word(self, word: bytes) -> list[int]:
+        merge = self.merge
+        text = word.decode()
+        if max(text) > LAST_PLAIN or SPECIAL in word:
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        low = text.lower()  # up to LAST_PLAIN, all text is in form C and lower case does not depend on neighbours
+        core = low.rstrip(STOPS)
+        if not core or core.isalpha():
+            tail = low[len(core) :]
+            return (merge(core.encode() + END_MARK) if core else []) + (merge(tail.encode() + END_MARK) if tail else [])
+        return [i for piece in PIECES.findall(low) for i in merge(piece.encode() + END_MARK)]
+
+
+# fixed values: how the word-level tokenizer splits, and its end mark
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
+PIECES = regex.compile(PATTERN)
+END_MARK = b"\xff"
+STOPS = ".,!?;:#*$%&"
+SPECIAL = b"<|"
+LAST_PLAIN = "\u024f"
+
+
+def _merger(tokens):
+    """A function from a word's bytes and the end mark to its ids; None for other kinds of tokenizers."""
+    told = json.loads(tokens.to_str())
+    model = told["model"]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END or PATTERN not in json.dumps(told["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\"):
+        return None
+    import tiktoken
+
+    byte_of, spare = {}, 0
+    for byte in range(256):
+        if 33 <= byte <= 126 or 161 <= byte <= 172 or byte >= 174:
+            byte_of[chr(byte)] = byte
+        else:
+            byte_of[chr(256 + spare)] = byte
+            spare += 1
+    special = {t["content"] for t in told["added_tokens"]}
+    ranks = {}
+    for token, rank in model["vocab"].items():
+        if token not in special:
+            ends = token.endswith(WORD_END) and token != WORD_END
+            ranks[bytes(byte_of[c] for c in (token[: -len(WORD_END)] if ends else token)) + END_MARK * ends] = rank
+    if len(set(ranks.values())) != len(ranks):
+        return None
+    return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str | None, kind: str) -> Iterator[pa.RecordBatch]:
-    words = WordIds(path, kind)
+    words = _WORDS.get((path, kind)) or _WORDS.setdefault((path, kind), WordIds(path, kind))
     end = np.array([END_ID], kind).tobytes()
     for batch in batches:
         for lo, hi, data, offs in ts.utf8_slices(batch.column(2)):
@@ -81,19 +147,26 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str | None, kind: str) ->
 
 
 def difference(sizes: list[int], windows: int) -> list[list[int]]:
-    """Karmarkar-Karp: the items of each of ``windows`` windows. A partition lists its windows that have items, the fullest first."""
-    heap: list = [(-s, i, [(s, i, (i,))]) for i, s in enumerate(sizes)]
+    """Karmarkar-Karp: the items of each of ``windows`` windows. A partition lists its windows that have items as (-sum, turn, items), the fullest first."""
+    heap: list = [(-s, i, [(-s, i, (i,))]) for i, s in enumerate(sizes)]
     heapq.heapify(heap)
     turn = len(sizes)
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
+        if len(a) < len(b):
+            a, b = b, a
         over = max(0, len(a) + len(b) - windows)
         cut = len(a) - over
-        merged = [(x[0] + y[0], min(x[1], y[1]), x[2] + y[2]) for x, y in zip(a[cut:], reversed(b[len(b) - over :]), strict=True)]
-        merged = sorted(a[:cut] + b[: len(b) - over] + merged, key=lambda w: (-w[0], w[1]))
-        spread = merged[0][0] - (merged[-1][0] if len(merged) == windows else 0)
-        heapq.heappush(heap, (-spread, turn, merged))
+        joined = [(x[0] + y[0], min(x[1], y[1]), x[2] + y[2]) for x, y in zip(a[cut:], reversed(b[len(b) - over :]), strict=True)]
+        del a[cut:]
+        joined += b[: len(b) - over]
+        if len(joined) == 1:
+            bisect.insort(a, joined[0])
+        else:
+            a = sorted(a + joined)
+        spread = (a[-1][0] if len(a) == windows else 0) - a[0][0]
+        heapq.heappush(heap, (-spread, turn, a))
         turn += 1
     full = [list(w[2]) for w in heap[0][2]] if heap else []
     return full + [[] for _ in range(windows - len(full))]
