@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SETTING = "spark.checkpoint.dir"
+from pagestrata import storage
+
 #: Sizes beyond this are Spark's way of saying that it doesn't know.
 UNKNOWN_BYTES = 1 << 60
 #: Rows of a few numbers each that every executor can hold.
@@ -18,24 +17,9 @@ BROADCAST_ROWS = 1_000_000
 _WRITTEN: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of this machine only where none is named and Spark runs in this process."""
-    named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError(f"{SETTING} must name a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="pagestrata-")
-    spark.conf.set(SETTING, own)
-    return own
-
-
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; it is removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/pagestrata/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    """A fresh path in the shared folder, which is remembered for ``release``."""
+    path = storage.new_path(spark, label)
     _WRITTEN.append(path)
     return path
 

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.llm.shared import new_path, written
 from pagestrata.sources import warcfile as wf
+from pagestrata.storage import filesystem
 
 SEGMENT_BYTES = 256 << 20
 CHUNK = 1 << 18
@@ -57,12 +57,6 @@ def page_record(page_id: int | None, url: str | None, payload: bytes, refers_to:
     return wf.record("revisit" if revisit else "response", record_id(page_id), DATE, block, "application/http; msgtype=response", headers)
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{os.path.abspath(uri)}")
-
-
 class _Segments:
     """The segments that one task writes."""
 
@@ -75,7 +69,7 @@ class _Segments:
         if self.out and self.out[2] and self.out[1] + len(data) > self.limit:
             self.close()
         if not self.out:
-            files, root = _filesystem(self.folder)
+            files, root = filesystem(self.folder)
             files.create_dir(root, recursive=True)
             name = f"{self.name}-{len(self.done):05d}.warc.gz"
             self.out = [files.open_output_stream(f"{root}/{name}", compression=None), 0, 0, f"{self.folder}/{name}"]
@@ -206,7 +200,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
     for batch in batches:
         for path in batch.column(0).to_pylist():
-            files, inner = _filesystem(path)
+            files, inner = filesystem(path)
             with files.open_input_stream(inner, compression=None) as stream:
                 rows = []
                 for e in read_records(stream):
