@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagestrata.llm import decontaminate, jaccard, packing, quality, sharding, substrings, toxicity, urlrules, warc
+from pagestrata.llm import decontaminate, jaccard, packing, quality, sharding, substrings, suffixes, toxicity, urlrules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removals(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -58,7 +62,7 @@ def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_substrings, op3_decontaminate, op5_toxicity, op6_sharding, op7_quality, op8_jaccard, op9_warc, op10_urlrules)
+    f.__name__: f for f in (op1_packing, op2_substrings, op3_decontaminate, op4_suffixes, op5_toxicity, op6_sharding, op7_quality, op8_jaccard, op9_warc, op10_urlrules)
 }
 
 ORACLES: dict[str, str] = {
