@@ -199,14 +199,18 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
         true = [b""] * len(names)
         for r, name in zip(have, _set_keys(hashes, at, np.searchsorted(at, have)), strict=True):
             true[r] = name.ljust(16, b"\0")
-        good = np.array([name == key and name not in names[max(0, r - 1) : r] for r, (name, key) in enumerate(zip(names, true, strict=True))])
+        good, last = np.zeros(len(names), bool), None
+        for r, (name, found) in enumerate(zip(names, true, strict=True)):
+            good[r] = name == found and name != last
+            last = name if good[r] else last
         spot = np.cumsum(good) - 1
         own = good[at]
         hashes, at, good = hashes[own], spot[at[own]], np.flatnonzero(good)
-        if not good.size:
-            return []
+        sides = np.array(block, np.int64)[good]
+        if not good.size or (key[1] != key[2] and (sides == sides[0]).all()):
+            return []  # nothing there, or only one of two blocks
         names = [names[r] for r in good]
-        return _verify_group(names, np.bincount(at, minlength=len(names)), np.array(copies, np.int64)[good], np.array(block, np.int64)[good], hashes, at, similarity)
+        return _verify_group(names, np.bincount(at, minlength=len(names)), np.array(copies, np.int64)[good], sides, hashes, at, similarity)
 
     rows: list[tuple] = []
     for batch in batches:
