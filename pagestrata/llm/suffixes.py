@@ -37,6 +37,8 @@ SPAN = WINDOW - ANCHOR + 1
 WORD = 8
 ROUNDS = WINDOW // WORD + 1
 SHARD_SYMBOLS = 1 << 16
+#: Text that is compared at a time; a single anchor's segments may be more.
+BATCH_BYTES = 1 << 20
 GROUP_BYTES = 4 << 20
 U64 = np.uint64
 FULL, SHIP = U64(1), U64(2)
@@ -256,8 +258,23 @@ def repeated_starts(text: np.ndarray, lengths: np.ndarray, anchors: np.ndarray)
     return out
 
 
+def _repeated_runs(text: np.ndarray, lengths: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment, first byte, end) of the repeated runs in segments laid end to end, counted within each."""
+    inside = ts.covered(np.flatnonzero(repeated_starts(text, lengths, anchors)), WINDOW, text.size)
+    ends = np.cumsum(lengths)
+    edge = np.zeros(text.size + 1, bool)
+    edge[0] = edge[ends] = True
+    begins, stops = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1] | edge[1:-1]
+    stops[:-1] &= ~inside[1:] | edge[1:-1]
+    lo, hi = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    which = np.searchsorted(ends, lo, side="right")
+    base = ends[which] - lengths[which]
+    return which, lo - base, hi - base
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """One hash range: the repeated runs of each segment that is not repeated as it is."""
+    """One hash range: the repeated runs of each segment that is not repeated as it is. Anchors are taken together up to BATCH_BYTES, each whole."""
     groups = table.column("g").to_numpy()
     keys = [blobs.unpack(x.as_py()) for x in table.column("keys")]
     owner = np.repeat(np.arange(len(keys)), [x.size for x in keys])
@@ -266,23 +283,28 @@ def _compare(table: pa.Table) -> pa.Table:
     if not keys.size:
         return _ANSWER.empty_table()
     lengths, anchors = (meta >> U64(32)).astype(np.int64), (meta & U64(0xFFFFFFFF)).astype(np.int64)
-    ends = np.cumsum(lengths)
     firsts = np.concatenate([[0], np.flatnonzero(owner[1:] != owner[:-1]) + 1])
     sizes = np.add.reduceat(lengths, firsts)
     text = np.frombuffer(b"".join(pa.decompress(x.as_py(), decompressed_size=int(n), codec="zstd", asbytes=True) for x, n in zip(table.column("texts"), sizes, strict=True)), np.uint8)
-    inside = ts.covered(np.flatnonzero(repeated_starts(text, lengths, anchors)), WINDOW, text.size)
-    segment = np.repeat(np.arange(keys.size), lengths)
-    inside &= (keys & FULL == 0)[segment]
-    edge = np.zeros(text.size + 1, bool)
-    edge[:-1] = inside
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1] | (segment[1:] != segment[:-1])
-    stops = inside.copy()
-    stops[:-1] &= ~inside[1:] | (segment[1:] != segment[:-1])
-    lo, hi = np.flatnonzero(begins), np.flatnonzero(stops) + 1
-    which = segment[lo]
-    base = ends[which] - lengths[which]
-    return _answers(groups, owner[which], keys[which] & ~_CODE, ((lo - base).astype(U64) << U64(32)) | (hi - base).astype(U64))
+    starts = np.cumsum(lengths) - lengths
+    family = ts.hash_spans(text, starts + anchors, starts + anchors + ANCHOR)
+    order = np.argsort(family, kind="stable")
+    edges = np.concatenate([blobs.run_starts(family[order]), [keys.size]])
+    filled = np.concatenate([[0], np.cumsum(lengths[order])])
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    at = 0
+    while at < edges.size - 1:
+        to = max(at + 1, int(np.searchsorted(filled[edges], filled[edges[at]] + BATCH_BYTES, side="right")) - 1)
+        part = order[edges[at] : edges[to]]
+        size = lengths[part]
+        spots = np.repeat(starts[part] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        which, lo, hi = _repeated_runs(text[spots], size, anchors[part])
+        which = part[which]
+        open_ = keys[which] & FULL == 0
+        found.append((which[open_], lo[open_], hi[open_]))
+        at = to
+    which, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+    return _answers(groups, owner[which], keys[which] & ~_CODE, (lo.astype(U64) << U64(32)) | hi.astype(U64))
 
 
 def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
