@@ -55,7 +55,7 @@ def url_key_encoded(urls):
         default = {"http": 80, "https": 443}.get(parts.scheme.lower())
         host = parts.hostname.lower() + (f":{port}" if port and port != default else "")
         kept = sorted((kv for kv in parse_qsl(parts.query, keep_blank_values=True) if kv[0] not in TRACKING_PARAMS), key=lambda kv: kv[0])
-        query = "&".join(f"{quote_plus(k, safe='*-._')}={quote_plus(v, safe='*-._')}" for k, v in kept)
+        query = "&".join(f"{quote_plus(k, safe='*-._')}={quote_plus(v, safe='*-._')}" for k, v in kept).replace("~", "%7E")
         return f"{parts.scheme.lower()}://{host}{parts.path or '/'}{'?' + query if query else ''}"
 
     return urls.map(one, na_action="ignore")

@@ -52,56 +52,66 @@ class Profile:
 GENERIC = Profile(frames=("<html", "<title>"), item_anchor="<li>", user_nav="<html")
 
 
-def classify(pages: DataFrame, profile: Profile = GENERIC, markers: Markers = Markers(), url: str = "final_url", status: str = "status", body: str = "body") -> DataFrame:
-    """The rows with ``verdict`` (unknown where no rule tells), ``verdict_reason`` (only then), ``reasons`` and ``item_count``. The first rule that holds wins; an empty body outranks all."""
-    u, s, b = F.col(url), F.col(status), F.col(body)
+def _rules(u: Column, s: Column, b: Column, profile: Profile, markers: Markers) -> list[tuple[Column, Column, str | None, str]]:
+    """(holds, verdict, reason, text) in order; where none holds, the verdict is ok."""
     host = F.lower(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
     secured = (host == markers.security_host) | F.endswith(host, F.lit(f".{markers.security_host}"))
-    captcha = b.rlike(markers.captcha)
+    halted = F.when(b.rlike(markers.captcha), "challenge").otherwise("blocked")
     drifted = ~u.rlike(profile.url_anchor) if profile.url_anchor else F.lit(False)
     if profile.any_frames:
         frameless = ~F.greatest(*(b.rlike(x) for x in profile.any_frames), F.lit(False))
     else:
         frameless = ~F.least(*(b.rlike(x) for x in profile.frames), F.lit(True), F.lit(True))
-    rules: list[tuple[Column, Column | str, str | None, str]] = [
-        (b.isNull() | (b == ""), "unknown", "empty_body", "empty body"),
-        (F.coalesce(host, F.lit("")) == "", "unknown", "malformed_url", "the final URL can't be read"),
-        (secured, F.when(captcha, "challenge").otherwise("blocked"), None, "sent to the security host"),
-        (b.rlike(markers.login_title), "login", None, "the title is the sign-in page's"),
-        (s == 404, "gone", None, "HTTP 404"),
-        (s == 403, "blocked", None, "HTTP 403"),
-        (s == 429, "blocked", None, "HTTP 429"),
-        (s == 418, "blocked", None, "HTTP 418"),
-        (s >= 500, "unknown", "server_error", "server error"),
-        (s.isNull() | (s != 200), "unknown", "unexpected_status", "unexpected status"),
-        (b.rlike(markers.abnormal), F.when(captcha, "challenge").otherwise("blocked"), None, "the page speaks of unusual requests"),
-        (b.rlike(markers.not_found), "soft404", None, "the page says it wasn't found"),
-        (~b.rlike(profile.user_nav), "login", None, "no signed-in user in the navigation"),
-        (drifted, "unknown", "url_drifted", "the final URL isn't this route's"),
-        (frameless, "unknown", "frame_anchors_missing", "the page's frame is missing"),
+    return [
+        (b.isNull() | (b == ""), F.lit("unknown"), "empty_body", "empty body"),
+        (F.coalesce(host, F.lit("")) == "", F.lit("unknown"), "malformed_url", "the final URL can't be read"),
+        (secured, halted, None, "sent to the security host"),
+        (b.rlike(markers.login_title), F.lit("login"), None, "the title is the sign-in page's"),
+        (s == 404, F.lit("gone"), None, "HTTP 404"),
+        (s.isin(403, 429, 418), F.lit("blocked"), None, "HTTP 403, 429 or 418"),
+        (s >= 500, F.lit("unknown"), "server_error", "server error"),
+        (s.isNull() | (s != 200), F.lit("unknown"), "unexpected_status", "unexpected status"),
+        (b.rlike(markers.abnormal), halted, None, "the page speaks of unusual requests"),
+        (b.rlike(markers.not_found), F.lit("soft404"), None, "the page says it wasn't found"),
+        (~b.rlike(profile.user_nav), F.lit("login"), None, "no signed-in user in the navigation"),
+        (drifted, F.lit("unknown"), "url_drifted", "the final URL isn't this route's"),
+        (frameless, F.lit("unknown"), "frame_anchors_missing", "the page's frame is missing"),
     ]
-    verdict = reason = told = None
-    for rule, v, why, says in rules:
-        v = F.lit(v) if isinstance(v, str) else v
-        verdict = F.when(rule, v) if verdict is None else verdict.when(rule, v)
-        reason = F.when(rule, F.lit(why)) if reason is None else reason.when(rule, F.lit(why))
-        told = F.when(rule, F.array(F.lit(says))) if told is None else told.when(rule, F.array(F.lit(says)))
+
+
+def _decide(rules: list[tuple], pick: int, otherwise: Column) -> Column:
+    arms = None
+    for rule in rules:
+        value = rule[pick] if isinstance(rule[pick], Column) else F.lit(rule[pick])
+        arms = F.when(rule[0], value) if arms is None else arms.when(rule[0], value)
+    return arms.otherwise(otherwise)
+
+
+def classify(pages: DataFrame, profile: Profile = GENERIC, markers: Markers = Markers(), url: str = "final_url", status: str = "status", body: str = "body") -> DataFrame:
+    """The rows with ``verdict`` (unknown where no rule tells), ``verdict_reason`` (only then), ``reasons`` and ``item_count``. The first rule that holds wins; an empty body outranks all."""
+    b = F.col(body)
+    rules = _rules(F.col(url), F.col(status), b, profile, markers)
     count = F.regexp_count(b, F.lit(profile.item_anchor)) if profile.item_anchor else F.lit(None).cast("int")
     empty = F.when(F.coalesce(count, F.lit(-1)) == 0, F.lit("no items"))
     passed = F.array_compact(F.array(F.lit("signed in"), F.when(F.lit(bool(profile.url_anchor)), F.lit("the URL is still this route's")), F.lit("frame complete"), empty))
-    return pages.withColumns({"verdict": verdict.otherwise("ok"), "verdict_reason": reason, "reasons": told.otherwise(passed), "item_count": count})
+    told = F.when(_decide(rules, 3, F.lit("")) != "", F.array(_decide(rules, 3, F.lit("")))).otherwise(passed)
+    return pages.withColumns({"verdict": _decide(rules, 1, F.lit("ok")), "verdict_reason": _decide(rules, 2, F.lit(None).cast("string")), "reasons": told, "item_count": count})
 
 
-def classify_asset(assets: DataFrame, status: str = "status", content_type: str = "content_type", body: str = "content") -> DataFrame:
-    """``verdict`` and ``verdict_reason`` of an image response: HTML is never ok, and bytes outrank a wrong content type."""
+def classify_asset(assets: DataFrame, markers: Markers = Markers(), url: str = "final_url", status: str = "status", content_type: str = "content_type", body: str = "content") -> DataFrame:
+    """``verdict`` and ``verdict_reason`` of an image response: HTML is judged as a page but never ok, and bytes outrank a wrong content type."""
     s, data = F.col(status), F.col(body)
     kind = F.lower(F.trim(F.substring_index(F.coalesce(F.col(content_type), F.lit("")), ";", 1)))
     html = F.startswith(kind, F.lit("text/html"))
-    size = F.coalesce(F.octet_length(data), F.lit(0))
+    page = _rules(F.col(url), s, data.cast("string"), Profile(), markers)
     image = F.startswith(kind, F.lit("image/")) | looks_like_image(data)
     bad = F.coalesce(s != 200, F.lit(True))
-    verdict = F.when(bad & s.isin(403, 418), "blocked").when(bad & html & (s == 429), "blocked").when(bad & (s == 404), "gone").when(bad, "unknown").when(html, "unknown").when(size == 0, "unknown").when(image, "ok").otherwise("unknown")
-    reason = F.when(verdict != "unknown", F.lit(None)).when(bad, "unexpected_status").when(html, "html_for_image").when(size == 0, "empty_body").otherwise("not_an_image")
+    size = F.coalesce(F.octet_length(data), F.lit(0))
+    own = F.when(bad & s.isin(403, 418), "blocked").when(bad & (s == 404), "gone").when(bad, "unknown").when(size == 0, "unknown").when(image, "ok").otherwise("unknown")
+    why = F.when(bad, "unexpected_status").when(size == 0, "empty_body").otherwise("not_an_image")
+    as_page = _decide(page, 1, F.lit("unknown"))
+    verdict = F.when(html, as_page).otherwise(own)
+    reason = F.when(verdict == "unknown", F.when(html, _decide(page, 2, F.lit("html_for_image"))).otherwise(why))
     return assets.withColumns({"verdict": verdict, "verdict_reason": reason})
 
 
@@ -140,12 +150,3 @@ def same_account(user_id: Column, username: Column, want_id: str | None, want_na
 def first_hint(body: Column, patterns: Sequence[str]) -> Column:
     """The first group of the first pattern that matches."""
     return F.coalesce(*(F.nullif(F.regexp_extract(body, p, 1), F.lit("")) for p in patterns))
-
-
-def is_quota_error(message: Column) -> Column:
-    return F.coalesce(F.lower(message).rlike("quota|no space|disk full"), F.lit(False))
-
-
-def enough_storage(available: Column, needed: Column) -> Column:
-    """Null where it isn't known, never 'enough'."""
-    return available >= needed

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.functions import digests, ids, text, times, urls
-from pagestrata.operators import classify, extract, invariants, lineage, matching, rollups, sequences
+from pagestrata.operators import classify, extract, invariants, lineage, matching, policies, rollups, sequences
 from pagestrata.plans.adapters import adapt, table
 from pagestrata.sources import bundle
 from pagestrata.storage import new_path
@@ -385,6 +385,111 @@ def chain_coverage(spark, d):
     return out.select("route_key", "newest", "oldest", F.array_join("bundles", ",").alias("bundles"), "contiguous", "holes", F.size("gaps").alias("n_gaps"))
 
 
+# --- single rows ------------------------------------------------------------------------------------------------------
+
+
+@query
+def asset_verdict(spark, d):
+    n = F.col("page_id")
+    rows = table(spark, d, "pages").select("page_id", F.col("url").alias("final_url"), F.when(n % 7 == 1, 404).when(n % 7 == 2, 403).when(n % 7 == 3, 500).otherwise(200).alias("status"),
+        F.when(n % 5 == 1, "text/html; charset=utf-8").when(n % 5 == 2, "image/jpeg").when(n % 5 == 3, "application/octet-stream").alias("content_type"),
+        F.when(n % 4 == 1, F.lit("").cast("binary")).when(n % 4 == 2, F.unhex(F.lit("FFD8FFE000104A46494600010101"))).otherwise(F.col("html").cast("binary")).alias("content"))
+    return classify.classify_asset(rows).select("page_id", "verdict", "verdict_reason")
+
+
+@query
+def event_routing(spark, d):
+    c = adapt(spark, d, "captures").select("seq", "verdict", F.when(F.col("seq") % 3 == 0, "page").when(F.col("seq") % 5 == 0, "note").otherwise("capture").alias("type"))
+    return c.select("seq", policies.should_log(F.col("type")).alias("logged"), policies.is_fetch_event(F.col("type"), F.col("verdict")).alias("routine"))
+
+
+@query
+def renamed_bundles(spark, d):
+    rows = table(spark, d, "customer").select(F.col("c_custkey").alias("bundle_id"), F.col("c_nationkey").cast("string").alias("user_id"), F.when(F.col("c_custkey") % 3 == 0, "old").otherwise("new").alias("username"))
+    return policies.renamed_bundles(rows, "3", "new")
+
+
+@query
+def prerequisites(spark, d):
+    n = F.col("n_nationkey")
+    rows = table(spark, d, "nation").select(n, F.array((n % 5).cast("string"), (n % 3).cast("string")).alias("requires"))
+    left = policies.waiting_for(F.col("requires"), F.array(F.lit("1"), F.lit("4")))
+    return rows.select("n_nationkey", F.array_join(left, ",").alias("waiting_for"), (F.size(left) == 0).alias("ready"))
+
+
+@query
+def error_classes(spark, d):
+    n = F.col("o_orderkey")
+    name = F.element_at(F.array(*map(F.lit, ("AbortError", "TimeoutError", "TypeError", "QuotaExceededError", "Error"))), (n % 5 + 1).cast("int"))
+    message = F.when(n % 7 == 0, "No space left").otherwise("odd")
+    return table(spark, d, "orders").select(n, policies.transport_error(name, n % 2 == 0).alias("transport"), policies.write_error(name, (n % 30).cast("int"), message).alias("write"))
+
+
+@query
+def account_mismatch(spark, d):
+    n = F.col("c_custkey")
+    pick = lambda k, v: F.when(n % k != 0, F.lit(v))
+    expected = [("id", pick(3, "7")), ("name", pick(4, "ann"))]
+    return table(spark, d, "customer").select(n, policies.mismatch(expected, [F.when(n % 5 == 0, "8").otherwise("7"), F.when(n % 7 == 0, "bob").otherwise("ann")]).alias("mismatch"))
+
+
+@query
+def storage_preflight(spark, d):
+    found = policies.storage_preflight(F.col("o_custkey") * 1000, F.when(F.col("o_orderkey") % 4 == 0, 0).otherwise(F.floor("o_totalprice") * 5), F.lit(300_000))
+    return table(spark, d, "orders").select("o_orderkey", found["available"].alias("available"), found["enough"].alias("enough"))
+
+
+@query
+def nonok_tally(spark, d):
+    return policies.nonok_tally(adapt(spark, d, "captures"))
+
+
+@query
+def gate_waits(spark, d):
+    rows = adapt(spark, d, "items").withColumn("started", F.col("pos") * 700).withColumn("finished", F.col("pos") * 700 + F.col("event_id") % 500)
+    return sequences.gate_waits(rows, "route_key", "pos", "started", "finished", 1000).select("event_id", "wait_ms")
+
+
+@query
+def idle_batches(spark, d):
+    return policies.idle_batches(adapt(spark, d, "items"), "route_key", "pos", F.col("event_id") * 7 % 10 < 4).select("event_id", "idle", "stalled")
+
+
+@query
+def derived_captures(spark, d):
+    rows = adapt(spark, d, "captures").withColumn("parent_capture_id", F.when(F.col("seq") % 3 == 1, F.concat("bundle_id", F.lit("#"), F.lpad((F.col("seq") - 1).cast("string"), 9, "0"))))
+    return policies.derived_captures(rows).select("capture_id", "parent_capture_id", "parent_route")
+
+
+@query
+def latest_values(spark, d):
+    return policies.latest_values(adapt(spark, d, "captures").select(F.col("url_key").alias("key"), F.when(F.col("seq") % 10 != 0, F.col("capture_id")).alias("value"), F.col("seq").alias("version")))
+
+
+@query
+def deletion_candidates(spark, d):
+    c = adapt(spark, d, "captures").select("bundle_id", "route_key", F.col("url_key").alias("id"))
+    runs = spark.createDataFrame([("interest.item", "full", True), ("note.item", "full", False), ("asset.cover", "bounded", True)], "route_key string, enumeration string, contiguous boolean")
+    return matching.deletion_candidates(c.where("bundle_id = '1996'"), c.where("bundle_id = '1997'"), runs).distinct().select("route_key", "id")
+
+
+@query
+def status_photos(spark, d):
+    """Two posts a row, of which one is the owner's, with a JSON list of images each."""
+    n = F.col("p_partkey").cast("string")
+    post = lambda owner, photos: F.concat(F.lit('<div class="post" data-uid="'), owner, F.lit('"><script>var photos = '), photos, F.lit(";</script></div>"))
+    listed = F.concat(F.lit('[{"raw":"r'), n, F.lit('","large":"l"},{"large":"l'), n, F.lit('"},{}]'))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(post(F.when(F.col("p_partkey") % 3 == 0, "me").otherwise("you"), listed), post(F.lit("me"), F.lit('[{"raw":"z"}]'))).alias("html"))
+    out = extract.status_photos(rows, "p_partkey", "html", '<div class="post"', 'data-uid="([^"]+)"', r"var photos = (\[.*?\]);", "me")
+    return out.select("p_partkey", F.array_join("urls", ",").alias("urls"), "skipped_others", "unresolved")
+
+
+@query
+def generated_urls(spark, d):
+    rows = table(spark, d, "nation").select("n_nationkey", F.concat(F.lit("/list/"), F.col("n_nationkey").cast("string"), F.lit("?start={offset}")).alias("template"), F.lit(0).alias("first"), (F.col("n_nationkey") * 10).cast("int").alias("last"), F.lit(15).alias("step"))
+    return extract.generate_urls(rows).select("n_nationkey", "offset", "url")
+
+
 # --- archives and streams ---------------------------------------------------------------------------------------------
 
 

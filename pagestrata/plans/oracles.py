@@ -220,4 +220,41 @@ SELECT t.route_key, t.newest, t.oldest, t.bundles, t.route_key IN (SELECT route_
 FROM total t LEFT JOIN holes h ON t.route_key = h.route_key""",
     "warc_roundtrip": "SELECT page_id, url, CAST(strlen(html) AS INTEGER) AS bytes, sha256(html) AS sha256 FROM pages",
     "stream_event_window": "SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "asset_verdict": """
+SELECT page_id, CASE WHEN html_ AND empty THEN 'unknown' WHEN st = 403 THEN 'blocked' WHEN st = 404 THEN 'gone' WHEN st <> 200 THEN 'unknown' WHEN html_ THEN 'login' WHEN empty THEN 'unknown' WHEN image THEN 'ok' ELSE 'unknown' END AS verdict,
+       CASE WHEN html_ AND empty THEN 'empty_body' WHEN st IN (403, 404) THEN NULL WHEN st <> 200 THEN CASE WHEN html_ THEN 'server_error' ELSE 'unexpected_status' END WHEN html_ THEN NULL WHEN empty THEN 'empty_body' WHEN image THEN NULL ELSE 'not_an_image' END AS verdict_reason
+FROM (SELECT page_id, CASE page_id % 7 WHEN 1 THEN 404 WHEN 2 THEN 403 WHEN 3 THEN 500 ELSE 200 END AS st, page_id % 5 = 1 AS html_, page_id % 4 = 1 AS empty, page_id % 5 = 2 OR page_id % 4 = 2 AS image FROM pages) x""",
+    "event_routing": f"SELECT seq, seq % 3 <> 0 AS logged, seq % 3 <> 0 AND seq % 5 <> 0 AND verdict = 'ok' AS routine FROM {v('captures')}",
+    "renamed_bundles": "SELECT c_custkey AS bundle_id, 'old' AS was FROM customer WHERE c_nationkey = 3 AND c_custkey % 3 = 0",
+    "prerequisites": """
+SELECT n_nationkey, waiting_for, waiting_for = '' AS ready FROM (
+  SELECT n_nationkey, trim(CASE WHEN n_nationkey % 5 IN (1, 4) THEN '' ELSE CAST(n_nationkey % 5 AS STRING) END || ',' || CASE WHEN n_nationkey % 3 = 1 THEN '' ELSE CAST(n_nationkey % 3 AS STRING) END, ',') AS waiting_for FROM nation) x""",
+    "error_classes": """
+SELECT o_orderkey, CASE WHEN k IN (0, 1) THEN CASE WHEN o_orderkey % 2 = 0 THEN 'timeout' ELSE 'aborted' END WHEN k = 2 THEN 'network' ELSE 'unknown' END AS transport,
+       CASE WHEN k = 3 OR o_orderkey % 30 = 22 OR o_orderkey % 7 = 0 THEN 'quota' ELSE 'write_failed' END AS write FROM (SELECT o_orderkey, o_orderkey % 5 AS k FROM orders) x""",
+    "account_mismatch": """
+SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND c_custkey % 5 = 0 THEN 'id 7 -> 8' WHEN c_custkey % 4 <> 0 AND c_custkey % 7 = 0 THEN 'name ann -> bob' END AS mismatch FROM customer""",
+    "storage_preflight": """
+SELECT o_orderkey, CASE WHEN quota > 0 THEN greatest(0, quota - o_custkey * 1000) END AS available, CASE WHEN quota > 0 THEN greatest(0, quota - o_custkey * 1000) >= 300000 END AS enough
+FROM (SELECT *, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) * 5 END AS quota FROM orders) x""",
+    "nonok_tally": f"SELECT route_key, verdict, count(*) AS n FROM {v('captures')} WHERE verdict <> 'ok' GROUP BY 1, 2",
+    "gate_waits": f"""
+SELECT event_id, CAST(greatest(0, 1000 - coalesce(pos * 700 - lag(pos * 700 + event_id % 500) OVER (PARTITION BY route_key ORDER BY pos), 1000)) AS BIGINT) AS wait_ms FROM {v("items")}""",
+    "idle_batches": f"""
+SELECT event_id, CAST(idle AS BIGINT) AS idle, idle >= 3 AS stalled FROM (
+  SELECT event_id, sum(CASE WHEN still THEN 1 ELSE 0 END) OVER (PARTITION BY route_key, island ORDER BY pos) AS idle FROM (
+    SELECT *, sum(CASE WHEN still THEN 0 ELSE 1 END) OVER (PARTITION BY route_key ORDER BY pos) AS island FROM (SELECT *, event_id * 7 % 10 >= 4 AS still FROM {v("items")}) a) b) c""",
+    "derived_captures": f"""
+WITH c AS (SELECT * FROM {v("captures")})
+SELECT a.capture_id, a.parent AS parent_capture_id, p.route_key AS parent_route
+FROM (SELECT capture_id, bundle_id || '#' || lpad(CAST(seq - 1 AS STRING), 9, '0') AS parent FROM c WHERE seq % 3 = 1) a LEFT JOIN c p ON a.parent = p.capture_id""",
+    "latest_values": f"SELECT key, value FROM (SELECT url_key AS key, CASE WHEN seq % 10 <> 0 THEN capture_id END AS value, row_number() OVER (PARTITION BY url_key ORDER BY seq DESC) AS turn FROM {v('captures')}) x WHERE turn = 1 AND value IS NOT NULL",
+    "deletion_candidates": f"""
+SELECT DISTINCT route_key, url_key AS id FROM {v("captures")} WHERE bundle_id = '1996' AND route_key = 'interest.item'
+  AND url_key NOT IN (SELECT url_key FROM {v("captures")} WHERE bundle_id = '1997' AND route_key = 'interest.item')""",
+    "status_photos": """
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'r' || CAST(p_partkey AS STRING) || ',l' || CAST(p_partkey AS STRING) || ',z' ELSE 'z' END AS urls,
+       CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS skipped_others, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS unresolved FROM part""",
+    "generated_urls": """
+SELECT n_nationkey, CAST(k * 15 AS INTEGER) AS "offset", '/list/' || CAST(n_nationkey AS STRING) || '?start=' || CAST(k * 15 AS STRING) AS url FROM nation, (SELECT unnest(range(0, 30)) AS k) s WHERE k * 15 <= n_nationkey * 10""",
 }
