@@ -5,7 +5,10 @@ windows have equal anchors at the same place, and the windows of one anchor occu
 occur more than once go on. A segment whose whole text occurs twice is repeated throughout; where segments of one anchor differ,
 one copy of each is brought together with the others of its anchor.
 
-There, segments are read as words of 8 bytes counted from the anchor, which equal windows cut alike. Each shard of segments gets
+An anchor with more than ``MOST_TEXTS`` differing segments would grow with the corpus in one task. Its segments' windows are counted
+by hash instead, spread over all tasks and aggregated in each group of documents first.
+
+Where segments are brought together, they are read as words of 8 bytes counted from the anchor, which equal windows cut alike. Each shard of segments gets
 its Burrows-Wheeler transform, and the transforms are merged by interleave refinement. The rounds give common prefixes in words,
 the first differing words give them in bytes, and the repeated intervals of at least 200 - d bytes, split by the d bytes before
 (the transform's own column), are exactly the windows that start d bytes before a word and occur again. Answers go back to the
@@ -13,8 +16,7 @@ group of documents that asked; nothing is collected or broadcast.
 
 Defined cases: a null text is empty (the SHA-256 is that of no bytes); texts under 200 bytes lose nothing; matches never cross
 documents but may be in one; rows with equal or null doc_id are documents of their own; an empty table gives an empty result;
-extra columns are ignored. Segments are told apart by 62-bit hashes of their text. All segments that differ around one anchor meet
-in one task: at most 368 bytes for each different text there.
+extra columns are ignored. Segments are told apart by 61-bit hashes of their text, counted windows by 63-bit ones.
 """
 
 from __future__ import annotations
@@ -41,8 +43,10 @@ SHARD_SYMBOLS = 1 << 16
 BATCH_BYTES = 1 << 20
 GROUP_BYTES = 4 << 20
 U64 = np.uint64
-FULL, SHIP = U64(1), U64(2)
-_CODE = U64(3)
+FULL, SHIP, COUNT = U64(1), U64(2), U64(4)
+_CODE = U64(7)
+#: Different texts of one anchor that are brought together, 368 bytes each at most; beyond it their windows are counted.
+MOST_TEXTS = 4096
 
 _PART = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("anchors", pa.binary()), ("keys", pa.binary()), ("texts", pa.binary())])
 _PART_DDL = "bucket int, g int, anchors binary, keys binary, texts binary"
@@ -51,11 +55,11 @@ _ANSWER_DDL = "g int, keys binary, ranges binary"
 
 
 class Segments:
-    """The segments of one slice of texts: first byte, end, place of the anchor, the anchor's hash, and a key of the text (low two bits 0)."""
+    """The segments of one slice of texts: first byte, end, place of the anchor, the anchor's hash, and a key of the text (low three bits 0)."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray):
         n = data.size
-        self.data = data
+        self.data, self.total = data, np.zeros(0, U64)
         none = np.zeros(0, np.int64)
         self.start = self.end = self.anchor = none
         self.hash = self.key = np.zeros(0, U64)
@@ -66,6 +70,7 @@ class Segments:
         np.cumsum((ts.mix(np.arange(256, dtype=U64) + U64(1)))[data] * up[:n], out=total[1:])
         grams = ts.mix((total[ANCHOR:] - total[: n - ANCHOR + 1]) * down[: n - ANCHOR + 1])
         bits = U64(max(24, n.bit_length()))
+        self.total, self.down = total, down
         low = (grams >> bits << bits) | np.arange(grams.size, dtype=U64)
         width = 1
         while 2 * width <= SPAN:
@@ -88,6 +93,13 @@ class Segments:
         self.key = ts.mix(text ^ ts.mix(self.hash + (self.anchor - self.start).astype(U64) * U64(512) + (self.end - self.start).astype(U64))) & ~_CODE
 
 
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(first byte, hash with low bit 0) of the windows of some segments."""
+        size = self.end[chosen] - self.start[chosen] - WINDOW + 1
+        at = np.repeat(self.start[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return at, ts.mix((self.total[at + WINDOW] - self.total[at]) * self.down[at]) & ~U64(1)
+
+
 def _slices(table: pa.Table):
     for lo, hi, data, offs in ts.utf8_slices(table.column("text")):
         yield lo, hi, offs, Segments(data, offs)
@@ -124,7 +136,7 @@ def _answers(groups: np.ndarray, owner: np.ndarray, keys: np.ndarray, ranges: np
     return pa.Table.from_arrays([pa.array(groups[some], pa.int32()), pa.array(packed, pa.binary()), pa.array(more, pa.binary())], schema=_ANSWER)
 
 
-def _sift(table: pa.Table) -> pa.Table:
+def _sift(table: pa.Table, most_texts: int) -> pa.Table:
     """One hash range: which segments are repeated as they are (FULL), and which must be compared (SHIP, one copy of each text of an anchor)."""
     groups = table.column("g").to_numpy()
     hashes = [blobs.unpack_sorted(x.as_py()) for x in table.column("anchors")]
@@ -143,8 +155,9 @@ def _sift(table: pa.Table) -> pa.Table:
     full = np.repeat((size > 1) | (np.bitwise_or.reduceat(keys, runs) & U64(1) > 0), size)
     families = blobs.run_starts(hashes)
     texts = np.repeat(np.add.reduceat(new_text.astype(np.int64), families), np.diff(np.concatenate([families, [keys.size]])))
-    ship = (texts > 1) & new_text
-    code = full.astype(U64) * FULL | ship.astype(U64) * SHIP
+    many = texts > most_texts
+    ship = (texts > 1) & ~many & new_text
+    code = full.astype(U64) * FULL | ship.astype(U64) * SHIP | many.astype(U64) * COUNT
     tell = code > 0
     return _answers(groups, owner[tell], plain[tell] | code[tell], None)
 
@@ -163,12 +176,15 @@ def _code(told: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def _ship(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
-    """One copy of each segment that must be compared."""
+    """One copy of each segment that must be compared, and the distinct windows of those that are counted (low bit: more than once here)."""
     told = _told(answers)
-    told = told[told & SHIP > 0]
-    hashes, keys, meta, texts, seen = [], [], [], [], np.zeros(0, U64)
+    told = told[told & (SHIP | COUNT) > 0]
+    none = np.zeros(0, U64)
+    hashes, keys, meta, texts, seen, counted = [none], [none], [none], [], none, [none]
     for _, _, _, s in _slices(table) if told.size else ():
         code = _code(told, s.key)
+        if (count := np.flatnonzero(code & COUNT > 0)).size:
+            counted.append(s.windows(count)[1])
         one = np.flatnonzero(code & SHIP > 0)
         one = one[np.unique(s.key[one], return_index=True)[1]]
         one = one[~np.isin(s.key[one], seen)]
@@ -178,16 +194,23 @@ def _ship(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         meta.append(((s.end - s.start)[one].astype(U64) << U64(32)) | (s.anchor - s.start)[one].astype(U64))
         raw = s.data.tobytes()
         texts += [raw[a:b] for a, b in zip(s.start[one], s.end[one], strict=True)]
-    if not texts:
-        return _PART.empty_table()
     hashes, keys, meta = np.concatenate(hashes), np.concatenate(keys), np.concatenate(meta)
     order = np.argsort(hashes, kind="stable")
     cuts = blobs.bucket_cuts(hashes[order], buckets)
-    some = np.flatnonzero(np.diff(cuts))
-    parts = [order[cuts[b] : cuts[b + 1]] for b in some]
-    joined = [b"".join(texts[i] for i in p) for p in parts]
-    columns = [pa.array(some, pa.int32()), pa.array([_group(table)] * some.size, pa.int32()), pa.array([blobs.pack(meta[p]) for p in parts], pa.binary()), pa.array([blobs.pack(keys[p]) for p in parts], pa.binary())]
-    return pa.Table.from_arrays([*columns, pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in joined], pa.binary())], schema=_PART)
+    rows = []
+    for b in np.flatnonzero(np.diff(cuts)):
+        part = order[cuts[b] : cuts[b + 1]]
+        rows.append((b, blobs.pack(meta[part]), blobs.pack(keys[part]), pa.compress(b"".join(texts[i] for i in part), codec="zstd", asbytes=True)))
+    windows = np.sort(np.concatenate(counted))
+    runs = blobs.run_starts(windows)
+    again = np.diff(np.concatenate([runs, [windows.size]])) > 1
+    windows = windows[runs] | again.astype(U64)
+    cuts = blobs.bucket_cuts(windows, buckets)
+    rows += [(b, None, blobs.pack_sorted(windows[cuts[b] : cuts[b + 1]]), None) for b in np.flatnonzero(np.diff(cuts))]
+    if not rows:
+        return _PART.empty_table()
+    bucket, anchors, packed, joined = zip(*rows, strict=True)
+    return pa.Table.from_arrays([pa.array(bucket, pa.int32()), pa.array([_group(table)] * len(rows), pa.int32()), *(pa.array(x, pa.binary()) for x in (anchors, packed, joined))], schema=_PART)
 
 
 def repeated_starts(text: np.ndarray, lengths: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -273,8 +296,29 @@ def _repeated_runs(text: np.ndarray, lengths: np.ndarray, anchors: np.ndarray) -
     return which, lo - base, hi - base
 
 
+def _count(table: pa.Table) -> pa.Table:
+    """Windows of one hash range that occur again, for each group that has them; their ranges are 0."""
+    lists = [blobs.unpack_sorted(x.as_py()) for x in table.column("keys")]
+    owner = np.repeat(np.arange(len(lists)), [x.size for x in lists])
+    keys = np.concatenate([np.zeros(0, U64), *lists])
+    order = np.argsort(keys)
+    keys, owner = keys[order], owner[order]
+    runs = blobs.run_starts(keys & ~U64(1))
+    if runs.size:
+        size = np.diff(np.concatenate([runs, [keys.size]]))
+        again = np.repeat((size > 1) | (np.bitwise_or.reduceat(keys, runs) & U64(1) > 0), size)
+        keys, owner = keys[again] & ~U64(1), owner[again]
+    return _answers(table.column("g").to_numpy(), owner, keys, np.zeros(keys.size, U64))
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """One hash range: the repeated runs of each segment that is not repeated as it is. Anchors are taken together up to BATCH_BYTES, each whole."""
+    """One hash range: the windows that are counted, and the repeated runs of the segments that are compared."""
+    text = pc.is_valid(table.column("texts"))
+    return pa.concat_tables([_count(table.filter(pc.invert(text))), _align(table.filter(text))])
+
+
+def _align(table: pa.Table) -> pa.Table:
+    """The repeated runs of each segment that is not repeated as it is. Anchors are taken together up to BATCH_BYTES, each whole."""
     groups = table.column("g").to_numpy()
     keys = [blobs.unpack(x.as_py()) for x in table.column("keys")]
     owner = np.repeat(np.arange(len(keys)), [x.size for x in keys])
@@ -311,18 +355,24 @@ def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
     n = table.num_rows
     whole = answers.filter(pc.is_null(answers.column("ranges")))
     told = _told(whole)
-    told = told[told & FULL > 0]
     some = answers.filter(pc.is_valid(answers.column("ranges")))
     keys = np.concatenate([np.zeros(0, U64), *(blobs.unpack_sorted(x.as_py()) for x in some.column("keys"))])
     ranges = np.concatenate([np.zeros(0, U64), *(blobs.unpack(x.as_py()) for x in some.column("ranges"))])
     order = np.argsort(keys, kind="stable")
     keys, ranges = keys[order], ranges[order]
+    counted, keys, ranges = keys[ranges == 0], keys[ranges > 0], ranges[ranges > 0]
     size, removed, spans, digests = [], [], [], []
     for _, _, offs, s in _slices(table):
         step = np.zeros(s.data.size + 1, np.int32)
-        full = _code(told, s.key) > 0
+        code = _code(told, s.key)
+        full = code & FULL > 0
         np.add.at(step, s.start[full], 1)
         np.add.at(step, s.end[full], -1)
+        if counted.size and (open_ := np.flatnonzero((code & COUNT > 0) & ~full)).size:
+            at, windows = s.windows(open_)
+            again = at[counted[np.minimum(np.searchsorted(counted, windows), counted.size - 1)] == windows]
+            np.add.at(step, again, 1)
+            np.add.at(step, again + WINDOW, -1)
         first, last = np.searchsorted(keys, s.key), np.searchsorted(keys, s.key, side="right")
         many = last - first
         at = np.repeat(s.start, many)
@@ -344,7 +394,7 @@ def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("doc_id"), flat(size), flat(removed), flat(spans), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removals(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def removals(docs: DataFrame, group_bytes: int = GROUP_BYTES, most_texts: int = MOST_TEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     docs = docs.select("doc_id", "text")
     groups = 2 * parts_for(docs, group_bytes)
@@ -352,7 +402,7 @@ def removals(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     by_group = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).groupBy("g")
     probes = by_group.applyInArrow(lambda t: _probes(t, buckets), _PART_DDL)
-    sifted = probes.groupBy("bucket").applyInArrow(_sift, _ANSWER_DDL)
+    sifted = probes.groupBy("bucket").applyInArrow(lambda t: _sift(t, most_texts), _ANSWER_DDL)
     shipped = by_group.cogroup(sifted.groupBy("g")).applyInArrow(lambda a, b: _ship(a, b, buckets), _PART_DDL)
     compared = shipped.groupBy("bucket").applyInArrow(_compare, _ANSWER_DDL)
     return by_group.cogroup(sifted.unionByName(compared).groupBy("g")).applyInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

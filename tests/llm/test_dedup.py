@@ -122,11 +122,12 @@ def test_substring_dedup_keeps_columns_and_untouched_texts(spark):
 
 
 @pytest.mark.parametrize("ids", [None, ODD_IDS])
-def test_suffixes(spark, ids):
+@pytest.mark.parametrize("most", [0, 2, 4096])
+def test_suffixes(spark, ids, most):
     texts = some_texts(3)
     ids = ids(len(texts)) if ids else None
     rows = [(i if ids is None else ids[i], t) for i, t in enumerate(texts)]
-    assert result(suffixes.removals(frame(spark, texts, ids, extra=True))) == plain_suffixes(rows)
+    assert result(suffixes.removals(frame(spark, texts, ids, extra=True), most_texts=most)) == plain_suffixes(rows)
 
 
 def test_suffixes_in_many_shards(spark, monkeypatch):
