@@ -36,6 +36,8 @@ BLOCK_SHINGLES = 4_000_000
 #: Shingles in at most this many sets of a block are paired up one by one, others by matrix products.
 RARE = 12
 COLUMNS = 4096
+#: Sets with a candidate that are broadcast to the texts, about 100 bytes each; beyond it the texts are shuffled.
+LISTED_ROWS = 200_000
 NO_ID = (1 << 63) - 1
 
 
@@ -248,7 +250,7 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
     total = total.select("root", F.greatest(F.ceil(F.col("n") / block_sets), F.ceil(F.col("m") / block_shingles)).cast("int").alias("blocks"))
     listed = written(grouped.join(total, "root").select("k", "id", "copies", "root", "blocks", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int").alias("block")), "grouped")
 
-    texts = plain.join(small_or_plain(listed), "id")
+    texts = plain.join(small_or_plain(listed, LISTED_ROWS), "id")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = texts.withColumn("x", other).select("root", F.least("block", "x").alias("i"), F.greatest("block", "x").alias("j"), "text", "k", "copies", "block")
     dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "k")
