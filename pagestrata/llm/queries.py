@@ -1,4 +1,4 @@
-"""The queries of this subpackage, by name, and SQL for those that SQL can express."""
+"""The queries of this subpackage, by name."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.llm import decontaminate, jaccard, packing, quality, sharding, substrings, suffixes, toxicity, urlrules, warc
+from pagestrata.llm.oracles import ORACLES
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,8 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumns({"item_ids": F.array_join(F.col("item_ids").cast("array<string>"), ","), "similarity": F.round("similarity", 6)})
 
 
 def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,11 +53,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(warc.write_pages(_table(spark, sf_dir, "pages")))
 
 
-#: A page's outcome is the label of the document with its number: bad if of quality 0 or toxic.
-OUTCOMES = "SELECT doc_id AS page_id, CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END AS bad FROM {labels}"
-
-
 def op10_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page's outcome is the label of the document with its number."""
     labels = _table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("page_id"), F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0).alias("bad"))
     return urlrules.judge(_table(spark, sf_dir, "pages"), outcomes)
@@ -65,14 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_packing, op2_substrings, op3_decontaminate, op4_suffixes, op5_toxicity, op6_sharding, op7_quality, op8_jaccard, op9_warc, op10_urlrules)
 }
 
-ORACLES: dict[str, str] = {
-    "op9_warc": """
-SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
-FROM (SELECT page_id, payload_bytes, payload_digest, min(page_id) OVER (PARTITION BY payload_digest) AS first_id
-      FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
-                   list_aggregate(list_transform(range(0, 40, 5), lambda i: list_aggregate(list_transform(range(0, 4), lambda k:
-                     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha1(coalesce(html, '')), CAST(i + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * k AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest
-            FROM pages) hashed) ranked""",
-    "op10_urlrules": urlrules.verdict_sql("pages", "(" + OUTCOMES.format(labels="labels") + ")"),
-}
+__all__ = ["ORACLES", "QUERIES"]
