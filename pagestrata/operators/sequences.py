@@ -15,13 +15,6 @@ NETWORK_ERRORS = 6
 LARGE_RING, SMALL_RING = 1000, 200
 
 
-def run_length(flag: Column, by: list[str], order: list[str]) -> Column:
-    """How many rows in a row, up to this one, have the flag; rows without it are 0."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    island = F.sum(F.when(flag, 0).otherwise(1)).over(w)
-    return F.when(flag, F.count(F.when(flag, 1)).over(Window.partitionBy(*by, island).orderBy(*order))).otherwise(0)
-
-
 def page_news(items: DataFrame, by: tuple[str, ...] = ("route_key",)) -> DataFrame:
     """(by, page, n_ids, new_ids, duplicates): ids not seen on an earlier page of the route, nor earlier on the same page. Rows without id keep their page."""
     keys = list(by)
