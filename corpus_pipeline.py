@@ -1,7 +1,7 @@
 """From raw documents to packed training sequences: five stages, each written before the next one reads it.
 
-Every stage but the last returns the columns of documents. A stage's scratch tables are deleted when the next stage of the run
-begins, as its own result is written by then.
+Every stage but the last returns the columns of documents. A run deletes a stage's scratch tables, and the rows that it read, once
+its own rows are written.
 """
 
 from __future__ import annotations
@@ -14,20 +14,6 @@ from pagestrata.llm import decontaminate, jaccard, packing, quality, shared, sub
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-_scratch: list[str] = []
-
-
-def _stage(step: Stage) -> Stage:
-    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        shared.release(spark, _scratch, docs)
-        mark = len(shared.paths_since(0))
-        out = step(spark, docs, sf_dir)
-        _scratch[:] = shared.paths_since(mark)
-        return out
-
-    return run_stage
-
-
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -49,11 +35,11 @@ def _pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Stage]] = [
-    ("quality rules", _stage(_quality)),
-    ("n-gram Jaccard join", _stage(_near_duplicates)),
-    ("substring dedup", _stage(_substrings)),
-    ("benchmark decontamination", _stage(_decontaminate)),
-    ("packing", _stage(_pack)),
+    ("quality rules", _quality),
+    ("n-gram Jaccard join", _near_duplicates),
+    ("substring dedup", _substrings),
+    ("benchmark decontamination", _decontaminate),
+    ("packing", _pack),
 ]
 
 #: MinHash, SimHash and the tokenizer can't be expressed in SQL; the pipeline is tested against a plain version of each stage.
@@ -62,10 +48,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over all documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, used = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
+        mark = len(shared.paths_since(0))
         out = stage(spark, docs, sf_dir)
+        used += shared.paths_since(mark)
         path = shared.new_path(spark, "stage")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
+        shared.release(spark, used, docs)
+        used = [path]
     return docs
