@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagestrata.functions.times import instant_ms
+
 # fixed values: how many barren pages stall a route, and the numbers of the size check and the rings
 NO_NEW_LIMIT = 3
 EMPTY_LIMIT = 2
@@ -62,6 +64,13 @@ def route_watermarks(items: DataFrame, by: str = "route_key", at: str = "ts", it
     return marks.join(ids, by, "left").withColumn("high_ids", F.coalesce("high_ids", F.array().cast(ids.schema["high_ids"].dataType)))
 
 
+def item_time_range(items: DataFrame, by: tuple[str, ...] = ("route_key", "page"), raw: str = "raw", order: str = "pos") -> DataFrame:
+    """The oldest and newest time of each page, as written: compared as instants, the first of equal ones kept. Text that is no time with an offset doesn't count; pages without any have no row."""
+    ms = instant_ms(F.col(raw))
+    timed = items.withColumn("ms", ms).where(F.col("ms").isNotNull())
+    return timed.groupBy(*by).agg(F.min_by(raw, F.struct("ms", order)).alias("oldest"), F.max_by(raw, F.struct(F.col("ms"), (-F.col(order)).alias("turn"))).alias("newest"))
+
+
 def can_advance(finished: Column, gaps: Column, stopped: Column, high: Column) -> Column:
     """A watermark moves only after a clean, complete run."""
     return finished & (F.size(gaps) == 0) & ~stopped & high.isNotNull()

@@ -319,6 +319,14 @@ def route_watermarks(spark, d):
     return out.select("route_key", "high", "low", F.array_join(F.col("high_ids").cast("array<string>"), ",").alias("high_ids"))
 
 
+@query
+def item_time_range(spark, d):
+    far = F.col("event_id") % 2 == 1
+    at = F.timestamp_seconds(1_704_067_200 + F.floor(F.col("ts") / 10) * 60 + F.when(far, 28_800).otherwise(0))
+    raw = F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(far, "+08:00").otherwise("Z"))
+    return sequences.item_time_range(adapt(spark, d, "items").withColumn("raw", F.when(F.col("event_id") % 11 == 0, "soon").otherwise(raw)))
+
+
 @query
 def progress_marker(spark, d):
     return sequences.progress_marker(adapt(spark, d, "items"))

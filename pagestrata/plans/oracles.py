@@ -180,6 +180,10 @@ SELECT capture_id, CAST(n AS INTEGER) AS n_before, med AS median_before, coalesc
 SELECT m.route_key, m.high, m.low, coalesce(string_agg(CAST(e.id AS STRING), ',' ORDER BY e.first), '') AS high_ids
 FROM (SELECT route_key, max(ts) AS high, min(ts) AS low FROM {v("items")} WHERE ts IS NOT NULL GROUP BY 1) m
 LEFT JOIN (SELECT route_key, ts, id, min(pos) AS first FROM {v("items")} WHERE id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2, 3) e ON m.route_key = e.route_key AND m.high = e.ts GROUP BY 1, 2, 3""",
+    "item_time_range": f"""
+SELECT route_key, page, first(raw ORDER BY t, pos) AS oldest, first(raw ORDER BY t DESC, pos) AS newest FROM (
+  SELECT route_key, page, pos, ts // 10 AS t, strftime(TIMESTAMP '2024-01-01' + to_minutes(CAST(ts // 10 + CASE WHEN event_id % 2 = 1 THEN 480 ELSE 0 END AS BIGINT)), '%Y-%m-%dT%H:%M:%S') || CASE WHEN event_id % 2 = 1 THEN '+08:00' ELSE 'Z' END AS raw
+  FROM {v("items")} WHERE ts IS NOT NULL AND event_id % 11 <> 0) x GROUP BY 1, 2""",
     "progress_marker": f"""
 SELECT route_key, page, page_median, min(page_median) OVER (PARTITION BY route_key ORDER BY page) AS progress FROM (
   SELECT route_key, page, list_sort(list(ts))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS page_median FROM {v("items")} WHERE ts IS NOT NULL GROUP BY 1, 2) x""",

@@ -19,3 +19,12 @@ MANIFEST = (
 )
 FILES = "bundle_id string, side string, name string, bytes long, sha256 string"
 EVENTS = "at string, type string, route_key string, verdict string, reason string, url string, message string"
+# rows of content extractors, and the definition of a route
+MARK = "title string, date string, rating string, tags array<string>, comment string"
+BROADCAST = "target_title string, action string, posted_at string, rating string, text string"
+LONG_FORM = "title string, published_at string, location string, body string"
+LIST = "id string, title string, visibility string, items array<struct<title:string,comment:string,entry_id:string,upstream_id:string>>"
+ROUTE = (
+    "key string, intent string, kind string, surface string, priority int, source string, enumeration string, safety_net boolean, "
+    "pagination struct<kind:string,step:int,first:int>, ordered boolean, requires array<string>"
+)
