@@ -52,39 +52,46 @@ class Profile:
 GENERIC = Profile(frames=("<html", "<title>"), item_anchor="<li>", user_nav="<html")
 
 
-def _rules(u: Column, s: Column, b: Column, profile: Profile, markers: Markers) -> list[tuple[Column, Column, str | None, str]]:
+def _rules(u: Column, s: Column, b: Column, profile: Profile, markers: Markers) -> list[tuple[Column, str, str | None, str]]:
     """(holds, verdict, reason, text) in order; where none holds, the verdict is ok."""
     host = F.lower(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
     secured = (host == markers.security_host) | F.endswith(host, F.lit(f".{markers.security_host}"))
-    halted = F.when(b.rlike(markers.captcha), "challenge").otherwise("blocked")
+    captcha, abnormal = b.rlike(markers.captcha), b.rlike(markers.abnormal)
     drifted = ~u.rlike(profile.url_anchor) if profile.url_anchor else F.lit(False)
     if profile.any_frames:
         frameless = ~F.greatest(*(b.rlike(x) for x in profile.any_frames), F.lit(False))
     else:
         frameless = ~F.least(*(b.rlike(x) for x in profile.frames), F.lit(True), F.lit(True))
     return [
-        (b.isNull() | (b == ""), F.lit("unknown"), "empty_body", "empty body"),
-        (F.coalesce(host, F.lit("")) == "", F.lit("unknown"), "malformed_url", "the final URL can't be read"),
-        (secured, halted, None, "sent to the security host"),
-        (b.rlike(markers.login_title), F.lit("login"), None, "the title is the sign-in page's"),
-        (s == 404, F.lit("gone"), None, "HTTP 404"),
-        (s.isin(403, 429, 418), F.lit("blocked"), None, "HTTP 403, 429 or 418"),
-        (s >= 500, F.lit("unknown"), "server_error", "server error"),
-        (s.isNull() | (s != 200), F.lit("unknown"), "unexpected_status", "unexpected status"),
-        (b.rlike(markers.abnormal), halted, None, "the page speaks of unusual requests"),
-        (b.rlike(markers.not_found), F.lit("soft404"), None, "the page says it wasn't found"),
-        (~b.rlike(profile.user_nav), F.lit("login"), None, "no signed-in user in the navigation"),
-        (drifted, F.lit("unknown"), "url_drifted", "the final URL isn't this route's"),
-        (frameless, F.lit("unknown"), "frame_anchors_missing", "the page's frame is missing"),
+        (b.isNull() | (b == ""), "unknown", "empty_body", "empty body"),
+        (F.coalesce(host, F.lit("")) == "", "unknown", "malformed_url", "the final URL can't be read"),
+        (secured & captcha, "challenge", None, "sent to the security host"),
+        (secured, "blocked", None, "sent to the security host"),
+        (b.rlike(markers.login_title), "login", None, "the title is the sign-in page's"),
+        (s == 404, "gone", None, "HTTP 404"),
+        (s.isin(403, 429, 418), "blocked", None, "HTTP 403, 429 or 418"),
+        (s >= 500, "unknown", "server_error", "server error"),
+        (s.isNull() | (s != 200), "unknown", "unexpected_status", "unexpected status"),
+        (abnormal & captcha, "challenge", None, "the page speaks of unusual requests"),
+        (abnormal, "blocked", None, "the page speaks of unusual requests"),
+        (b.rlike(markers.not_found), "soft404", None, "the page says it wasn't found"),
+        (~b.rlike(profile.user_nav), "login", None, "no signed-in user in the navigation"),
+        (drifted, "unknown", "url_drifted", "the final URL isn't this route's"),
+        (frameless, "unknown", "frame_anchors_missing", "the page's frame is missing"),
     ]
 
 
-def _decide(rules: list[tuple], pick: int, otherwise: Column) -> Column:
+def _first(rules: list[tuple]) -> Column:
+    """The number of the first rule that holds, one past the last if none does. As a column of its own it is worked out once a row."""
     arms = None
-    for rule in rules:
-        value = rule[pick] if isinstance(rule[pick], Column) else F.lit(rule[pick])
-        arms = F.when(rule[0], value) if arms is None else arms.when(rule[0], value)
-    return arms.otherwise(otherwise)
+    for k, rule in enumerate(rules):
+        arms = F.when(rule[0], k) if arms is None else arms.when(rule[0], k)
+    return arms.otherwise(len(rules))
+
+
+def _told(rules: list[tuple], number: Column, pick: int, otherwise: str | None) -> Column:
+    """What the rule of that number says."""
+    return F.get(F.array(*(F.lit(r[pick]).cast("string") for r in rules), F.lit(otherwise).cast("string")), number)
 
 
 def classify(pages: DataFrame, profile: Profile = GENERIC, markers: Markers = Markers(), url: str = "final_url", status: str = "status", body: str = "body") -> DataFrame:
@@ -92,10 +99,13 @@ def classify(pages: DataFrame, profile: Profile = GENERIC, markers: Markers = Ma
     b = F.col(body)
     rules = _rules(F.col(url), F.col(status), b, profile, markers)
     count = F.regexp_count(b, F.lit(profile.item_anchor)) if profile.item_anchor else F.lit(None).cast("int")
-    empty = F.when(F.coalesce(count, F.lit(-1)) == 0, F.lit("no items"))
+    numbered = pages.withColumns({"rule_no": _first(rules), "item_count": count})
+    number = F.col("rule_no")
+    empty = F.when(F.coalesce("item_count", F.lit(-1)) == 0, F.lit("no items"))
     passed = F.array_compact(F.array(F.lit("signed in"), F.when(F.lit(bool(profile.url_anchor)), F.lit("the URL is still this route's")), F.lit("frame complete"), empty))
-    told = F.when(_decide(rules, 3, F.lit("")) != "", F.array(_decide(rules, 3, F.lit("")))).otherwise(passed)
-    return pages.withColumns({"verdict": _decide(rules, 1, F.lit("ok")), "verdict_reason": _decide(rules, 2, F.lit(None).cast("string")), "reasons": told, "item_count": count})
+    reasons = F.when(number < len(rules), F.array(_told(rules, number, 3, None))).otherwise(passed)
+    out = numbered.withColumns({"verdict": _told(rules, number, 1, "ok"), "verdict_reason": _told(rules, number, 2, None), "reasons": reasons})
+    return out.select(*pages.columns, "verdict", "verdict_reason", "reasons", "item_count")
 
 
 def classify_asset(assets: DataFrame, markers: Markers = Markers(), url: str = "final_url", status: str = "status", content_type: str = "content_type", body: str = "content") -> DataFrame:
@@ -104,15 +114,15 @@ def classify_asset(assets: DataFrame, markers: Markers = Markers(), url: str = "
     kind = F.lower(F.trim(F.substring_index(F.coalesce(F.col(content_type), F.lit("")), ";", 1)))
     html = F.startswith(kind, F.lit("text/html"))
     page = _rules(F.col(url), s, data.cast("string"), Profile(), markers)
-    image = F.startswith(kind, F.lit("image/")) | looks_like_image(data)
-    bad = F.coalesce(s != 200, F.lit(True))
-    size = F.coalesce(F.octet_length(data), F.lit(0))
-    own = F.when(bad & s.isin(403, 418), "blocked").when(bad & (s == 404), "gone").when(bad, "unknown").when(size == 0, "unknown").when(image, "ok").otherwise("unknown")
-    why = F.when(bad, "unexpected_status").when(size == 0, "empty_body").otherwise("not_an_image")
-    as_page = _decide(page, 1, F.lit("unknown"))
-    verdict = F.when(html, as_page).otherwise(own)
-    reason = F.when(verdict == "unknown", F.when(html, _decide(page, 2, F.lit("html_for_image"))).otherwise(why))
-    return assets.withColumns({"verdict": verdict, "verdict_reason": reason})
+    own = [
+        (s.isin(403, 418), "blocked", None), (s == 404, "gone", None), (F.coalesce(s != 200, F.lit(True)), "unknown", "unexpected_status"),
+        (F.coalesce(F.octet_length(data), F.lit(0)) == 0, "unknown", "empty_body"), (~(F.startswith(kind, F.lit("image/")) | looks_like_image(data)), "unknown", "not_an_image"),
+    ]
+    numbered = assets.withColumns({"is_html": html, "rule_no": F.when(html, _first(page)).otherwise(_first(own))})
+    number = F.col("rule_no")
+    verdict = F.when(F.col("is_html"), _told(page, number, 1, "unknown")).otherwise(_told(own, number, 1, "ok"))
+    reason = F.when(F.col("is_html"), _told(page, number, 2, "html_for_image")).otherwise(_told(own, number, 2, None))
+    return numbered.withColumns({"verdict": verdict, "verdict_reason": reason}).select(*assets.columns, "verdict", "verdict_reason")
 
 
 def transition_table(spark: SparkSession) -> DataFrame:
