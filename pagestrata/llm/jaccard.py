@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.llm import textscan as ts
 from pagestrata.llm.components import components
-from pagestrata.llm.shared import small_or_plain, written
+from pagestrata.llm.shared import small_batches, small_or_plain, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -237,6 +237,7 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, block_sets: int = BLOCK_SETS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """doc_id, class_id and n_links of every document."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    small_batches(docs.sparkSession)
     bands, rows = choose_bands(similarity, recall)
     plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), "text")
     signed = written(plain.mapInArrow(lambda it: _signatures(it, bands, rows), "id long, k binary, size long, bands array<long>"), "signatures")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.llm import textscan as ts
-from pagestrata.llm.shared import input_bytes
+from pagestrata.llm.shared import input_bytes, small_batches
 
 CAPACITY = 2048
 END_ID = 1
@@ -236,6 +236,7 @@ def _pack(table: pa.Table, kind: str, capacity: int, with_ids: bool) -> pa.Table
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAPACITY, group_bytes: int = GROUP_BYTES, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on request its ids (unsigned 32-bit, little-endian)."""
+    small_batches(docs.sparkSession)
     kind = "<u2" if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
     groups = max(1, math.ceil(input_bytes(docs.select("doc_id", "text")) / group_bytes))
     key = docs.schema["doc_id"].dataType.simpleString()

@@ -14,6 +14,8 @@ UNKNOWN_BYTES = 1 << 60
 #: Rows of a few numbers each that every executor can hold.
 BROADCAST_ROWS = 1_000_000
 
+BATCH_SETTING, DEFAULT_BATCH, TEXT_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
 _WRITTEN: list[str] = []
 
 
@@ -48,6 +50,12 @@ def release(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
             where.getFileSystem(conf).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts: fewer of them to an Arrow batch than by default, unless the session has its own number."""
+    if spark.conf.get(BATCH_SETTING) == DEFAULT_BATCH:
+        spark.conf.set(BATCH_SETTING, TEXT_BATCH)
+
+
 def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Marked for broadcast if it has ``rows`` narrow rows at most, by a count; beyond that the plain table, which joins by a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

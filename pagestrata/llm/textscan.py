@@ -13,10 +13,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: Words longer than this are hashed by their blocks of this size, so one endless word does not make the column loop long.
 LONG_WORD = 512
 
+# what Arrow frees goes back to the system: workers idle for long beside the JVM
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

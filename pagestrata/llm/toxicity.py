@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.llm import textscan as ts
+from pagestrata.llm.shared import small_batches
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -110,6 +111,7 @@ def _fit(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordB
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """A model of fixed size from the labels that may be learnt from."""
+    small_batches(docs.sparkSession)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("label"))
     n, ones = known.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
     none = np.zeros(BUCKETS, np.float32)

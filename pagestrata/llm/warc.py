@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagestrata.llm.shared import new_path, written
+from pagestrata.llm.shared import new_path, small_batches, written
 from pagestrata.sources import warcfile as wf
 from pagestrata.storage import filesystem
 
@@ -98,6 +98,7 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, limit: int, level: in
 
 def write_pages(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, level: int = LEVEL) -> DataFrame:
     """Write the archive; returns its segments: path, bytes, records."""
+    small_batches(pages.sparkSession)
     held = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest"))
     first = held.groupBy("digest").agg(F.min("page_id").alias("first_id"))
     both = held.join(first, "digest").select("page_id", "url", "html", F.col("first_id").alias("refers_to"), (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("revisit"))
