@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
 
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder that the cluster names; a folder of this machine only where none is named and Spark runs in this process."""
@@ -18,9 +20,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError(f"{SETTING} must name a folder that all executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="pagestrata-")
-    spark.conf.set(SETTING, own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="pagestrata-")
+    return _OWN[app]
 
 
 def new_path(spark: SparkSession, label: str) -> str:

@@ -112,3 +112,17 @@ def test_record_bytes():
         warcfile.split_record(data[:-20])
     assert b"a: b\r\n" == warcfile.fields_block([("a", "b")])
     assert ship is not None
+
+
+def test_shared_folder_is_the_named_one_or_one_of_its_own(spark):
+    from types import SimpleNamespace
+
+    from pagestrata import storage
+
+    assert storage.new_path(spark, "x").startswith(storage.shared_dir(spark) + "/pagestrata/x-")
+    context = SimpleNamespace(getConf=lambda: {}, master="local[2]", applicationId="a")
+    bare = SimpleNamespace(conf={}, sparkContext=context)
+    assert storage.shared_dir(bare) == storage.shared_dir(bare) and storage.shared_dir(bare).startswith("file://")
+    context.master = "spark://h:1"
+    with pytest.raises(ValueError):
+        storage.shared_dir(bare)
