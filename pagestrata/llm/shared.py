@@ -14,6 +14,9 @@ UNKNOWN_BYTES = 1 << 60
 #: Rows of a few numbers each that every executor can hold.
 BROADCAST_ROWS = 1_000_000
 
+#: Least and largest group; the largest takes a worker about 1.5 GB.
+GROUP_BYTES = (4 << 20, 64 << 20)
+GROUPS_GROW_FROM = 16 << 30
 BATCH_SETTING, DEFAULT_BATCH, TEXT_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 _WRITTEN: list[str] = []
@@ -69,6 +72,11 @@ def input_bytes(df: DataFrame) -> int:
     return 64 * df.count()
 
 
+def group_size(df: DataFrame) -> int:
+    """Stored bytes for each group of documents whose groups all send to all hash ranges: it grows with the root of the input, so that the number of messages grows no faster than the input, up to what a task can hold."""
+    return int(min(GROUP_BYTES[1], max(GROUP_BYTES[0], GROUP_BYTES[0] * math.sqrt(input_bytes(df) / GROUPS_GROW_FROM))))
+
+
 def parts_for(df: DataFrame, bytes_each: int) -> int:
     """How many parts of about ``bytes_each`` stored bytes the input makes, at least as many as Spark's shuffles have."""
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(input_bytes(df) / bytes_each))

@@ -27,12 +27,11 @@ from pyspark.sql import functions as F
 
 from pagestrata.llm import blobs
 from pagestrata.llm import textscan as ts
-from pagestrata.llm.shared import parts_for
+from pagestrata.llm.shared import group_size, parts_for
 
 WINDOW = 50
 BLOCK = WINDOW // 2
 ANCHOR_BITS = 44
-GROUP_BYTES = 4 << 20
 NO_ID = (1 << 63) - 1
 
 _PART = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
@@ -204,7 +203,8 @@ def _cut(table: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
     return out
 
 
-def _run(docs: DataFrame, keep_text: bool, group_bytes: int) -> DataFrame:
+def _run(docs: DataFrame, keep_text: bool, group_bytes: int | None) -> DataFrame:
+    group_bytes = group_bytes or group_size(docs)
     groups = 2 * parts_for(docs, group_bytes)
     buckets = 2 * parts_for(docs, 4 * group_bytes)
     columns = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []
@@ -223,12 +223,12 @@ def _run(docs: DataFrame, keep_text: bool, group_bytes: int) -> DataFrame:
     return by_group.cogroup(answers.groupBy("g")).applyInArrow(lambda a, b: _cut(a, b, keep_text), fields).withColumnsRenamed({f"c{i}": c for i, c in enumerate(columns)})
 
 
-def removals(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def removals(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
     return _run(docs.select("doc_id", "text"), False, group_bytes)
 
 
-def dedup(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """The documents without repeated passages, with their own columns. Texts that lose nothing stay as they are; documents that lose all their words go."""
     if clash := {"n_words", "n_removed", "kept_sha256"} & set(docs.columns):
         raise ValueError(f"columns already there: {sorted(clash)}")
