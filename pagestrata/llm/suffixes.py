@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.llm import blobs, bwt
 from pagestrata.llm import textscan as ts
-from pagestrata.llm.shared import parts_for
+from pagestrata.llm.shared import group_size, parts_for
 
 WINDOW = 200
 ANCHOR = 32
@@ -41,7 +41,6 @@ ROUNDS = WINDOW // WORD + 1
 SHARD_SYMBOLS = 1 << 16
 #: Text that is compared at a time; a single anchor's segments may be more.
 BATCH_BYTES = 1 << 20
-GROUP_BYTES = 4 << 20
 U64 = np.uint64
 FULL, SHIP, COUNT = U64(1), U64(2), U64(4)
 _CODE = U64(7)
@@ -394,9 +393,10 @@ def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([table.column("doc_id"), flat(size), flat(removed), flat(spans), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def removals(docs: DataFrame, group_bytes: int = GROUP_BYTES, most_texts: int = MOST_TEXTS) -> DataFrame:
+def removals(docs: DataFrame, group_bytes: int | None = None, most_texts: int = MOST_TEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     docs = docs.select("doc_id", "text")
+    group_bytes = group_bytes or group_size(docs)
     groups = 2 * parts_for(docs, group_bytes)
     buckets = 2 * parts_for(docs, group_bytes)
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -404,5 +404,6 @@ def removals(docs: DataFrame, group_bytes: int = GROUP_BYTES, most_texts: int =
     probes = by_group.applyInArrow(lambda t: _probes(t, buckets), _PART_DDL)
     sifted = probes.groupBy("bucket").applyInArrow(lambda t: _sift(t, most_texts), _ANSWER_DDL)
     shipped = by_group.cogroup(sifted.groupBy("g")).applyInArrow(lambda a, b: _ship(a, b, buckets), _PART_DDL)
-    compared = shipped.groupBy("bucket").applyInArrow(_compare, _ANSWER_DDL)
+    # a fixed number of tasks: packed texts look too small to be dealt out by their bytes
+    compared = shipped.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compare, _ANSWER_DDL)
     return by_group.cogroup(sifted.unionByName(compared).groupBy("g")).applyInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
