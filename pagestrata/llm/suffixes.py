@@ -87,7 +87,7 @@ class Segments:
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [at.size]]) - 1
         self.start, self.end, self.anchor = at[first], at[last] + WINDOW, anchor[first]
-        self.hash = grams[self.anchor]
+        self.hash = ts.mix(grams[self.anchor])  # the smallest hashes, spread over the whole range again
         text = ts.mix((total[self.end] - total[self.start]) * down[self.start])
         self.key = ts.mix(text ^ ts.mix(self.hash + (self.anchor - self.start).astype(U64) * U64(512) + (self.end - self.start).astype(U64))) & ~_CODE
 
