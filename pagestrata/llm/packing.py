@@ -1,14 +1,16 @@
 """Packing token streams into fixed windows by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised (word by word through a cache: no token of these tokenizers crosses white space), an end id is added,
-and whole documents are dealt by hash into groups of about ``GROUP_BYTES`` stored bytes. In a group, whole windows are cut off
-long documents first. The rest, one piece a document, is spread over as many windows as its tokens need: differencing repeatedly
-takes the two partial partitions with the largest imbalances and merges them with the fullest windows of one against the emptiest
-of the other, until one partition of near-equal windows is left. What exceeds a window's capacity is cut off and moves into
-windows with room; where there is none the window count rises. So padding is under one window a group.
-
-Defined cases: a null or empty text is a document of the end id alone; documents with equal or null doc_id are packed one by one;
-a word of any length is tokenised whole; an empty table has no pieces; extra columns are ignored.
+and whole documents are dealt by hash into groups of about ``GROUP_BYTES`` of text. In a group, whole windows are cut off long
+documents first, and what is left of each is cut into equal pieces of at most ``capacity // CUTS`` ids. The pieces are spread over as
+many windows as their ids need: differencing repeatedly takes the two partial partitions with the largest imbalances and merges
+them with the fullest windows of one against the emptiest of the other, until one partition of near-equal windows is left. Where a
+window exceeds its capacity, the number of windows rises and the pieces are spread anew. Padding is under one in a hundred ids on
+documents of a thousand ids; larger pieces would be harder to level.
+
+Defined cases: a null or empty text is a document of the end id alone; documents with equal or null doc_id are packed one by one, and
+many copies of one row are dealt over groups; a text or word of any length is tokenised whole; an empty table has no pieces; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagestrata.llm import textscan as ts
-from pagestrata.llm.shared import input_bytes, small_batches
+from pagestrata.llm.shared import deal, groups_for, small_batches, text_bytes
 
 CAPACITY = 2048
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-GROUP_BYTES = 1 << 20
+GROUP_BYTES = 2 << 20
+#: What is left of a document after whole windows is cut into pieces of this part of a window at most.
+CUTS = 4
 #: Words whose ids a worker keeps, from one task to the next; others are tokenised each time.
 CACHED_WORDS = 200_000
 
@@ -141,8 +145,11 @@ def _tokenise(batches: Iterator[pa.RecordBatch], path: str | None, kind: str) ->
     end = np.array([END_ID], kind).tobytes()
     for batch in batches:
         for lo, hi, data, offs in ts.utf8_slices(batch.column(2)):
-            raw = data.tobytes()
-            ids = [x + end for x in words.encode([raw[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)])]
+            if offs.size == 2 and words.merge:  # words are tokenised one by one, so a text is too
+                ids = [b"".join(x for piece in ts.text_pieces(data) for x in words.encode([piece.tobytes()])) + end]
+            else:
+                raw = data.tobytes()
+                ids = [x + end for x in words.encode([raw[a:b] for a, b in zip(offs[:-1], offs[1:], strict=True)])]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(ids, pa.binary())], names=["doc_id", "g", "ids"])
 
 
@@ -176,38 +183,23 @@ def fill_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[
     """Windows of pieces (item, start, length); every part of every item in one piece, no window over capacity."""
     out: list[list[tuple[int, int, int]]] = []
     rest: list[tuple[int, int, int]] = []
+    most = max(1, capacity // CUTS)
     for i, n in enumerate(sizes):
-        whole = n // capacity
+        whole, left = divmod(n, capacity)
         out += [[(i, k * capacity, capacity)] for k in range(whole)]
-        if n % capacity:
-            rest.append((i, whole * capacity, n % capacity))
-    windows = math.ceil(sum(p[2] for p in rest) / capacity)
-    dealt = [[rest[k] for k in w] for w in difference([p[2] for p in rest], windows)] if rest else []
-    spare: list[tuple[int, int, int]] = []
-    for w in dealt:
-        over = sum(p[2] for p in w) - capacity
-        while over > 0:
-            i, start, n = w.pop()
-            cut = min(n, over)
-            if n > cut:
-                w.append((i, start, n - cut))
-            spare.append((i, start + n - cut, cut))
-            over -= cut
-    room = sorted(((capacity - sum(p[2] for p in w), k) for k, w in enumerate(dealt)), reverse=True)
-    for i, start, n in sorted(spare, key=lambda p: -p[2]):
-        while n:
-            if not room:
-                dealt.append([])
-                room.append((capacity, len(dealt) - 1))
-            free, k = room.pop(0)
-            take = min(free, n)
-            if take:
-                dealt[k].append((i, start, take))
-                start, n = start + take, n - take
-                if free > take:
-                    room.append((free - take, k))
-                    room.sort(reverse=True)
-    return out + dealt
+        parts = math.ceil(left / most)
+        edges = [whole * capacity + left * k // parts for k in range(parts + 1)] if parts else []
+        rest += [(i, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
+    rest.sort(key=lambda p: -p[2])
+    lengths, total = [p[2] for p in rest], sum(p[2] for p in rest)
+    windows = math.ceil(total / capacity)
+    while rest:
+        dealt = difference(lengths, windows)
+        over = max(sum(lengths[k] for k in w) for w in dealt) - total / windows
+        if total / windows + over <= capacity:
+            return out + [[rest[k] for k in w] for w in dealt if w]
+        windows = max(windows + 1, math.ceil(total / (capacity - over)) if over < capacity / 2 else 0)
+    return out
 
 
 def _pack(table: pa.Table, kind: str, capacity: int, with_ids: bool) -> pa.Table:
@@ -238,9 +230,10 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = CAP
     """One row a piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on request its ids (unsigned 32-bit, little-endian)."""
     small_batches(docs.sparkSession)
     kind = "<u2" if tokenizer(tokenizer_path).get_vocab_size() <= 1 << 16 else "<u4"
-    groups = max(1, math.ceil(input_bytes(docs.select("doc_id", "text")) / group_bytes))
+    docs = docs.select("doc_id", "text")
+    groups = groups_for(text_bytes(docs), group_bytes)
     key = docs.schema["doc_id"].dataType.simpleString()
-    ready = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"), "text")
+    ready = deal(docs, groups, group_bytes).select("doc_id", "g", "text")
     ids = ready.mapInArrow(lambda it: _tokenise(it, tokenizer_path, kind), f"doc_id {key}, g int, ids binary")
     fields = f"doc_id {key}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long{', ids binary' if with_ids else ''}"
     return ids.groupBy("g").applyInArrow(lambda t: _pack(t, kind, capacity, with_ids), fields)

@@ -4,19 +4,23 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata import storage
 
-#: Sizes beyond this are Spark's way of saying that it doesn't know.
-UNKNOWN_BYTES = 1 << 60
 #: Rows of a few numbers each that every executor can hold.
 BROADCAST_ROWS = 1_000_000
-
-#: Least and largest group; the largest takes a worker about 1.5 GB.
-GROUP_BYTES = (4 << 20, 64 << 20)
-GROUPS_GROW_FROM = 16 << 30
+#: Keys with more than this part of all rows are dealt over salts; by counting, there are fewer such keys than this.
+HOT_KEYS = 1000
+
+#: Least and largest group in bytes of text; the largest takes a worker about 1 GB.
+GROUP_BYTES = (8 << 20, 64 << 20)
+GROUPS_GROW_FROM = 32 << 30
+#: What a row counts beside its text, and what one task should read.
+ROW_BYTES = 64
+TASK_BYTES = 64 << 20
+MOST_GROUPS = 1 << 30
 BATCH_SETTING, DEFAULT_BATCH, TEXT_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
 
 _WRITTEN: list[str] = []
@@ -42,15 +46,12 @@ def paths_since(mark: int) -> list[str]:
     return _WRITTEN[mark:]
 
 
-def release(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
-    """Delete these paths, but for those that ``keep`` still reads."""
-    used = keep.inputFiles()
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these paths."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
-        name = path.rsplit("/", 1)[-1]
-        if not any(name in u for u in used):
-            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -64,19 +65,51 @@ def small_or_plain(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Spark's estimate of the input's stored bytes; counted where Spark has none."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size < UNKNOWN_BYTES:
-        return size
-    return 64 * df.count()
-
-
-def group_size(df: DataFrame) -> int:
-    """Stored bytes for each group of documents whose groups all send to all hash ranges: it grows with the root of the input, so that the number of messages grows no faster than the input, up to what a task can hold."""
-    return int(min(GROUP_BYTES[1], max(GROUP_BYTES[0], GROUP_BYTES[0] * math.sqrt(input_bytes(df) / GROUPS_GROW_FROM))))
-
-
-def parts_for(df: DataFrame, bytes_each: int) -> int:
-    """How many parts of about ``bytes_each`` stored bytes the input makes, at least as many as Spark's shuffles have."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(input_bytes(df) / bytes_each))
+def text_bytes(docs: DataFrame) -> int:
+    """Bytes of the texts, and ``ROW_BYTES`` a row: counted, as neither stored sizes nor the optimizer's estimates tell how much there is to hold."""
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    return ROW_BYTES * rows + (size or 0)
+
+
+def group_size(total: int) -> int:
+    """Bytes for each group of documents whose groups all send to all hash ranges: it grows with the root of the input, so that the number of messages grows no faster than the input, up to what a task can hold."""
+    return int(min(GROUP_BYTES[1], max(GROUP_BYTES[0], GROUP_BYTES[0] * math.sqrt(total / GROUPS_GROW_FROM))))
+
+
+def groups_for(total: int, bytes_each: int, least: int = 1) -> int:
+    """How many groups of about ``bytes_each`` the input makes."""
+    groups = max(least, math.ceil(total / bytes_each))
+    if groups > MOST_GROUPS:
+        raise ValueError(f"{groups} groups of {bytes_each} bytes; pass larger ones")
+    return groups
+
+
+def deal(docs: DataFrame, groups: int, group_bytes: int) -> DataFrame:
+    """The rows with their group ``g``, by a hash of doc_id and text. Rows that are repeated until they would fill a quarter of a group are dealt by their place in the input too."""
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + ROW_BYTES
+    least = max(1, group_bytes // 4)
+    many = docs.groupBy(F.xxhash64("doc_id", "text").alias("row_hash")).agg(F.count("*").alias("n"), F.sum(size).alias("size")).where((F.col("n") > 1) & (F.col("size") > least))
+    many = written(many.select("row_hash", F.ceil(F.col("size") / least).alias("salts")), "repeated")
+    mark = F.xxhash64("doc_id", "text")
+    if many.limit(1).count():
+        marked = docs.select(F.struct("*").alias("row"), mark.alias("row_hash")).join(small_or_plain(many), "row_hash", "left")
+        salt = F.when(F.col("salts").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.col("salts"))).otherwise(0)
+        dealt = marked.select("row", F.xxhash64("row_hash", salt).alias("row_hash"))
+        return dealt.select("row.*", F.pmod("row_hash", F.lit(groups)).cast("int").alias("g"))
+    return docs.withColumn("g", F.pmod(mark, F.lit(groups)).cast("int"))
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, salt_by: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a written ``table`` that has one row a key, and in ``times`` how many of ``rows`` have it. Keys with over 1 / HOT_KEYS of all rows are dealt over salts on both sides, by ``salt_by`` (a number that differs among rows of one key)."""
+    spark = rows.sparkSession
+    total = table.agg(F.sum("times")).first()[0] or 0
+    least = total // HOT_KEYS + 1
+    hot = table.where(F.col("times") > least).select(key, F.ceil(F.col("times") / least).alias("salts"))
+    found = hot.collect()  # fewer than HOT_KEYS rows of two columns
+    plain = table.drop("times")
+    if not found:
+        return rows.join(plain, key, how)
+    hot = F.broadcast(spark.createDataFrame(found, hot.schema))
+    salted = rows.join(hot, key, "left").withColumn("salt", F.pmod(salt_by, F.coalesce("salts", F.lit(1))))
+    dealt = plain.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1).cast("long")) - 1)))
+    return salted.drop("salts").join(dealt.drop("salts"), [key, "salt"], how).drop("salt")

@@ -8,11 +8,12 @@ Only the smallest doc_id of each distinct window is looked for, so groups of cop
 
 Layout: documents are dealt once into groups of a few MB (one exchange, used by all three passes). Per group and hash range one
 blob holds sorted distinct hashes; hash ranges are compared with each other's groups, and answers go back to the groups that
-asked. Nothing is collected or broadcast. Anchor hashes are 44 bits (a chance hit only costs work), window hashes 64 bits.
+asked. Nothing is collected or broadcast. Anchor hashes are 44 bits (a chance hit only costs work), window hashes 127 bits.
 
-Defined cases: a null or empty text has no words (the SHA-256 is that of no bytes); a text under 50 words is never cut; a null
-doc_id ranks above all others and is never "smaller"; rows with equal doc_id don't take words from each other; an empty table
-gives an empty result; extra columns are dropped by ``removals`` and carried by ``dedup``.
+Defined cases: doc_id is any whole number of 64 bits; a null or empty text has no words (the SHA-256 is that of no bytes); a text
+under 50 words is never cut; a text of any length is cut whole (it is scanned in pieces); a null doc_id counts as the largest number
+and is never "smaller"; rows with equal doc_id don't take words from each other, and many copies of one row are dealt over groups;
+an empty table gives an empty result; extra columns are dropped by ``removals`` and carried by ``dedup``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,31 +28,33 @@ from pyspark.sql import functions as F
 
 from pagestrata.llm import blobs
 from pagestrata.llm import textscan as ts
-from pagestrata.llm.shared import group_size, parts_for
+from pagestrata.llm.shared import deal, group_size, groups_for, text_bytes
 
 WINDOW = 50
 BLOCK = WINDOW // 2
 ANCHOR_BITS = 44
 NO_ID = (1 << 63) - 1
 
-_PART = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
-_PART_DDL = "bucket int, g int, keys binary, ids binary"
-_ANSWER = pa.schema([("g", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())])
-_ANSWER_DDL = "g int, keys binary, ids binary"
+_PART = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("keys", pa.binary()), ("seconds", pa.binary()), ("ids", pa.binary())])
+_PART_DDL = "bucket int, g int, keys binary, seconds binary, ids binary"
+_ANSWER = pa.schema([("g", pa.int32()), ("keys", pa.binary()), ("seconds", pa.binary()), ("ids", pa.binary())])
+_ANSWER_DDL = "g int, keys binary, seconds binary, ids binary"
+_ONE = np.uint64(1)
 
 
 def _words(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all rows in order, and the row of each."""
     hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for lo, _, data, offs in ts.utf8_slices(table.column("text")):
-        starts, ends, at = ts.find_words(data, offs)
-        hashes.append(ts.hash_spans(data, starts, ends))
+        own, at = ts.word_hashes(data, offs)
+        hashes.append(own)
         rows.append(at + lo)
     return np.concatenate(hashes), np.concatenate(rows)
 
 
 def _ids(table: pa.Table) -> np.ndarray:
-    return pc.fill_null(table.column("rank"), NO_ID).to_numpy().astype(np.int64)
+    """doc_id as an unsigned number in the same order."""
+    return pc.fill_null(table.column("rank"), NO_ID).to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
 
 
 def _anchors(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,13 +63,17 @@ def _anchors(words: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, ts.window_hashes(words, BLOCK)[at] >> np.uint64(64 - ANCHOR_BITS) << np.uint64(64 - ANCHOR_BITS)
 
 
-def _by_bucket(g: int, keys: np.ndarray, ids: np.ndarray | None, buckets: int) -> pa.Table:
-    """One row for each hash range that has keys; keys ascend."""
-    cuts = blobs.bucket_cuts(keys, buckets)
+def _packed(keys: np.ndarray, more: tuple, cuts: np.ndarray) -> tuple[np.ndarray, list[pa.Array]]:
+    """The ranges between cuts that have keys, and their keys (ascending) and further numbers as blobs; nulls where there are no such numbers."""
     some = np.flatnonzero(np.diff(cuts))
-    packed = [blobs.pack_sorted(keys[cuts[b] : cuts[b + 1]]) for b in some]
-    more = [None if ids is None else blobs.pack(ids[cuts[b] : cuts[b + 1]]) for b in some]
-    return pa.Table.from_arrays([pa.array(some, pa.int32()), pa.array([g] * some.size, pa.int32()), pa.array(packed, pa.binary()), pa.array(more, pa.binary())], schema=_PART)
+    blob = lambda f, x: pa.array([None if x is None else f(x[cuts[b] : cuts[b + 1]]) for b in some], pa.binary())
+    return some, [blob(blobs.pack_sorted, keys), *(blob(blobs.pack, x) for x in more)]
+
+
+def _by_bucket(g: int, keys: np.ndarray, seconds: np.ndarray | None, ids: np.ndarray | None, buckets: int) -> pa.Table:
+    """One row for each hash range that has keys; keys ascend."""
+    some, packed = _packed(keys, (seconds, ids), blobs.bucket_cuts(keys, buckets))
+    return pa.Table.from_arrays([pa.array(some, pa.int32()), pa.array([g] * some.size, pa.int32()), *packed], schema=_PART)
 
 
 def _probes(table: pa.Table, buckets: int) -> pa.Table:
@@ -83,7 +90,7 @@ def _probes(table: pa.Table, buckets: int) -> pa.Table:
         several = np.minimum.reduceat(ids, runs) != np.maximum.reduceat(ids, runs)
         keys = keys[runs] | np.maximum.reduceat(block, runs) | several.astype(np.uint64) << np.uint64(1)
     g = table.column("g")[0].as_py() if table.num_rows else 0
-    return _by_bucket(g, keys, None, buckets)
+    return _by_bucket(g, keys, None, None, buckets)
 
 
 def _hits(table: pa.Table) -> pa.Table:
@@ -100,18 +107,15 @@ def _hits(table: pa.Table) -> pa.Table:
         flags = np.bitwise_or.reduceat(keys & np.uint64(3), runs)
         hot = np.repeat((flags & np.uint64(1) > 0) & ((size > 1) | (flags & np.uint64(2) > 0)), size)
         keys, owner = keys[hot] & ~np.uint64(3), owner[hot]
-    return _answers(groups, keys, None, owner, len(lists))
+    return _answers(groups, keys, None, None, owner, len(lists))
 
 
-def _answers(groups: np.ndarray, keys: np.ndarray, ids: np.ndarray | None, owner: np.ndarray, n: int) -> pa.Table:
-    order = np.lexsort((keys, owner))
+def _answers(groups: np.ndarray, keys: np.ndarray, seconds: np.ndarray | None, ids: np.ndarray | None, owner: np.ndarray, n: int) -> pa.Table:
+    order = np.lexsort((keys, owner) if seconds is None else (seconds, keys, owner))
     keys, owner = keys[order], owner[order]
-    ids = None if ids is None else ids[order]
-    cuts = np.searchsorted(owner, np.arange(n + 1))
-    some = np.flatnonzero(np.diff(cuts))
-    packed = [blobs.pack_sorted(keys[cuts[k] : cuts[k + 1]]) for k in some]
-    more = [None if ids is None else blobs.pack(ids[cuts[k] : cuts[k + 1]]) for k in some]
-    return pa.Table.from_arrays([pa.array(groups[some], pa.int32()), pa.array(packed, pa.binary()), pa.array(more, pa.binary())], schema=_ANSWER)
+    more = tuple(None if x is None else x[order] for x in (seconds, ids))
+    some, packed = _packed(keys, more, np.searchsorted(owner, np.arange(n + 1)))
+    return pa.Table.from_arrays([pa.array(groups[some], pa.int32()), *packed], schema=_ANSWER)
 
 
 def _joined(table: pa.Table, column: str, ordered: bool) -> np.ndarray:
@@ -131,42 +135,36 @@ def _extend(table: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
     near = ts.covered(np.maximum(marks - (WINDOW - BLOCK), 0), WINDOW - BLOCK + 1, words.size)
     whole = ts.within_row(rows, WINDOW)
     places = np.flatnonzero(whole & near[: whole.size])
-    keys = ts.window_hashes(words, WINDOW)[places]
+    keys, seconds = _windows(words, places)
     ids = _ids(table)[rows[places]]
-    order = np.argsort(keys)
-    keys, ids = keys[order], ids[order]
-    runs = blobs.run_starts(keys)
+    order = np.lexsort((seconds, keys))
+    keys, seconds, ids = keys[order], seconds[order], ids[order]
+    runs = blobs.pair_starts(keys, seconds)
     if runs.size:
         low, high = np.minimum.reduceat(ids, runs), np.maximum.reduceat(ids, runs)
-        keys, ids = keys[runs], _shift(low) << np.uint64(1) | (low != high).astype(np.uint64)
-    return _by_bucket(table.column("g")[0].as_py(), keys, ids.astype(np.uint64), buckets)
-
-
-#: doc_id as an unsigned number in the same order, in 63 bits around the middle; ids beyond 62 bits are refused.
-_MIDDLE = np.int64(1 << 61)
+        keys, seconds, ids = keys[runs], seconds[runs] | (low != high).astype(np.uint64), low
+    return _by_bucket(table.column("g")[0].as_py(), keys, seconds, ids, buckets)
 
 
-def _shift(ids: np.ndarray) -> np.ndarray:
-    known = ids != NO_ID
-    if (np.abs(ids[known]) >= 1 << 61).any():
-        raise ValueError("doc_id beyond 61 bits")
-    return np.where(known, ids + _MIDDLE, np.int64(1 << 62)).astype(np.uint64)
+def _windows(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the windows at these places; the second one's low bit is 0."""
+    return ts.window_hashes(words, WINDOW)[places], ts.window_hashes(words, WINDOW, 2)[places] & ~_ONE
 
 
 def _smallest(table: pa.Table) -> pa.Table:
     """One hash range of all groups: tell each group which of its windows a smaller doc_id than some of its own has, and that doc_id."""
     groups = table.column("g").to_numpy()
     lists = [blobs.unpack_sorted(x.as_py()) for x in table.column("keys")]
-    keys, ids = np.concatenate([np.zeros(0, np.uint64), *lists]), _joined(table, "ids", False)
+    keys, seconds, ids = np.concatenate([np.zeros(0, np.uint64), *lists]), _joined(table, "seconds", False), _joined(table, "ids", False)
     owner = np.repeat(np.arange(len(lists)), [x.size for x in lists])
-    order = np.argsort(keys)
-    keys, ids, owner = keys[order], ids[order], owner[order]
-    runs = blobs.run_starts(keys)
+    order = np.lexsort((seconds, keys))
+    keys, seconds, ids, owner = keys[order], seconds[order], ids[order], owner[order]
+    runs = blobs.pair_starts(keys, seconds & ~_ONE)
     if runs.size:
-        low = np.repeat(np.minimum.reduceat(ids >> np.uint64(1), runs), np.diff(np.concatenate([runs, [keys.size]])))
-        tell = (low < ids >> np.uint64(1)) | (ids & np.uint64(1) > 0)
-        keys, ids, owner = keys[tell], low[tell], owner[tell]
-    return _answers(groups, keys, ids, owner, len(lists))
+        low = np.repeat(np.minimum.reduceat(ids, runs), np.diff(np.concatenate([runs, [keys.size]])))
+        tell = (low < ids) | (seconds & _ONE > 0)
+        keys, seconds, ids, owner = keys[tell], seconds[tell] & ~_ONE, low[tell], owner[tell]
+    return _answers(groups, keys, seconds, ids, owner, len(lists))
 
 
 def _cut(table: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
@@ -175,13 +173,12 @@ def _cut(table: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
     words, rows = _words(table)
     gone = np.zeros(words.size, bool)
     if answers.num_rows and n:
-        keys, low = _joined(answers, "keys", True), _joined(answers, "ids", False)
-        order = np.argsort(keys)
-        keys, low = keys[order], low[order]
+        keys, seconds, low = _joined(answers, "keys", True), _joined(answers, "seconds", False), _joined(answers, "ids", False)
+        order = np.lexsort((seconds, keys))
+        keys, seconds, low = keys[order], seconds[order], low[order]
         places = np.flatnonzero(ts.within_row(rows, WINDOW))
-        own = ts.window_hashes(words, WINDOW)[places]
-        found = np.minimum(np.searchsorted(keys, own), keys.size - 1)
-        marks = places[(keys[found] == own) & (low[found] < _shift(_ids(table))[rows[places]])]
+        found = blobs.holds(keys, seconds, *_windows(words, places))
+        marks = places[(found >= 0) & (low[found] < _ids(table)[rows[places]])]
         gone = ts.covered(marks, WINDOW, words.size)
     n_words = np.bincount(rows, minlength=n)
     removed = np.bincount(rows[gone], minlength=n)
@@ -189,10 +186,16 @@ def _cut(table: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
     digests, texts = [], []
     for i, text in enumerate(table.column("text")):
         text = text.as_py()
-        own = (text or "").encode().split()
-        if removed[i]:
-            own = [w for w, x in zip(own, gone[cuts[i] : cuts[i + 1]], strict=True) if not x]
-        kept = b" ".join(own)
+        at, parts = cuts[i], []
+        for piece in ts.text_pieces(np.frombuffer((text or "").encode(), np.uint8)):
+            own = piece.tobytes().split()
+            end = at + len(own)
+            if removed[i]:
+                own = [w for w, x in zip(own, gone[at:end], strict=True) if not x]
+            at = end
+            if own:
+                parts.append(b" ".join(own))
+        kept = b" ".join(parts)
         digests.append(hashlib.sha256(kept).hexdigest())
         texts.append(kept.decode() if removed[i] else text)
     out = table.drop_columns(["g", "rank"]) if keep_text else table.select(["doc_id"])
@@ -203,16 +206,16 @@ def _cut(table: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
     return out
 
 
-def _run(docs: DataFrame, keep_text: bool, group_bytes: int | None) -> DataFrame:
-    group_bytes = group_bytes or group_size(docs)
-    groups = 2 * parts_for(docs, group_bytes)
-    buckets = 2 * parts_for(docs, 4 * group_bytes)
-    columns = [c for c in docs.columns if c not in ("doc_id", "text")] if keep_text else []
+def _run(docs: DataFrame, columns: list[str], keep_text: bool, group_bytes: int | None) -> DataFrame:
+    """The result columns; column k of those carried is called ck."""
+    total = text_bytes(docs)
+    group_bytes = group_bytes or group_size(total)
+    spread = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    groups = groups_for(total, group_bytes, spread)
+    buckets = groups_for(total, 2 * group_bytes, spread)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.select(
-        "doc_id", "text", *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)),
-        F.col("doc_id").cast("long").alias("rank"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g"),
-    )
+    named = docs.select("doc_id", "text", *(F.col(c).alias(f"c{i}") for i, c in enumerate(columns)))
+    dealt = deal(named, groups, group_bytes).withColumn("rank", F.col("doc_id").cast("long")).repartition(groups_for(total, 2 * group_bytes, spread), "g")
     by_group = dealt.groupBy("g")
     probes = by_group.applyInArrow(lambda t: _probes(t, buckets), _PART_DDL)
     hits = probes.groupBy("bucket").applyInArrow(_hits, _ANSWER_DDL)
@@ -220,20 +223,19 @@ def _run(docs: DataFrame, keep_text: bool, group_bytes: int | None) -> DataFrame
     answers = windows.groupBy("bucket").applyInArrow(_smallest, _ANSWER_DDL)
     carried = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
     fields = f"doc_id {kind}{', text string' if keep_text else ''}{carried}, n_words long, n_removed long, kept_sha256 string"
-    return by_group.cogroup(answers.groupBy("g")).applyInArrow(lambda a, b: _cut(a, b, keep_text), fields).withColumnsRenamed({f"c{i}": c for i, c in enumerate(columns)})
+    return by_group.cogroup(answers.groupBy("g")).applyInArrow(lambda a, b: _cut(a, b, keep_text), fields)
 
 
 def removals(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
-    return _run(docs.select("doc_id", "text"), False, group_bytes)
+    return _run(docs, [], False, group_bytes)
 
 
 def dedup(docs: DataFrame, group_bytes: int | None = None) -> DataFrame:
-    """The documents without repeated passages, with their own columns. Texts that lose nothing stay as they are; documents that lose all their words go."""
-    if clash := {"n_words", "n_removed", "kept_sha256"} & set(docs.columns):
-        raise ValueError(f"columns already there: {sorted(clash)}")
-    out = _run(docs, True, group_bytes)
-    out = out.where("n_removed = 0 or n_removed < n_words")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    """The documents without repeated passages, with their own columns. Texts that lose nothing stay as they are; documents that lose all their words go. A column n_chars is counted anew where a text lost words."""
+    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = _run(docs, columns, True, group_bytes).where("n_removed = 0 or n_removed < n_words")
+    if "n_chars" in columns:
+        own = f"c{columns.index('n_chars')}"
+        out = out.withColumn(own, F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col(own)).cast(docs.schema["n_chars"].dataType))
+    return out.select("doc_id", "text", *(F.col(f"c{i}").alias(c) for i, c in enumerate(columns))).select(*docs.columns)

@@ -14,9 +14,11 @@ the first differing words give them in bytes, and the repeated intervals of at l
 (the transform's own column), are exactly the windows that start d bytes before a word and occur again. Answers go back to the
 group of documents that asked; nothing is collected or broadcast.
 
-Defined cases: a null text is empty (the SHA-256 is that of no bytes); texts under 200 bytes lose nothing; matches never cross
-documents but may be in one; rows with equal or null doc_id are documents of their own; an empty table gives an empty result;
-extra columns are ignored. Segments are told apart by 61-bit hashes of their text, counted windows by 63-bit ones.
+Defined cases: a null text is empty (the SHA-256 is that of no bytes); texts under 200 bytes lose nothing; a text of any length is
+cut whole (it is scanned in pieces, each window start in one of them); matches never cross documents but may be in one; rows with
+equal or null doc_id are documents of their own, and many copies of one row are dealt over groups; an empty table gives an empty
+result; extra columns are ignored. Segments of one anchor (64 bits) are told apart by 61-bit hashes of their text, counted windows
+by 127-bit ones.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.llm import blobs, bwt
 from pagestrata.llm import textscan as ts
-from pagestrata.llm.shared import group_size, parts_for
+from pagestrata.llm.shared import deal, group_size, groups_for, text_bytes
 
 WINDOW = 200
 ANCHOR = 32
@@ -49,59 +51,78 @@ MOST_TEXTS = 4096
 
 _PART = pa.schema([("bucket", pa.int32()), ("g", pa.int32()), ("anchors", pa.binary()), ("keys", pa.binary()), ("texts", pa.binary())])
 _PART_DDL = "bucket int, g int, anchors binary, keys binary, texts binary"
-_ANSWER = pa.schema([("g", pa.int32()), ("keys", pa.binary()), ("ranges", pa.binary())])
-_ANSWER_DDL = "g int, keys binary, ranges binary"
+_ANSWER = pa.schema([("g", pa.int32()), ("keys", pa.binary()), ("ranges", pa.binary()), ("seconds", pa.binary())])
+_ANSWER_DDL = "g int, keys binary, ranges binary, seconds binary"
+#: Bits of a place in a slice or piece of text, under which an anchor's hash is kept.
+PLACE_BITS = U64(24)
+#: Longer texts are scanned in pieces that overlap by a window.
+PIECE_BYTES = 1 << 20
 
 
 class Segments:
-    """The segments of one slice of texts: first byte, end, place of the anchor, the anchor's hash, and a key of the text (low three bits 0)."""
+    """The segments of one slice of texts, or of a piece of a longer text that begins at byte ``base``: first byte, end, place of the anchor, the anchor's hash, and a key of the text (low three bits 0)."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, base: int = 0):
         n = data.size
-        self.data, self.total = data, np.zeros(0, U64)
+        self.data, self.base, self.prefix = data, base, {}
         none = np.zeros(0, np.int64)
         self.start = self.end = self.anchor = none
         self.hash = self.key = np.zeros(0, U64)
         if n < WINDOW:
             return
-        up, down = ts._powers(n + 1, 1)
-        total = np.zeros(n + 1, U64)
-        np.cumsum((ts.mix(np.arange(256, dtype=U64) + U64(1)))[data] * up[:n], out=total[1:])
-        grams = ts.mix((total[ANCHOR:] - total[: n - ANCHOR + 1]) * down[: n - ANCHOR + 1])
-        bits = U64(max(24, n.bit_length()))
-        self.total, self.down = total, down
-        low = (grams >> bits << bits) | np.arange(grams.size, dtype=U64)
+        grams = self._hashes(np.arange(n - ANCHOR + 1), ANCHOR)
+        low = (grams >> PLACE_BITS << PLACE_BITS) | np.arange(grams.size, dtype=U64)
         width = 1
         while 2 * width <= SPAN:
             low = np.minimum(low[: low.size - width], low[width:])
             width *= 2
         m = n - WINDOW + 1
         low = np.minimum(low[:m], low[SPAN - width : SPAN - width + m])
-        rows = np.repeat(np.arange(offs.size - 1), np.diff(offs))
+        rows = np.repeat(np.arange(offs.size - 1, dtype=np.int32), np.diff(offs))
         at = np.flatnonzero(rows[:m] == rows[WINDOW - 1 :])
         if not at.size:
             return
-        anchor = (low[at] & ((U64(1) << bits) - U64(1))).astype(np.int64)
+        anchor = (low[at] & ((U64(1) << PLACE_BITS) - U64(1))).astype(np.int64)
         new = np.ones(at.size, bool)
         new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [at.size]]) - 1
-        self.start, self.end, self.anchor = at[first], at[last] + WINDOW, anchor[first]
-        self.hash = ts.mix(grams[self.anchor])  # the smallest hashes, spread over the whole range again
-        text = ts.mix((total[self.end] - total[self.start]) * down[self.start])
-        self.key = ts.mix(text ^ ts.mix(self.hash + (self.anchor - self.start).astype(U64) * U64(512) + (self.end - self.start).astype(U64))) & ~_CODE
-
-
-    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(first byte, hash with low bit 0) of the windows of some segments."""
+        start, end, anchor = at[first], at[last] + WINDOW, anchor[first]
+        self.hash = ts.mix(grams[anchor])  # the smallest hashes, spread over the whole range again
+        text = self._hashes(start, end - start)
+        self.key = ts.mix(text ^ ts.mix(self.hash + (anchor - start).astype(U64) * U64(512) + (end - start).astype(U64))) & ~_CODE
+        self.start, self.end, self.anchor = start + base, end + base, anchor + base
+
+    def _hashes(self, at: np.ndarray, size, lane: int = 1) -> np.ndarray:
+        """Hashes of the bytes from some places on."""
+        if lane not in self.prefix:
+            n = self.data.size
+            up, down = ts._powers(n + 1, lane)
+            total = np.zeros(n + 1, U64)
+            np.cumsum((ts.mix(np.arange(256, dtype=U64) + U64(lane)))[self.data] * up[:n], out=total[1:])
+            self.prefix[lane] = total, down
+        total, down = self.prefix[lane]
+        return ts.mix((total[at + size] - total[at]) * down[at])
+
+    def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first byte, hash, another hash with low bit 0) of the windows of some segments."""
         size = self.end[chosen] - self.start[chosen] - WINDOW + 1
         at = np.repeat(self.start[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return at, ts.mix((self.total[at + WINDOW] - self.total[at]) * self.down[at]) & ~U64(1)
+        return at, self._hashes(at - self.base, WINDOW), self._hashes(at - self.base, WINDOW, 2) & ~U64(1)
 
 
 def _slices(table: pa.Table):
-    for lo, hi, data, offs in ts.utf8_slices(table.column("text")):
-        yield lo, hi, offs, Segments(data, offs)
+    """(bytes, offsets, their Segments one after another) of runs of rows."""
+    for _, _, data, offs in ts.utf8_slices(table.column("text")):
+        if data.size <= 2 * PIECE_BYTES:
+            yield data, offs, iter([Segments(data, offs)])
+        else:
+            yield data, offs, (Segments(p, np.array([0, p.size]), at) for at in range(0, data.size, PIECE_BYTES) for p in [data[at : at + PIECE_BYTES + WINDOW - 1]])
+
+
+def _segments(table: pa.Table):
+    for _, _, found in _slices(table):
+        yield from found
 
 
 def _group(table: pa.Table) -> int:
@@ -110,7 +131,7 @@ def _group(table: pa.Table) -> int:
 
 def _probes(table: pa.Table, buckets: int) -> pa.Table:
     """A group's distinct segments, by anchor; bit 1 of a key: more than once here."""
-    found = [(s.hash, s.key) for _, _, _, s in _slices(table)]
+    found = [(s.hash, s.key) for s in _segments(table)]
     hashes = np.concatenate([np.zeros(0, U64), *(f[0] for f in found)])
     keys = np.concatenate([np.zeros(0, U64), *(f[1] for f in found)])
     order = np.lexsort((keys, hashes))
@@ -125,14 +146,14 @@ def _probes(table: pa.Table, buckets: int) -> pa.Table:
     return pa.Table.from_arrays([*columns, pa.nulls(some.size, pa.binary())], schema=_PART)
 
 
-def _answers(groups: np.ndarray, owner: np.ndarray, keys: np.ndarray, ranges: np.ndarray | None) -> pa.Table:
-    order = np.lexsort((keys, owner))
+def _answers(groups: np.ndarray, owner: np.ndarray, keys: np.ndarray, ranges: np.ndarray | None = None, seconds: np.ndarray | None = None) -> pa.Table:
+    order = np.lexsort((keys, owner) if seconds is None else (seconds, keys, owner))
     owner, keys = owner[order], keys[order]
     cuts = np.searchsorted(owner, np.arange(groups.size + 1))
     some = np.flatnonzero(np.diff(cuts))
     packed = [blobs.pack_sorted(keys[cuts[k] : cuts[k + 1]]) for k in some]
-    more = [None if ranges is None else blobs.pack(ranges[order][cuts[k] : cuts[k + 1]]) for k in some]
-    return pa.Table.from_arrays([pa.array(groups[some], pa.int32()), pa.array(packed, pa.binary()), pa.array(more, pa.binary())], schema=_ANSWER)
+    more = [[None if x is None else blobs.pack(x[order][cuts[k] : cuts[k + 1]]) for k in some] for x in (ranges, seconds)]
+    return pa.Table.from_arrays([pa.array(groups[some], pa.int32()), *(pa.array(x, pa.binary()) for x in (packed, *more))], schema=_ANSWER)
 
 
 def _sift(table: pa.Table, most_texts: int) -> pa.Table:
@@ -158,7 +179,7 @@ def _sift(table: pa.Table, most_texts: int) -> pa.Table:
     ship = (texts > 1) & ~many & new_text
     code = full.astype(U64) * FULL | ship.astype(U64) * SHIP | many.astype(U64) * COUNT
     tell = code > 0
-    return _answers(groups, owner[tell], plain[tell] | code[tell], None)
+    return _answers(groups, owner[tell], plain[tell] | code[tell])
 
 
 def _told(table: pa.Table) -> np.ndarray:
@@ -179,11 +200,11 @@ def _ship(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     told = _told(answers)
     told = told[told & (SHIP | COUNT) > 0]
     none = np.zeros(0, U64)
-    hashes, keys, meta, texts, seen, counted = [none], [none], [none], [], none, [none]
-    for _, _, _, s in _slices(table) if told.size else ():
+    hashes, keys, meta, texts, seen, counted = [none], [none], [none], [], none, [(none, none)]
+    for s in _segments(table) if told.size else ():
         code = _code(told, s.key)
         if (count := np.flatnonzero(code & COUNT > 0)).size:
-            counted.append(s.windows(count)[1])
+            counted.append(s.windows(count)[1:])
         one = np.flatnonzero(code & SHIP > 0)
         one = one[np.unique(s.key[one], return_index=True)[1]]
         one = one[~np.isin(s.key[one], seen)]
@@ -192,7 +213,7 @@ def _ship(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
         keys.append(s.key[one] | code[one])
         meta.append(((s.end - s.start)[one].astype(U64) << U64(32)) | (s.anchor - s.start)[one].astype(U64))
         raw = s.data.tobytes()
-        texts += [raw[a:b] for a, b in zip(s.start[one], s.end[one], strict=True)]
+        texts += [raw[a:b] for a, b in zip(s.start[one] - s.base, s.end[one] - s.base, strict=True)]
     hashes, keys, meta = np.concatenate(hashes), np.concatenate(keys), np.concatenate(meta)
     order = np.argsort(hashes, kind="stable")
     cuts = blobs.bucket_cuts(hashes[order], buckets)
@@ -200,12 +221,14 @@ def _ship(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     for b in np.flatnonzero(np.diff(cuts)):
         part = order[cuts[b] : cuts[b + 1]]
         rows.append((b, blobs.pack(meta[part]), blobs.pack(keys[part]), pa.compress(b"".join(texts[i] for i in part), codec="zstd", asbytes=True)))
-    windows = np.sort(np.concatenate(counted))
-    runs = blobs.run_starts(windows)
+    windows, seconds = (np.concatenate(x) for x in zip(*counted, strict=True))
+    order = np.lexsort((seconds, windows))
+    windows, seconds = windows[order], seconds[order]
+    runs = blobs.pair_starts(windows, seconds)
     again = np.diff(np.concatenate([runs, [windows.size]])) > 1
-    windows = windows[runs] | again.astype(U64)
+    windows, seconds = windows[runs], seconds[runs] | again.astype(U64)
     cuts = blobs.bucket_cuts(windows, buckets)
-    rows += [(b, None, blobs.pack_sorted(windows[cuts[b] : cuts[b + 1]]), None) for b in np.flatnonzero(np.diff(cuts))]
+    rows += [(b, blobs.pack(seconds[cuts[b] : cuts[b + 1]]), blobs.pack_sorted(windows[cuts[b] : cuts[b + 1]]), None) for b in np.flatnonzero(np.diff(cuts))]
     if not rows:
         return _PART.empty_table()
     bucket, anchors, packed, joined = zip(*rows, strict=True)
@@ -296,18 +319,19 @@ def _repeated_runs(text: np.ndarray, lengths: np.ndarray, anchors: np.ndarray) -
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Windows of one hash range that occur again, for each group that has them; their ranges are 0."""
+    """Windows of one hash range that occur again, for each group that has them."""
     lists = [blobs.unpack_sorted(x.as_py()) for x in table.column("keys")]
     owner = np.repeat(np.arange(len(lists)), [x.size for x in lists])
     keys = np.concatenate([np.zeros(0, U64), *lists])
-    order = np.argsort(keys)
-    keys, owner = keys[order], owner[order]
-    runs = blobs.run_starts(keys & ~U64(1))
+    seconds = np.concatenate([np.zeros(0, U64), *(blobs.unpack(x.as_py()) for x in table.column("anchors"))])
+    order = np.lexsort((seconds, keys))
+    keys, seconds, owner = keys[order], seconds[order], owner[order]
+    runs = blobs.pair_starts(keys, seconds & ~U64(1))
     if runs.size:
         size = np.diff(np.concatenate([runs, [keys.size]]))
-        again = np.repeat((size > 1) | (np.bitwise_or.reduceat(keys, runs) & U64(1) > 0), size)
-        keys, owner = keys[again] & ~U64(1), owner[again]
-    return _answers(table.column("g").to_numpy(), owner, keys, np.zeros(keys.size, U64))
+        again = np.repeat((size > 1) | (np.bitwise_or.reduceat(seconds, runs) & U64(1) > 0), size)
+        keys, seconds, owner = keys[again], seconds[again] & ~U64(1), owner[again]
+    return _answers(table.column("g").to_numpy(), owner, keys, seconds=seconds)
 
 
 def _compare(table: pa.Table) -> pa.Table:
@@ -352,33 +376,36 @@ def _align(table: pa.Table) -> pa.Table:
 
 def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
     n = table.num_rows
-    whole = answers.filter(pc.is_null(answers.column("ranges")))
-    told = _told(whole)
-    some = answers.filter(pc.is_valid(answers.column("ranges")))
-    keys = np.concatenate([np.zeros(0, U64), *(blobs.unpack_sorted(x.as_py()) for x in some.column("keys"))])
-    ranges = np.concatenate([np.zeros(0, U64), *(blobs.unpack(x.as_py()) for x in some.column("ranges"))])
+    ranged, paired = (pc.is_valid(answers.column(c)) for c in ("ranges", "seconds"))
+    told = _told(answers.filter(pc.invert(pc.or_(ranged, paired))))
+    numbers = lambda t, c, f=blobs.unpack: np.concatenate([np.zeros(0, U64), *(f(x.as_py()) for x in t.column(c))])
+    some, pairs = answers.filter(ranged), answers.filter(paired)
+    keys, ranges = numbers(some, "keys", blobs.unpack_sorted), numbers(some, "ranges")
     order = np.argsort(keys, kind="stable")
     keys, ranges = keys[order], ranges[order]
-    counted, keys, ranges = keys[ranges == 0], keys[ranges > 0], ranges[ranges > 0]
+    counted, seconds = numbers(pairs, "keys", blobs.unpack_sorted), numbers(pairs, "seconds")
+    order = np.lexsort((seconds, counted))
+    counted, seconds = counted[order], seconds[order]
     size, removed, spans, digests = [], [], [], []
-    for _, _, offs, s in _slices(table):
-        step = np.zeros(s.data.size + 1, np.int32)
-        code = _code(told, s.key)
-        full = code & FULL > 0
-        np.add.at(step, s.start[full], 1)
-        np.add.at(step, s.end[full], -1)
-        if counted.size and (open_ := np.flatnonzero((code & COUNT > 0) & ~full)).size:
-            at, windows = s.windows(open_)
-            again = at[counted[np.minimum(np.searchsorted(counted, windows), counted.size - 1)] == windows]
-            np.add.at(step, again, 1)
-            np.add.at(step, again + WINDOW, -1)
-        first, last = np.searchsorted(keys, s.key), np.searchsorted(keys, s.key, side="right")
-        many = last - first
-        at = np.repeat(s.start, many)
-        pick = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if many.size else np.zeros(0, np.int64)
-        np.add.at(step, at + (ranges[pick] >> U64(32)).astype(np.int64), 1)
-        np.add.at(step, at + (ranges[pick] & U64(0xFFFFFFFF)).astype(np.int64), -1)
-        gone = np.cumsum(step[:-1]) > 0
+    for data, offs, found in _slices(table):
+        step = np.zeros(data.size + 1, np.int32)
+        for s in found:
+            code = _code(told, s.key)
+            full = code & FULL > 0
+            np.add.at(step, s.start[full], 1)
+            np.add.at(step, s.end[full], -1)
+            if counted.size and (open_ := np.flatnonzero((code & COUNT > 0) & ~full)).size:
+                at, windows, others = s.windows(open_)
+                again = at[blobs.holds(counted, seconds, windows, others) >= 0]
+                np.add.at(step, again, 1)
+                np.add.at(step, again + WINDOW, -1)
+            first, last = np.searchsorted(keys, s.key), np.searchsorted(keys, s.key, side="right")
+            many = last - first
+            at = np.repeat(s.start, many)
+            pick = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum()) if many.size else np.zeros(0, np.int64)
+            np.add.at(step, at + (ranges[pick] >> U64(32)).astype(np.int64), 1)
+            np.add.at(step, at + (ranges[pick] & U64(0xFFFFFFFF)).astype(np.int64), -1)
+        gone = np.cumsum(step[:-1], out=step[:-1]) > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         heads = offs[:-1][offs[:-1] < offs[1:]]
@@ -387,7 +414,7 @@ def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
         removed.append(ts.per_row(gone, offs))
         spans.append(ts.per_row(begins, offs))
         for a, b, k in zip(offs[:-1], offs[1:], removed[-1], strict=True):
-            own = s.data[a:b]
+            own = data[a:b]
             digests.append(hashlib.sha256(own[~gone[a:b]].tobytes() if k else own.tobytes()).hexdigest())
     flat = lambda x: pa.array(np.concatenate(x) if n else [], pa.int64())
     return pa.Table.from_arrays([table.column("doc_id"), flat(size), flat(removed), flat(spans), pa.array(digests, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -396,11 +423,12 @@ def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
 def removals(docs: DataFrame, group_bytes: int | None = None, most_texts: int = MOST_TEXTS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     docs = docs.select("doc_id", "text")
-    group_bytes = group_bytes or group_size(docs)
-    groups = 2 * parts_for(docs, group_bytes)
-    buckets = 2 * parts_for(docs, group_bytes)
+    total = text_bytes(docs)
+    group_bytes = group_bytes or group_size(total)
+    spread = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    groups = buckets = groups_for(total, group_bytes, spread)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    by_group = docs.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int")).groupBy("g")
+    by_group = deal(docs, groups, group_bytes).repartition(groups_for(total, 2 * group_bytes, spread), "g").groupBy("g")
     probes = by_group.applyInArrow(lambda t: _probes(t, buckets), _PART_DDL)
     sifted = probes.groupBy("bucket").applyInArrow(lambda t: _sift(t, most_texts), _ANSWER_DDL)
     shipped = by_group.cogroup(sifted.groupBy("g")).applyInArrow(lambda a, b: _ship(a, b, buckets), _PART_DDL)

