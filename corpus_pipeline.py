@@ -2,6 +2,10 @@
 
 Every stage but the last returns the columns of documents. A run deletes a stage's scratch tables, and the rows that it read, once
 its own rows are written.
+
+Defined cases: those of the stages' operators, in turn. A null or empty text fails the quality rules, so it ends there; rows with a
+null doc_id stay but for their text's sake (quality, repeated passages, benchmark items), as no other document can name them; of rows
+with equal doc_id all or none are kept as copies; empty tables give no pieces; extra columns are carried to the last stage.
 """
 
 from __future__ import annotations
@@ -56,6 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = shared.new_path(spark, "stage")
         out.write.parquet(path)
         docs = spark.read.schema(out.schema).parquet(path)
-        shared.release(spark, used, docs)
+        shared.release(spark, used)
         used = [path]
     return docs
