@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pagestrata.llm import urlrules
-
 _WORD = r"[^\x20\x09-\x0D]+"
 
 #: A page's outcome is the label of the document with its number: bad if of quality 0 or toxic.
@@ -57,5 +55,24 @@ FROM (SELECT page_id, payload_bytes, payload_digest, min(page_id) OVER (PARTITIO
                    list_aggregate(list_transform(range(0, 40, 5), lambda i: list_aggregate(list_transform(range(0, 4), lambda k:
                      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha1(coalesce(html, '')), CAST(i + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * k AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest
             FROM pages) hashed) ranked""",
-    "op10_urlrules": urlrules.verdict_sql("pages", OUTCOMES),
+    "op10_urlrules": f"""
+WITH cut AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, split_part(split_part(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '?', 1), '#', 1) AS path FROM cut),
+r(verdict, host, path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+fits AS (SELECT DISTINCT p.host, p.path, r.host || r.path AS rule, r.verdict FROM p JOIN r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)),
+best AS (SELECT host, path, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM fits GROUP BY host, path),
+h AS (SELECT p.host, count(o.bad) AS n, coalesce(sum(o.bad), 0) AS bad, rtrim(regexp_replace(p.host, ':[0-9]*$', ''), '.') AS bare FROM p LEFT JOIN {OUTCOMES} o ON p.page_id = o.page_id GROUP BY p.host),
+labels_of AS (SELECT *, string_split(bare, '.') AS l, regexp_matches(bare, '^[0-9.]*[0-9][0-9.]*$') OR starts_with(bare, '[') AS address FROM h),
+depth AS (SELECT *, CASE WHEN len(l) > 1 AND regexp_matches(l[-1], '^[a-z][a-z]$') AND l[-2] IN ({", ".join(f"'{x}'" for x in ("ac", "co", "com", "edu", "gob", "gouv", "gov", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch"))}) THEN 2 ELSE 1 END AS k FROM labels_of),
+units AS (SELECT host, n, bad, CASE WHEN address THEN '' ELSE array_to_string(l[greatest(1, len(l) - k + 1):], '.') END AS suffix, CASE WHEN address THEN bare ELSE array_to_string(l[greatest(1, len(l) - k):], '.') END AS domain FROM depth),
+m AS (SELECT sum(bad) / sum(n) AS mean FROM units),
+per AS (SELECT 's' AS level, suffix AS unit, sum(n) AS n, sum(bad) AS bad FROM units GROUP BY suffix UNION ALL SELECT 'd', domain, sum(n), sum(bad) FROM units GROUP BY domain UNION ALL SELECT 'h', host, n, bad FROM units),
+spread AS (SELECT level, (sum(n * pow(bad / n - mean, 2)) - (count(*) - 1) * any_value(mean * (1 - mean))) / nullif(sum(n) - sum(n * n) / sum(n), 0) AS v, any_value(mean * (1 - mean)) AS top FROM per, m WHERE n > 0 GROUP BY level),
+k AS (SELECT max(CASE WHEN level = 's' THEN x END) AS s, max(CASE WHEN level = 'd' THEN x END) AS d, max(CASE WHEN level = 'h' THEN x END) AS h FROM (SELECT level, CASE WHEN v IS NULL OR v <= 0 THEN 1000 ELSE greatest(1, least(1000, top / v - 1)) END AS x FROM spread) t),
+sr AS (SELECT unit, (k.s * mean + bad) / (k.s + n) AS rate FROM per, k, m WHERE level = 's'),
+dr AS (SELECT per.unit, (k.d * sr.rate + per.bad) / (k.d + per.n) AS rate FROM per JOIN (SELECT DISTINCT domain, suffix FROM units) u ON u.domain = per.unit JOIN sr ON sr.unit = u.suffix, k WHERE level = 'd'),
+ab AS (SELECT host, k.h * dr.rate + bad AS a, k.h * (1 - dr.rate) + n - bad AS b FROM units JOIN dr ON dr.unit = units.domain, k),
+poor AS (SELECT host FROM ab WHERE a / (a + b) - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) > 0.5)
+SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN p.host IN (SELECT host FROM poor) THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best ON p.host = best.host AND p.path = best.path""",
 }

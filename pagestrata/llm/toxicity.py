@@ -1,12 +1,14 @@
 """Toxicity: a linear classifier over hashed character n-grams whose features are scaled by naive Bayes log-count ratios.
 
-Features are the distinct byte n-grams (3 to 5 bytes, A-Z lower-cased) of a text, hashed to ``BUCKETS``. Fitting uses at most
-``FIT_ROWS`` labelled documents of each class (those with the smallest hash of doc_id) and happens in one task; scoring is one
-scan of all texts. The intercept is moved from the sample's class share to the share among all labels that may be learnt from.
-
-Defined cases: a null or empty text has no features and gets the intercept's score; a null doc_id has no label and isn't held
-out; a doc_id labelled more than once is toxic if any label says 1; repeated rows are scored one by one; without labels of both
-classes the score is the share of toxic labels (0.5 without labels); extra columns are ignored.
+Features are the distinct n-grams (3 to 5 characters, lower case) of a text, hashed to ``BUCKETS``. Fitting uses at most ``FIT_ROWS``
+labelled documents of each class (those with the smallest hash of doc_id), and of these, in that order, as many as fill
+``FIT_FEATURES`` features; it happens in one task, whose memory those bounds hold. Scoring is one scan of all texts. The
+intercept is moved from the sample's class share to the share among all labels that may be learnt from.
+
+Defined cases: a null or empty text has no features and gets the intercept's score; a text of any length is scored whole (it is
+hashed in pieces); a null doc_id has no label and isn't held out; a doc_id labelled more than once is toxic if any label says 1; of
+several texts of one labelled doc_id the smallest is learnt from; repeated rows are scored one by one; without labels of both classes
+the score is the share of toxic labels (0.5 without labels); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,17 +27,21 @@ SIZES = (3, 4, 5)
 BITS = 18
 BUCKETS = 1 << BITS
 FIT_ROWS = 2000
+FIT_FEATURES = 1 << 25
+#: Characters that are hashed at a time.
+PIECE = 1 << 20
 ALPHA = 1.0
 #: Features seen in fewer of the sampled texts carry no weight.
 LEAST_TEXTS = 3
+#: Features with a log-count ratio nearer to 0 than this carry none either.
+LEAST_RATIO = 0.2
 PENALTY = 1e-4
 STEPS = 80
 RATE = 0.05
 FOLDS = 5
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _SEEDS = {n: np.uint64(0x9E3779B97F4A7C15 * n & ((1 << 64) - 1)) for n in SIZES}
+_FACTORS = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -43,29 +49,45 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
-def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of the distinct n-grams of each row, by row."""
-    padded = np.zeros(data.size + 8, np.uint8)
-    padded[: data.size] = _LOWER[data]
-    at = np.ndarray(shape=(data.size + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
-    rows = np.repeat(np.arange(offs.size - 1, dtype=np.uint64), np.diff(offs))
-    keys = []
-    for n in SIZES:
-        m = data.size - n + 1
+def _grams(text: str, lengths: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bucket, row) of all n-grams of texts laid end to end."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    rows = np.repeat(np.arange(len(lengths), dtype=np.uint64), lengths)
+    total = np.zeros(codes.size, np.uint64)
+    for k, factor in enumerate(_FACTORS):
+        m = codes.size - k
         if m <= 0:
-            continue
-        inside = rows[:m] == rows[n - 1 :]
-        gram = ts.mix((at[:m][inside] & np.uint64((1 << 8 * n) - 1)) ^ _SEEDS[n])
-        gram >>= np.uint64(64 - BITS)
-        gram |= rows[:m][inside] << np.uint64(BITS)
-        keys.append(gram)
-    if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    keys = np.sort(np.concatenate(keys))
-    first = np.ones(keys.size, bool)
-    np.not_equal(keys[1:], keys[:-1], out=first[1:])
-    keys = keys[first]
-    return (keys & np.uint64(BUCKETS - 1)).astype(np.int64), (keys >> np.uint64(BITS)).astype(np.int64)
+            break
+        total = total[:m] + codes[k:] * factor
+        if k + 1 in SIZES:
+            inside = rows[:m] == rows[k:]
+            yield ts.mix(total[inside] ^ _SEEDS[k + 1]) >> np.uint64(64 - BITS), rows[:m][inside]
+
+
+def features(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, buckets, rows counted from the first) of the distinct n-grams of each row, by row, for runs of texts."""
+    lo = 0
+    while lo < len(texts):
+        held: list[str] = []
+        size = 0
+        while lo + len(held) < len(texts) and (not held or size < PIECE):
+            held.append((texts[lo + len(held)] or "").lower())
+            size += len(held[-1])
+        if len(held) == 1 and size > PIECE:
+            seen = np.zeros(BUCKETS, bool)
+            for at in range(0, size, PIECE):
+                piece = held[0][at : at + PIECE + SIZES[-1] - 1]
+                for where, _ in _grams(piece, [len(piece)]):
+                    seen[where] = True
+            found = np.flatnonzero(seen)
+            yield lo, lo + 1, found, np.zeros(found.size, np.int64)
+        else:
+            keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(where | rows << np.uint64(BITS) for where, rows in _grams("".join(held), [len(t) for t in held]))]))
+            first = np.ones(keys.size, bool)
+            np.not_equal(keys[1:], keys[:-1], out=first[1:])
+            keys = keys[first]
+            yield lo, lo + len(held), (keys & np.uint64(BUCKETS - 1)).astype(np.int64), (keys >> np.uint64(BITS)).astype(np.int64)
+        lo += len(held)
 
 
 def train(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], share: float) -> tuple[np.ndarray, float]:
@@ -75,7 +97,8 @@ def train(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], share: float)
         for c in (0, 1):
             df[c] += np.bincount(where[y[rows] == c], minlength=BUCKETS)
     ratio = np.log(df[1] / df[1].sum()) - np.log(df[0] / df[0].sum())
-    ratio[df[0] + df[1] - 2 * ALPHA < LEAST_TEXTS] = 0
+    ratio[(df[0] + df[1] - 2 * ALPHA < LEAST_TEXTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
+    blocks = [(where[used], rows[used], y) for where, rows, y in blocks for used in [ratio[where] != 0]]
     n = sum(y.size for _, _, y in blocks)
     w, b = np.zeros(BUCKETS), 0.0
     m, v, mb, vb = np.zeros(BUCKETS), np.zeros(BUCKETS), 0.0, 0.0
@@ -98,12 +121,13 @@ def train(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], share: float)
 
 
 def _fit(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
-    blocks = []
+    blocks, used = [], 0
     for batch in batches:
         labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.float64)
-        for lo, hi, data, offs in ts.utf8_slices(batch.column(0)):
-            where, rows = features(data, offs)
-            blocks.append((where.astype(np.int32), rows.astype(np.int32), labels[lo:hi]))
+        for lo, hi, where, rows in features(batch.column(0).to_pylist()):
+            if used < FIT_FEATURES:
+                blocks.append((where.astype(np.int32), rows.astype(np.int32), labels[lo:hi]))
+                used += where.size
     if blocks:
         w, b = train(blocks, share)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["weights", "intercept"])
@@ -121,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     chosen = [known.where(F.col("label") == c).orderBy("turn", "doc_id").limit(FIT_ROWS) for c in (0, 1)]
     picked = F.broadcast(chosen[0].unionByName(chosen[1]).select("doc_id", "label"))  # 2 * FIT_ROWS rows at most
     sample = docs.select("doc_id", "text").join(picked, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    rows = sample.repartition(1).sortWithinPartitions("doc_id").select("text", "label").mapInArrow(lambda it: _fit(it, ones / n), "weights binary, intercept double").collect()
+    rows = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("text", "label").mapInArrow(lambda it: _fit(it, ones / n), "weights binary, intercept double").collect()
     if not rows or not np.isfinite(rows[0].intercept):
         return none, float(np.log(ones / (n - ones)))
     return np.frombuffer(rows[0].weights, np.float32), rows[0].intercept
@@ -130,9 +154,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
 def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, intercept: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for _, _, data, offs in ts.utf8_slices(batch.column(2), 1 << 20):
-            where, rows = features(data, offs)
-            z = np.bincount(rows, weights=weights[where], minlength=offs.size - 1) + intercept
+        for lo, hi, where, rows in features(batch.column(2).to_pylist()):
+            z = np.bincount(rows, weights=weights[where], minlength=hi - lo) + intercept
             out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
         score = np.concatenate(out) if out else np.zeros(0)
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])

@@ -1,24 +1,29 @@
 """URL filters: explicit host and path rules, and an empirical-Bayes host reputation where no rule fits. Plain SQL.
 
-Reputation: page outcomes (1: bad) are counted by host, registered domain (the last two labels) and suffix (the last label). At
-each level a beta prior's strength is fitted by moments of the beta-binomial; its mean is the posterior mean one level up, from
-all pages through suffix and domain to host. A host is blocked if the lower bound of its posterior bad rate exceeds ``LIMIT``.
+Reputation: page outcomes (1: bad) are counted by host, registered domain and public suffix. The suffix is the last label, or the
+last two where the last has two letters and the one before is a registry's second level (``SECOND_LEVEL``, a parameter); the
+registered domain is one label more. Ports and dots at the end are left out, and an address of numbers has itself as domain and an
+empty suffix. At each level a beta prior's strength is fitted by moments of the beta-binomial; its mean is the posterior mean one
+level up, from all pages through suffix and domain to host. A host is blocked if the lower bound of its posterior bad rate exceeds
+``LIMIT``.
 
-The host totals (one row a host) are written to the shared folder once; the rest reads them. The same statements, as common table
-expressions of one query, are the oracle.
+The totals of hosts, domains and suffixes (one row each) are written to the shared folder once, and the overall rate and the three
+strengths, four numbers, are read from them.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and is judged by the reputation of the empty host; a
-null page_id never matches an outcome; repeated rows are judged one by one and repeated outcomes of a page count each; without
-outcomes nothing is blocked but by rules; extra columns are ignored.
+null page_id never matches an outcome; repeated rows are judged one by one and repeated outcomes of a page count each; an url of any
+length is judged whole; without outcomes nothing is blocked but by rules; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from pagestrata.llm.shared import written
+from pagestrata.llm.shared import BROADCAST_ROWS, spread_join, written
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -27,6 +32,8 @@ LIMIT = 0.5
 BOUND = 1.645
 #: Least and largest strength of a prior, in pages.
 STRENGTH = (1.0, 1000.0)
+#: Labels under which registries of two-letter top levels register names.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gob", "gouv", "gov", "ltd", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "sch")
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -54,65 +61,60 @@ SELECT page_id, host, path, {_longest(rules, "rule")} AS rule, {_longest(rules,
     SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM {pages}) cut) parts"""
 
 
-def totals_sql(parsed: str, outcomes: str) -> str:
-    """host, domain, suffix, and the number of outcomes and of bad ones."""
-    return f"""
-SELECT host, regexp_extract(bare, '[^.]*[.]?[^.]*$', 0) AS domain, regexp_extract(bare, '[^.]*$', 0) AS suffix, n, bad FROM (
-  SELECT host, regexp_replace(host, ':[0-9]*$', '') AS bare, n, bad FROM (
-    SELECT p.host, CAST(count(o.bad) AS DOUBLE) AS n, CAST(coalesce(sum(o.bad), 0) AS DOUBLE) AS bad
-    FROM {parsed} p LEFT JOIN {outcomes} o ON p.page_id = o.page_id GROUP BY p.host) counted) named"""
-
-
-def _level(name: str, key: str, totals: str) -> str:
-    """Totals of one level's units, and the strength of the prior that their spread suggests."""
-    rate = "(SELECT rate FROM overall)"
-    return f"""
-{name}_totals AS (SELECT {key} AS unit, sum(n) AS n, sum(bad) AS bad FROM {totals} GROUP BY {key}),
-{name}_spread AS (
-  SELECT (sum(n * (bad / n - {rate}) * (bad / n - {rate})) - (count(*) - 1) * {rate} * (1 - {rate})) / nullif(sum(n) - sum(n * n) / sum(n), 0) AS between_units
-  FROM {name}_totals WHERE n > 0),
-{name}_strength AS (
-  SELECT CASE WHEN between_units IS NULL OR between_units <= 0 THEN {STRENGTH[1]}e0
-              ELSE greatest({STRENGTH[0]}e0, least({STRENGTH[1]}e0, {rate} * (1 - {rate}) / between_units - 1)) END AS strength FROM {name}_spread)"""
-
-
-def reputation_parts(totals: str) -> str:
-    """Common table expressions that end in ``reputation`` (host, poor)."""
-    return f"""
-overall AS (SELECT sum(bad) / nullif(sum(n), 0) AS rate FROM {totals}),{_level("suffix", "suffix", totals)},{_level("domain", "domain", totals)},{_level("host", "host", totals)},
-suffix_rate AS (
-  SELECT unit AS suffix, ((SELECT strength FROM suffix_strength) * (SELECT rate FROM overall) + bad) / ((SELECT strength FROM suffix_strength) + n) AS rate FROM suffix_totals),
-domain_rate AS (
-  SELECT u.domain, ((SELECT strength FROM domain_strength) * r.rate + t.bad) / ((SELECT strength FROM domain_strength) + t.n) AS rate
-  FROM (SELECT DISTINCT domain, suffix FROM {totals}) u JOIN suffix_rate r ON u.suffix = r.suffix JOIN domain_totals t ON u.domain = t.unit),
-posterior AS (
-  SELECT u.host, (SELECT strength FROM host_strength) * r.rate + u.bad AS a, (SELECT strength FROM host_strength) * (1 - r.rate) + u.n - u.bad AS b
-  FROM {totals} u JOIN domain_rate r ON u.domain = r.domain),
-reputation AS (
-  SELECT host, coalesce(a / (a + b) - {BOUND} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {LIMIT}, false) AS poor FROM posterior)"""
-
-
-def verdict_select(parsed: str) -> str:
-    return f"""
-SELECT r.page_id, r.host, r.path, r.rule, coalesce(r.ruling, CASE WHEN p.poor THEN 'block' ELSE 'allow' END) AS verdict
-FROM {parsed} r LEFT JOIN reputation p ON r.host = p.host"""
-
-
-def verdict_sql(pages: str, outcomes: str, rules: tuple = RULES) -> str:
-    """The whole query in one statement, over relations with page_id, url and with page_id, bad."""
-    return f"WITH parsed AS ({parsed_sql(pages, rules)}), totals AS ({totals_sql('parsed', outcomes)}), {reputation_parts('totals')} {verdict_select('parsed')}"
+def registered(host: Column, second_level: tuple[str, ...] = SECOND_LEVEL) -> tuple[Column, Column]:
+    """The registered domain and the public suffix of a host."""
+    bare = F.regexp_replace(F.regexp_replace(host, ":[0-9]*$", ""), "[.]+$", "")
+    address = bare.rlike(r"^[0-9.]*[0-9][0-9.]*$|^\[")
+    two = f"(?:{'|'.join(second_level)})[.][a-z]{{2}}" if second_level else "(?!)"
+    suffix = F.when(address, "").otherwise(F.regexp_extract(bare, rf"(?:^|[.])({two}|[^.]*)$", 1))
+    domain = F.when(address, bare).otherwise(F.regexp_extract(bare, rf"(?:^|[.])([^.]*[.](?:{two}|[^.]*)|[^.]*)$", 1))
+    return domain, suffix
+
+
+def _strength(totals: DataFrame, rate: float) -> float:
+    """Of the prior that the spread of the units' rates around the overall rate suggests."""
+    n, bad = F.col("n"), F.col("bad")
+    found = totals.where("n > 0").agg(F.sum(n * (bad / n - rate) * (bad / n - rate)), F.count("*"), F.sum(n), F.sum(n * n)).first()
+    around, units, pages, squares = found
+    if not units or pages - squares / pages <= 0:
+        return STRENGTH[1]
+    between = (around - (units - 1) * rate * (1 - rate)) / (pages - squares / pages)
+    return STRENGTH[1] if between <= 0 else max(STRENGTH[0], min(STRENGTH[1], rate * (1 - rate) / between - 1))
+
+
+def poor_hosts(hosts: DataFrame) -> DataFrame:
+    """The hosts (host, times, n, bad) that are blocked for their reputation, with their times."""
+    domain, suffix = registered(F.col("host"))
+    hosts = written(hosts.withColumn("domain", domain).withColumn("suffix", suffix), "hosts")
+    n, bad = F.sum("n").alias("n"), F.sum("bad").alias("bad")
+    domains = written(hosts.groupBy("domain").agg(F.min("suffix").alias("suffix"), n, bad, F.count("*").alias("times")), "domains")
+    suffixes = written(domains.groupBy("suffix").agg(n, bad, F.count("*").alias("times")), "suffixes")
+    pages, bad_pages = suffixes.agg(F.sum("n"), F.sum("bad")).first()
+    if not pages:
+        return hosts.where("false").select("host", "times")
+    rate = bad_pages / pages
+    by_suffix, by_domain, by_host = (_strength(t, rate) for t in (suffixes, domains, hosts))
+    shrunk = lambda strength, prior: (strength * prior + F.col("bad")) / (strength + F.col("n"))
+    rated = suffixes.select("suffix", shrunk(by_suffix, F.lit(rate)).alias("prior"), "times")
+    rated = spread_join(domains.select("domain", "suffix", "n", "bad", F.col("times").alias("hosts")), rated, "suffix", F.xxhash64("domain"))
+    rated = written(rated.select("domain", shrunk(by_domain, F.col("prior")).alias("prior"), F.col("hosts").alias("times")), "rated")
+    known = spread_join(hosts, rated, "domain", F.xxhash64("host"))
+    a, b = by_host * F.col("prior") + F.col("bad"), by_host * (1 - F.col("prior")) + F.col("n") - F.col("bad")
+    bound = a / (a + b) - BOUND * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))
+    return known.where(bound > LIMIT).select("host", "times")
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every page. Only page_id and url are read; texts of pages never move."""
     spark = pages.sparkSession
-    tag = uuid.uuid4().hex
-    names = {k: f"{k}_{tag}" for k in ("pages", "outcomes", "parsed", "totals")}
-    pages.select("page_id", "url").createOrReplaceTempView(names["pages"])
-    outcomes.select("page_id", "bad").createOrReplaceTempView(names["outcomes"])
-    spark.sql(parsed_sql(names["pages"], rules)).createOrReplaceTempView(names["parsed"])
-    written(spark.sql(totals_sql(names["parsed"], names["outcomes"])), "hosts").createOrReplaceTempView(names["totals"])
-    out = spark.sql(f"WITH {reputation_parts(names['totals'])} {verdict_select(names['parsed'])}")
-    for name in names.values():
-        spark.catalog.dropTempView(name)
-    return out
+    view = f"pages_{uuid.uuid4().hex}"
+    pages.select("page_id", "url").createOrReplaceTempView(view)
+    parsed = spark.sql(parsed_sql(view, rules))
+    spark.catalog.dropTempView(view)
+    counted = outcomes.where("page_id is not null").groupBy("page_id").agg(F.count("bad").alias("n"), F.sum("bad").alias("bad"))
+    hosts = parsed.join(counted, "page_id", "left").groupBy("host").agg(F.count("*").alias("times"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    poor = written(poor_hosts(hosts).withColumn("poor", F.lit(True)), "poor")
+    few = poor.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    known = parsed.join(F.broadcast(poor.drop("times")), "host", "left") if few else spread_join(parsed, poor, "host", F.xxhash64("page_id", "path"), "left")
+    verdict = F.coalesce("ruling", F.when(F.col("poor"), "block").otherwise("allow"))
+    return known.select("page_id", "host", "path", "rule", verdict.alias("verdict"))

@@ -6,11 +6,15 @@ itself a written table, so only segments of committed tasks are ever read, and a
 
 Reading: one pass over a segment's bytes in fixed chunks. Each member is inflated incrementally, its header is framed by the
 first empty line and its block by Content-Length; the block's and the payload's digests are recomputed and compared. Memory is one
-chunk and one header; the payload is held only if asked for.
+chunk and one header of any length; the payload is held only if asked for.
+
+A page's text moves once, to the task of its payload's digest, where it learns which page is the response; digests of many pages are
+dealt over salts.
 
 Defined cases: a null html is an empty payload, and equal payloads of any length, 0 included, share one response; a null page_id
-ranks after all others; pages tied on the smallest page_id are all responses; a null url is written as an empty target; an empty
-table makes no segment; extra columns are ignored.
+ranks after all others; pages tied on the smallest page_id, or all without one, are all responses; a null url is written as an empty
+target, an url of any length in full; a text is held whole while it is written; an empty table makes no segment; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagestrata.llm.shared import new_path, small_batches, written
+from pagestrata.llm.shared import new_path, small_batches, spread_join, written
 from pagestrata.sources import warcfile as wf
 from pagestrata.storage import filesystem
 
@@ -36,7 +40,6 @@ CHUNK = 1 << 18
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"
 PAGE, FIRST = "Page-Id", "Refers-To-Page-Id"
-MAX_HEADER = 1 << 20
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -100,8 +103,8 @@ def write_pages(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES, level: int
     """Write the archive; returns its segments: path, bytes, records."""
     small_batches(pages.sparkSession)
     held = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("digest"))
-    first = held.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    both = held.join(first, "digest").select("page_id", "url", "html", F.col("first_id").alias("refers_to"), (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("revisit"))
+    first = written(held.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("times")), "firsts")
+    both = spread_join(held, first, "digest", F.xxhash64("page_id", "url")).select("page_id", "url", "html", F.col("first_id").alias("refers_to"), (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("revisit"))
     folder = new_path(pages.sparkSession, "warc")
     return written(both.mapInArrow(lambda it: _write(it, folder, segment_bytes, level), "path string, bytes long, records long"), "segments")
 
@@ -126,14 +129,19 @@ class _Framer:
     def __init__(self, keep: bool):
         self.buffer, self.entry, self.left, self.keep = bytearray(), None, 0, keep
         self.block, self.inner, self.body, self.tail, self.held = hashlib.sha1(), bytearray(), None, b"", []
+        self.searched = 0
+
+    def _empty_line(self, buffer: bytearray) -> int:
+        """Where the first empty line begins, looking only at what is new; -1 while there is none."""
+        end = buffer.find(b"\r\n\r\n", self.searched)
+        self.searched = 0 if end >= 0 else max(0, len(buffer) - 3)
+        return end
 
     def feed(self, data: bytes) -> None:
         if self.entry is None:
             self.buffer += data
-            end = self.buffer.find(b"\r\n\r\n")
+            end = self._empty_line(self.buffer)
             if end < 0:
-                if len(self.buffer) > MAX_HEADER:
-                    raise ValueError("a record's header has no end")
                 return
             first, headers = wf.parse_headers(bytes(self.buffer[:end]))
             size = wf.first_value(headers, "Content-Length")
@@ -150,7 +158,7 @@ class _Framer:
         self.entry.block_bytes += len(part)
         if self.http and self.body is None:
             self.inner += part
-            end = self.inner.find(b"\r\n\r\n")
+            end = self._empty_line(self.inner)
             if end < 0:
                 return
             _, inner = wf.parse_headers(bytes(self.inner[:end]))

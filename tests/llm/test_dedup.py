@@ -11,6 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from pagestrata.llm import bwt, components, jaccard, substrings, suffixes
+from pagestrata.llm import textscan as ts
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -211,3 +212,72 @@ def test_components(spark):
 @pytest.mark.parametrize("run", [substrings.removals, suffixes.removals, jaccard.link_documents, jaccard.one_of_each, substrings.dedup])
 def test_empty_table(spark, run):
     assert run(frame(spark, [])).collect() == []
+
+
+FAR_IDS = lambda n: [(1 << 63) - 2 - k if k % 2 else -(1 << 63) + k for k in range(n)]
+
+
+@pytest.mark.parametrize("run,plain", [(substrings.removals, plain_substrings), (suffixes.removals, plain_suffixes), (jaccard.link_documents, plain_links)])
+def test_ids_of_64_bits(spark, run, plain):
+    texts = some_texts(8)
+    ids = FAR_IDS(len(texts))
+    assert result(run(frame(spark, texts, ids))) == plain(list(zip(ids, texts)))
+
+
+@pytest.mark.parametrize("run,plain", [(substrings.removals, plain_substrings), (suffixes.removals, plain_suffixes)])
+def test_repeated_rows_are_spread(spark, run, plain):
+    texts = (some_texts(9, 16) + ["x y " * 120] * 40) * 2
+    ids = [None] * len(texts)
+    assert result(run(frame(spark, texts, ids), group_bytes=3000)) == plain(list(zip(ids, texts)))
+
+
+@pytest.mark.parametrize("run,plain", [(substrings.removals, plain_substrings), (suffixes.removals, plain_suffixes)])
+def test_very_long_texts(spark, run, plain, monkeypatch):
+    rng = random.Random(10)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(420_000))
+    assert len(long) > 2 * ts.SLICE_BYTES
+    texts = [long, "head " + long[1_000_000:1_100_000] + " tail", long[: 1 << 20], None, "y" * 2_200_000]
+    assert result(run(frame(spark, texts))) == plain(list(enumerate(texts)))
+
+
+def test_links_of_very_long_texts(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(420_000)]
+    texts = [" ".join(words), " ".join(words[:-9]), " ".join(words[: len(words) // 2]), "x" * 2_200_000]
+    assert result(jaccard.link_documents(frame(spark, texts))) == plain_links(list(enumerate(texts)))
+
+
+def test_links_of_null_and_repeated_ids(spark):
+    rng = random.Random(14)
+    base = [rng.choice("abcdefghijklmnop") * rng.randint(1, 5) for _ in range(90)]
+    texts = []
+    for k in range(120):
+        own = base[:]
+        own[rng.randrange(90)] = f"changed{k % 50}"
+        texts.append(" ".join(own))
+    for ids in ([None] * 120, [7] * 120):
+        for options in ({}, {"block_sets": 20}):
+            assert result(jaccard.link_documents(frame(spark, texts, ids), **options)) == plain_links(list(zip(ids, texts)))
+
+
+def test_recall_of_links_at_the_least_similarity(spark):
+    rng = random.Random(15)
+    texts = []
+    for k in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(204)]
+        other = words[:]
+        for p in rng.sample(range(5, 199), 4):
+            other[p] = "changed"
+        texts += [" ".join(words), " ".join(other)]
+    want = plain_links(list(enumerate(texts)))
+    got = result(jaccard.link_documents(frame(spark, texts)))
+    links = sum(r[2] for r in want)
+    assert links > 200 and sum(r[2] for r in got) >= 0.99 * links
+
+
+@pytest.mark.parametrize("run", [substrings.dedup, jaccard.one_of_each])
+def test_clashing_columns_are_carried(spark, run):
+    names = ["g", "rank", "row", "row_hash", "salts", "salt", "n_words", "n_removed", "kept_sha256", "c0", "id", "k", "class_id", "size"]
+    docs = frame(spark, some_texts(16, 16)).selectExpr("*", *(f"'{n}' as {n}" for n in names))
+    out = run(docs)
+    assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {tuple(names)}

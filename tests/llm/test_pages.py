@@ -38,6 +38,13 @@ def test_archive_round_trip(spark):
     assert none.count() == 0 and warc.read_pages(none).collect() == []
 
 
+def test_long_headers_and_hot_payloads(spark):
+    rows = [(k, "http://h/" + "x" * (2_000_000 if k == 5 else 3), "<p>same</p>" if k % 2 else f"<p>{k}</p>") for k in range(400)]
+    docs = pages(spark, rows).selectExpr("*", "1 as times", "2 as salt", "3 as salts")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_pages(warc.write_pages(docs)).collect()}
+    assert got == {k: ("revisit", 1) if k % 2 and k > 1 else ("response", None) for k in range(400)}
+
+
 def test_reader_takes_any_chunks_and_finds_damage():
     records = [warc.page_record(k, "http://h", b"payload %d" % k * (k * 50), None if k else None, False) for k in range(5)]
     data = b"".join(wf.member(r) for r in records)
@@ -87,3 +94,65 @@ def test_reputation_blocks_bad_hosts_and_borrows_from_domains(spark):
     assert all(got[k] == ("allow" if k % 4 == 0 else "block") for k in range(400))
     assert got[1001] == "allow" and len(got) == 402
     assert urlrules.judge(pages(spark, []), spark.createDataFrame(outcomes, "page_id long, bad int")).collect() == []
+
+
+def test_registered_domains(spark):
+    hosts = {"a.example.com": ("example.com", "com"), "a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "10.1.2.3": ("10.1.2.3", ""), "10.1.2.3:80": ("10.1.2.3", ""), "example.com.": ("example.com", "com"), "example.com:8080": ("example.com", "com"), "localhost": ("localhost", "localhost"), "": ("", ""), "[::1]": ("[::1]", ""), "com.de": ("com.de", "com.de"), "x.com.de": ("x.com.de", "com.de"), "xcom.de": ("xcom.de", "de")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    domain, suffix = urlrules.registered(df.host)
+    assert {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()} == hosts
+
+
+def plain_poor(hosts):
+    """host: (n, bad) -> hosts whose posterior bound is over the limit, by loops."""
+    def unit(h, depth):
+        return ".".join(h.split(".")[-depth:])
+
+    def strength(units, mean):
+        units = [(n, b) for n, b in units.values() if n]
+        total = sum(n for n, _ in units)
+        room = total - sum(n * n for n, _ in units) / total
+        if room <= 0:
+            return 1000
+        v = (sum(n * (b / n - mean) ** 2 for n, b in units) - (len(units) - 1) * mean * (1 - mean)) / room
+        return 1000 if v <= 0 else min(1000, max(1, mean * (1 - mean) / v - 1))
+
+    levels = []
+    for depth in (1, 2):
+        found = {}
+        for h, (n, b) in hosts.items():
+            u = unit(h, depth)
+            found[u] = tuple(map(sum, zip(found.get(u, (0, 0)), (n, b))))
+        levels.append(found)
+    mean = sum(b for _, b in hosts.values()) / sum(n for n, _ in hosts.values())
+    s, d, k = strength(levels[0], mean), strength(levels[1], mean), strength(hosts, mean)
+    out = set()
+    for h, (n, b) in hosts.items():
+        n0, b0 = levels[0][unit(h, 1)]
+        n1, b1 = levels[1][unit(h, 2)]
+        prior = (d * (s * mean + b0) / (s + n0) + b1) / (d + n1)
+        x, y = k * prior + b, k * (1 - prior) + n - b
+        if x / (x + y) - 1.645 * (x * y / ((x + y) ** 2 * (x + y + 1))) ** 0.5 > 0.5:
+            out.add(h)
+    return out
+
+
+def test_posterior_equals_a_plain_version(spark):
+    import random
+
+    rng = random.Random(3)
+    hosts = {}
+    for d in range(40):
+        poor = rng.random()
+        for h in range(rng.randint(1, 5)):
+            n = rng.choice([0, 1, 3, 20, 200])
+            hosts[f"h{h}.d{d}.{rng.choice(['com', 'info'])}"] = (n, sum(rng.random() < poor for _ in range(n)))
+    df = spark.createDataFrame([(h, n + 1, float(n), float(b)) for h, (n, b) in hosts.items()], "host string, times long, n double, bad double")
+    want = plain_poor(hosts)
+    assert 5 < len(want) < len(hosts) and {r.host for r in urlrules.poor_hosts(df).collect()} == want
+
+
+def test_url_rules_with_repeated_rows_and_clashing_columns(spark):
+    docs = pages(spark, [(1, "http://a.net/x", ""), (1, "http://a.net/x", ""), (None, None, None)]).selectExpr("*", "'x' as host", "'y' as path", "1 as poor", "2 as bad", "3 as ruling")
+    outcomes = spark.createDataFrame([(1, 1), (1, 0), (None, 1)], "page_id long, bad int")
+    assert sorted(map(tuple, urlrules.judge(docs, outcomes).collect()), key=repr) == sorted([(1, "a.net", "/x", "net/", "block")] * 2 + [(None, "", "", None, "allow")], key=repr)

@@ -39,6 +39,40 @@ def test_quality_counts_and_verdicts(spark):
         assert r.kept == (not r.base_failed and r.score >= quality.THRESHOLD)
 
 
+def test_quality_scores_are_mean_log_ratios(spark):
+    texts = some_texts(13)
+    trusted = {i for i in range(0, len(texts), 2) if i % 3}
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i in range(0, len(texts), 2)], "doc_id long, quality int, toxic int")
+    grams = [(lambda w: [(x,) for x in w] + list(zip(w, w[1:])))(WORDS.findall(t or "")) for t in texts]
+    raw, target = Counter(x for g in grams for x in g), Counter(x for i in trusted for x in grams[i])
+    rate = sum(target.values()) / sum(raw.values())
+    ratio = {x: np.log((target[x] + quality.SMOOTHING * rate) / (rate * (raw[x] + quality.SMOOTHING))) for x in raw}
+    for r in quality.measure(frame(spark, texts), labels).collect():
+        own = grams[r.doc_id]
+        want = sum(ratio[x] for x in own) / len(own) if own else 0
+        assert abs(r.score - want) < 0.002  # a few n-grams of thousands may share a bucket
+        if abs(want - quality.THRESHOLD) > 0.002:
+            assert r.kept == (not plain_counts(texts[r.doc_id])[-1] and want >= quality.THRESHOLD)
+
+
+def test_quality_keeps_clashing_columns_and_repeated_rows(spark):
+    texts = ["some plain words that go on for a while and never repeat", None, ""] * 3
+    names = ["score", "kept", "n_words", "base_failed", "c0", "whole_text"]
+    docs = frame(spark, texts, [1, None, 2] * 3).selectExpr("*", *(f"'{n}' as {n}" for n in names))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    out = quality.filter_documents(docs, none)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, texts[0], *names)] * 3
+
+
+def test_quality_of_a_very_long_text(spark):
+    rng = random.Random(17)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(700_000)) + "\n" + "x" * 1_500_000 + " end #"
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    r = quality.measure(frame(spark, [text]), none).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_counts(text)
+
+
 def test_quality_without_labels_or_documents(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     texts = some_texts(12)
@@ -55,6 +89,70 @@ def test_quality_tells_junk_from_prose(spark):
     assert len(kept & set(range(150))) >= 148 and not kept & set(range(150, 200))
 
 
+def plain_features(text):
+    """The distinct n-grams of 3 to 5 characters."""
+    t = (text or "").lower()
+    return {t[i : i + n] for n in (3, 4, 5) for i in range(len(t) - n + 1)}
+
+
+def test_toxicity_features_are_the_distinct_character_ngrams(spark, monkeypatch):
+    texts = ["Straße ÀÉ Σ日本語", "aaaaaaa", "", None, "ab", "x" * 50 + "yz", "İstanbul 😀😀😀"]
+    for piece in (1 << 20, 7):
+        monkeypatch.setattr(toxicity, "PIECE", piece)
+        seen = {}
+        for lo, hi, where, rows in toxicity.features(texts):
+            for r in range(lo, hi):
+                seen[r] = set(where[rows == r - lo].tolist())
+        names = {}
+        for r, t in enumerate(texts):
+            want = plain_features(t)
+            assert len(seen[r]) == len(want)  # no collisions among so few
+            for g in want:
+                names.setdefault(g, set()).update(seen[r])
+        for g in names:  # equal n-grams share a bucket wherever they occur
+            assert set.intersection(*(seen[r] for r, t in enumerate(texts) if g in plain_features(t)))
+
+
+def test_toxicity_training_equals_a_plain_version():
+    rng = random.Random(19)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    texts, y = [], []
+    for i in range(120):
+        bad = i % 3 == 0
+        texts.append(" ".join(rng.choice(words) for _ in range(12)) + (" wretch" if bad else ""))
+        y.append(float(bad))
+    y = np.array(y)
+    blocks = [(where.astype(np.int32), rows.astype(np.int32), y[lo:hi]) for lo, hi, where, rows in toxicity.features(texts)]
+    weights, intercept = toxicity.train(blocks, 0.2)
+    # the same by dense matrices over the n-grams themselves
+    grams = sorted(set().union(*map(plain_features, texts)))
+    x = np.array([[g in f for g in grams] for f in map(plain_features, texts)], float)
+    counts = [toxicity.ALPHA + x[y == c].sum(0) for c in (0, 1)]
+    total = [c.sum() + toxicity.ALPHA * (toxicity.BUCKETS - len(grams)) for c in counts]
+    ratio = np.log(counts[1] / total[1]) - np.log(counts[0] / total[0])
+    ratio[(x.sum(0) < toxicity.LEAST_TEXTS) | (np.abs(ratio) < toxicity.LEAST_RATIO)] = 0
+    x = x * ratio
+    w, m, v = (np.zeros(len(grams) + 1) for _ in range(3))
+    x1 = np.hstack([x, np.ones((len(y), 1))])
+    for step in range(1, toxicity.STEPS + 1):
+        p = 1 / (1 + np.exp(-(x1 @ w)))
+        grad = x1.T @ (p - y) / len(y) + toxicity.PENALTY * np.append(w[:-1], 0)
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8 / np.sqrt(1 - 0.999**step))
+    want = x @ w[:-1] + w[-1] + np.log(0.2 / 0.8) - np.log(y.sum() / (len(y) - y.sum()))
+    got = np.concatenate([np.bincount(rows, weights=weights[where], minlength=hi - lo) + intercept for lo, hi, where, rows in toxicity.features(texts)])
+    assert np.abs(got - want).max() < 0.02
+
+
+def test_toxicity_with_repeated_rows(spark):
+    texts = ["a wretch", "a friend"] * 40
+    ids = [k // 4 for k in range(80)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(20)] * 2, "doc_id long, quality int, toxic int")
+    docs = frame(spark, texts, ids, extra=True).selectExpr("*", "1 as score", "2 as predicted")
+    rows = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
+    assert sorted(r.doc_id for r in rows) == ids and len({(r.doc_id, r.score) for r in rows}) <= 40
+
+
 def test_toxicity_on_held_out_labels(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
@@ -124,6 +222,69 @@ def test_differencing_balances(spark):
     assert packing.difference([], 3) == [[], [], []] and packing.fill_windows([]) == []
 
 
+def plain_difference(sizes, windows):
+    """Multiway differencing as the definition says, every partition with all its windows."""
+    parts = [sorted([(s, [i])] + [(0, [])] * (windows - 1), key=lambda w: -w[0]) for i, s in enumerate(sizes)]
+    while len(parts) > 1:
+        parts.sort(key=lambda p: -(p[0][0] - p[-1][0]))
+        a, b = parts.pop(0), parts.pop(0)
+        parts.append(sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, reversed(b))), key=lambda w: -w[0]))
+    return parts[0]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_differencing_equals_the_plain_version(seed):
+    rng = random.Random(seed)
+    sizes = rng.sample(range(1, 100_000), 40)  # no ties, whose order is free
+    for windows in (2, 3, 7, 39):
+        got = sorted(sum(sizes[i] for i in w) for w in packing.difference(sizes, windows))
+        assert got == sorted(w[0] for w in plain_difference(sizes, windows))
+
+
+def test_windows_rise_where_capacity_is_exceeded():
+    assert [sum(p[2] for p in w) for w in packing.fill_windows([4, 4, 4], 12)] == [12]
+    risen = 0
+    for seed in range(300):
+        rng = random.Random(seed)
+        sizes = [rng.randint(0, 40) for _ in range(rng.randint(1, 30))]
+        windows = packing.fill_windows(sizes, 16)
+        assert all(0 < sum(p[2] for p in w) <= 16 for w in windows)
+        held = sorted((i, start, n) for w in windows for i, start, n in w)
+        for i, size in enumerate(sizes):
+            at = 0
+            for _, start, n in (p for p in held if p[0] == i):
+                assert start == at
+                at += n
+            assert at == size
+        risen += len(windows) > -(-sum(sizes) // 16)
+    assert risen > 10
+
+
+def test_packing_sizes_groups_by_the_texts(spark):
+    texts = ["word " * rng_n for rng_n in (300, 900, 20, 5, 1200, 640)] * 30
+    docs = frame(spark, texts)
+    plain = packing.pack(docs).select("sequence_id").distinct().count()
+    joined = docs.join(docs.selectExpr("doc_id"), "doc_id").join(docs.selectExpr("doc_id"), "doc_id")
+    assert packing.pack(joined).select("sequence_id").distinct().count() == plain
+
+
+@pytest.mark.parametrize("text", [None, "one two three " * 40])
+def test_packing_spreads_repeated_rows(spark, text):
+    docs = frame(spark, [text] * 400, [None] * 400)
+    rows = packing.pack(docs, group_bytes=4096).collect()
+    groups = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(groups) > 3 and max(groups.values()) < len(rows) / 2
+    assert sum(r.length for r in rows) == 400 * rows[0].doc_tokens
+
+
+def test_packing_a_very_long_text(spark):
+    rng = random.Random(23)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(1, 9))) for _ in range(250_000))
+    rows = sorted(packing.pack(frame(spark, [text]), with_ids=True).collect(), key=lambda r: r.start)
+    got = np.concatenate([np.frombuffer(r.ids, "<u4") for r in rows])
+    assert got.tolist() == [*packing.tokenizer().encode(text, add_special_tokens=False).ids, packing.END_ID]
+
+
 def test_ids_of_words_equal_the_tokenizers(spark):
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyzABCXYZ" * 2 + "éèüñßçÉÜ0123456789'!,.-#$%_*()&<|>ΣσİǺ̈—«»日\u00a0\u3000½"
@@ -178,16 +339,79 @@ def test_decontamination(spark):
     assert decontaminate.judge(docs.where("false"), bench).collect() == []
 
 
-def test_blocks_find_every_fingerprint_within_the_radius():
+def test_simhash_and_its_index(spark):
     rng = random.Random(8)
-    bounds = decontaminate.block_bounds()
-    assert sum(n for _, n in bounds) == 64 and bounds[0][0] == 0
-    for _ in range(500):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), decontaminate.RADIUS):
+    lists = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 9, 40, 300)] + [[7] * 5]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, h array<bigint>")
+    def plain(x):
+        bits = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in x) > len(x))
+        return bits - (1 << 64) if bits >> 63 else bits
+    assert [r.p for r in df.select("i", decontaminate.simhash(df.h).alias("p")).orderBy("i").collect()] == [plain(x) for x in lists]
+    pairs = []
+    for k in range(200):
+        a = b = rng.getrandbits(64)
+        for bit in rng.sample(range(64), decontaminate.RADIUS if k % 2 else rng.randint(0, decontaminate.RADIUS)):
             b ^= 1 << bit
-        assert any((a >> at) % (1 << n) == (b >> at) % (1 << n) for at, n in bounds)
+        pairs.append((k, a - (1 << 63), (b - (1 << 63))))
+    df = spark.createDataFrame(pairs, "k int, a bigint, b bigint")
+    left = df.selectExpr("k", "a").select("k", decontaminate.F.explode(decontaminate.blocks(decontaminate.F.col("a"))).alias("x")).select("k", "x.no", "x.bits")
+    right = df.select("k", decontaminate.F.explode(decontaminate.blocks(decontaminate.F.col("b"))).alias("x")).select("k", "x.no", decontaminate.F.explode(decontaminate.neighbours(decontaminate.F.col("x.bits"))).alias("bits"))
+    assert left.join(right, ["k", "no", "bits"]).select("k").distinct().count() == 200
+
+
+def test_decontamination_recall_and_candidates(spark):
+    """Against exact windows: edited leaks around the least similarity."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(40))) for k in range(20)]
+    texts = []
+    for k in range(300):
+        leak = items[k % 20][1].split()
+        for _ in range(k % 3):
+            leak[rng.randrange(len(leak))] = "edited"
+        texts.append(" ".join([word() for _ in range(20)] + leak + [word() for _ in range(20)]))
+    want = plain_contamination(texts, items)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r.item_ids for r in decontaminate.judge(frame(spark, texts), bench).collect()}
+    hits = [i for i, w in want.items() if w]
+    assert len(hits) > 100 and all(set(got[i]) <= set(want[i]) for i in got)
+    assert sum(got[i] == want[i] for i in hits) >= 0.99 * len(hits)
+
+
+def test_decontamination_keeps_clashing_columns_and_repeated_rows(spark):
+    item = " ".join(f"w{k}" for k in range(20))
+    names = ["own_id", "own_fp", "fp", "hashes", "row", "start"]
+    docs = frame(spark, [item, "clean words only here now", None, "clean words only here now", item], [1, 2, None, 2, None]).selectExpr("*", *(f"'{n}' as {n}" for n in names))
+    bench = spark.createDataFrame([(1, item), (1, item), (None, item)], "item_id long, text string")
+    out = decontaminate.clean(docs, bench)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(2, "clean words only here now", *names)] * 2 + [(None, None, *names)], key=repr)
+    judged = sorted(((r.doc_id, r.item_ids) for r in decontaminate.judge(docs, bench).collect()), key=repr)
+    assert judged == sorted([(1, [None, 1]), (2, []), (None, []), (2, []), (None, [None, 1])], key=repr)
+
+
+def plain_fill(names, slots):
+    """Shards take turns, each with its whole list of preferences spelled out."""
+    from hashlib import md5
+
+    number = lambda t: int(md5(t.encode()).hexdigest()[:12], 16)
+    lists = {n: [(number(f"start/{n}") + j * (number(f"step/{n}") % (slots - 1) + 1)) % slots for j in range(slots)] for n in names}
+    owner = {}
+    while len(owner) < slots:
+        for n in sorted(names):
+            free = [s for s in lists[n] if s not in owner]
+            if free:
+                owner[free[0]] = n
+    return [owner[s] for s in range(slots)]
+
+
+@pytest.mark.parametrize("names,slots", [(["a"], 7), (["b", "a", "c"], 101), ([f"s{k}" for k in range(13)], 211)])
+def test_table_is_filled_in_turns(names, slots):
+    assert [names[i] for i in sharding.fill(names, slots)] == plain_fill(names, slots)
+
+
+def test_sharding_an_empty_table(spark):
+    assert sharding.place(frame(spark, []), "doc_id").collect() == []
 
 
 def test_sharding(spark):
