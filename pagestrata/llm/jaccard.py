@@ -35,7 +35,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 RECALL = 0.999
 MOST_HASHES = 128
-BLOCK_SETS = 512
+BLOCK_SETS = 2048
 BLOCK_SHINGLES = 4_000_000
 #: Shingles in at most this many sets of a block are paired up one by one, others by matrix products.
 RARE = 12
