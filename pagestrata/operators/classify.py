@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.functions.text import looks_like_image
+from pagestrata.functions.urls import host_of
 
 # fixed values: verdicts, what each does to a queue item, and the pauses after which work may go on
 VERDICTS = ("ok", "blocked", "challenge", "login", "gone", "soft404", "unknown")
@@ -35,7 +36,6 @@ class Markers:
     not_found: str = "Page not found"
     captcha: str = "(?i)captcha"
     abnormal: str = "unusual requests|too many requests"
-    login_link: str = 'class="nav-login"'
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ GENERIC = Profile(frames=("<html", "<title>"), item_anchor="<li>", user_nav="<ht
 
 def _rules(u: Column, s: Column, b: Column, profile: Profile, markers: Markers) -> list[tuple[Column, str, str | None, str]]:
     """(holds, verdict, reason, text) in order; where none holds, the verdict is ok."""
-    host = F.lower(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)", 1))
+    host = F.regexp_replace(host_of(u), ":[0-9]*$", "")
     secured = (host == markers.security_host) | F.endswith(host, F.lit(f".{markers.security_host}"))
     captcha, abnormal = b.rlike(markers.captcha), b.rlike(markers.abnormal)
     drifted = ~u.rlike(profile.url_anchor) if profile.url_anchor else F.lit(False)

@@ -112,6 +112,11 @@ def merge_list_pages(pages: DataFrame, key: str, start: str, items: str) -> Data
     return out.withColumn("items", F.when(F.size("items") > 0, F.col("items")))
 
 
+def sample_failures(sample: DataFrame, kind: str, failed: Column) -> DataFrame:
+    """Pages of each kind in a sample, and those that could not be rendered."""
+    return sample.groupBy(kind).agg(F.count("*").alias("pages"), F.sum(F.when(F.coalesce(failed, F.lit(True)), 1).otherwise(0)).alias("failures"))
+
+
 def render_sample(captures: DataFrame, kind: str, order: str, limit: int = 30) -> DataFrame:
     """The first pages of each content kind."""
     from pyspark.sql import Window

@@ -11,6 +11,8 @@ from pagestrata.operators.classify import VERDICTS
 
 # fixed values: closed vocabularies of the index and the manifest
 SURFACES = ("html", "api", "asset")
+FIDELITIES = ("raw", "decoded_body+observed_headers", "decoded_body+filtered_headers")
+REQUIRED = ("capture_id", "warc_record_id", "segment", "offset", "length", "url", "intent", "route_key", "surface", "verdict", "capture_fidelity", "observed_at")
 STATUSES = ("in_progress", "complete", "aborted")
 CLAIMS = ("completeness", "reconciled", "complete", "is_complete")
 
@@ -21,16 +23,17 @@ def _broken(rules: dict[str, Column]) -> Column:
 
 
 def index_rules(rows: DataFrame) -> DataFrame:
-    """``broken``: rules of index rows that don't hold."""
+    """``broken``: rules of index rows that don't hold. A required field that is null breaks a rule of its own; one that isn't null may still break the rule on its values."""
     c = F.col
+    given = lambda name, ok: c(name).isNull() | ok
     return rows.withColumn("broken", _broken({
-        "capture_id": c("capture_id").isNotNull() & (c("capture_id") != ""),
-        "segment": c("segment").isNotNull() & (c("segment") != ""),
-        "offset": c("offset") >= 0,
-        "length": c("length") >= 1,
-        "verdict": c("verdict").isin(*VERDICTS),
-        "surface": c("surface").isin(*SURFACES),
-        "observed_at": has_offset(c("observed_at")),
+        **{f"missing_{name}": c(name).isNotNull() for name in REQUIRED},
+        "offset": given("offset", c("offset") >= 0),
+        "length": given("length", c("length") >= 1),
+        "verdict": given("verdict", c("verdict").isin(*VERDICTS)),
+        "surface": given("surface", c("surface").isin(*SURFACES)),
+        "capture_fidelity": given("capture_fidelity", c("capture_fidelity").isin(*FIDELITIES)),
+        "observed_at": given("observed_at", has_offset(c("observed_at"))),
         "empty_not_ok": F.coalesce(c("content_sha256") != EMPTY_SHA256, F.lit(True)) | (c("verdict") != "ok"),
         "reason_only_unknown": c("verdict_reason").isNull() | (c("verdict") == "unknown"),
     }))

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagestrata.storage import new_path
+
 MAX_DEPTH = 1000
 
 
@@ -21,6 +23,22 @@ def pick_floors(state: DataFrame, order: tuple[str, ...] = ("time_key", "bundle_
     return good.groupBy("route_key").agg(best.alias("b")).select("route_key", F.col("b.bundle_id").alias("floor_from_bundle_id"), F.col("b.high_water_time").alias("floor_time"))
 
 
+def _recursive(spark: SparkSession, text: str) -> DataFrame:
+    """A recursive statement, run under limits of its own: its rows are written, and the session's settings are as before."""
+    limits = {"spark.sql.cteRecursionLevelLimit": str(MAX_DEPTH), "spark.sql.cteRecursionRowLimit": "-1"}
+    before = {k: spark.conf.get(k, None) for k in limits}
+    path = new_path(spark, "walk")
+    try:
+        for k, v in limits.items():
+            spark.conf.set(k, v)
+        found = spark.sql(text)
+        found.write.parquet(path)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def _walk(pairs: DataFrame, starts: DataFrame, columns: str) -> DataFrame:
     """Rows (head, bundle_id, depth) of every start's walk along ``previous_bundle_id``."""
     spark = pairs.sparkSession
@@ -28,9 +46,7 @@ def _walk(pairs: DataFrame, starts: DataFrame, columns: str) -> DataFrame:
     p, s = f"pairs_{tag}", f"starts_{tag}"
     pairs.createOrReplaceTempView(p)
     starts.createOrReplaceTempView(s)
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(MAX_DEPTH))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    return spark.sql(f"""
+    return _recursive(spark, f"""
         WITH RECURSIVE walk(head, bundle_id, next_id, depth, path) AS (
           SELECT s.head, p.bundle_id, p.previous_bundle_id, 0, array(p.bundle_id) FROM {s} s JOIN {p} p ON s.head = p.bundle_id
           UNION ALL
@@ -69,9 +85,7 @@ def chain_coverage(state: DataFrame) -> DataFrame:
     spark = state.sparkSession
     view = f"state_{uuid.uuid4().hex}"
     state.createOrReplaceTempView(view)
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", str(MAX_DEPTH))
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    proven = spark.sql(f"""
+    proven = _recursive(spark, f"""
         WITH RECURSIVE proof(route_key, bundle_id, contiguous, floor_time, source, path) AS (
           SELECT s.route_key, s.bundle_id, s.contiguous, s.floor_time, s.floor_from_bundle_id, array(s.bundle_id)
           FROM {view} s JOIN (SELECT route_key, min(pos) AS pos FROM {view} GROUP BY route_key) f ON s.route_key = f.route_key AND s.pos = f.pos

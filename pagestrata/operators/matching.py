@@ -95,6 +95,12 @@ def plan_import(candidates: DataFrame, existing: DataFrame, relations: DataFrame
     return rows.select("pos", "bundle_id", action.alias("action"))
 
 
+def import_totals(plan: DataFrame, sizes: DataFrame) -> DataFrame:
+    """How many candidates of a plan are imported or resumed, and their bytes (``sizes``: pos, bytes)."""
+    going = plan.where("action in ('import', 'resume')").join(sizes.select("pos", "bytes"), "pos", "left")
+    return going.groupBy("action").agg(F.count("*").alias("bundles"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
+
+
 def deletion_candidates(older: DataFrame, newer: DataFrame, runs: DataFrame) -> DataFrame:
     """Items of routes that a full and contiguous newer run no longer has. Not a feature of archives of partial runs."""
     whole = runs.where("enumeration = 'full' and contiguous").select("route_key")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: event kinds, idle batches, and which error names mean what
@@ -132,6 +132,12 @@ def idle_batches(batches: DataFrame, by: str, order: str, progressed: Column, li
     return network_down(batches, by, order, ~progressed, limit).withColumnsRenamed({"run": "idle", "down": "stalled"})
 
 
+def within_budget(batches: DataFrame, by: str, order: str, took_ms: str, budget_ms: int) -> DataFrame:
+    """Batches that are begun: each drive goes on while the batches before took less than the budget, so the last one may pass it."""
+    before = F.sum(took_ms).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return batches.withColumn("spent_ms", F.coalesce(before, F.lit(0))).where(F.col("spent_ms") < budget_ms)
+
+
 def derived_captures(captures: DataFrame) -> DataFrame:
     """Captures with the route of the capture that they come from."""
     parents = captures.select(F.col("capture_id").alias("parent_capture_id"), F.col("route_key").alias("parent_route"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagestrata.functions.ids import segment_kind, segment_number
+
 # fixed values: queue states, the routes that known captures come from, and files beside an archive's own
 STATES = ("pending", "in_flight", "done", "failed", "awaiting_human", "terminal_stop")
 ITEM_ROUTES = ("interest.item",)
@@ -22,8 +24,18 @@ def index_counts(captures: DataFrame) -> DataFrame:
 
 
 def bundle_summary(captures: DataFrame) -> DataFrame:
-    """Captures and bytes of each bundle's routes."""
-    return captures.groupBy("bundle_id", "route_key").agg(F.count("*").alias("captures"), F.sum("length").alias("bytes"), F.sum(F.when(F.col("verdict") == "ok", 1).otherwise(0)).alias("ok"))
+    """(bundle_id, dimension, value, captures, bytes): of each bundle's routes and verdicts, in one pass."""
+    dims = F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("route_key", "verdict"))))
+    rows = captures.select("bundle_id", "length", dims.alias("d")).select("bundle_id", "length", "d.*")
+    return rows.groupBy("bundle_id", "dimension", "value").agg(F.count("*").alias("captures"), F.sum("length").alias("bytes"))
+
+
+def bundle_sizes(captures: DataFrame, segments: DataFrame) -> DataFrame:
+    """Captures and bytes of each bundle: exact where its manifest declares segments, else the sum of its records, which is a lower bound."""
+    own = captures.groupBy("bundle_id").agg(F.count("*").alias("captures"), F.sum("length").alias("record_bytes"))
+    declared = segments.groupBy("bundle_id").agg(F.sum("bytes").alias("segment_bytes"))
+    both = own.join(declared, "bundle_id", "left")
+    return both.select("bundle_id", "captures", F.coalesce("segment_bytes", "record_bytes").alias("total_bytes"), F.col("segment_bytes").isNotNull().alias("exact"))
 
 
 def items_by_route(captures: DataFrame) -> DataFrame:
@@ -37,6 +49,12 @@ def segment_state(captures: DataFrame) -> DataFrame:
     return captures.groupBy("segment").agg(F.count("*").alias("records"), F.min_by("capture_id", "seq").alias("first_capture_id"), F.max_by("capture_id", "seq").alias("last_capture_id"))
 
 
+def segment_numbers(captures: DataFrame) -> DataFrame:
+    """Segments of each kind and the highest number among them, where the next one goes on; names of another shape don't count."""
+    named = captures.select("segment").distinct().select(segment_kind(F.col("segment")).alias("kind"), segment_number(F.col("segment")).alias("number")).where("kind is not null and number is not null")
+    return named.groupBy("kind").agg(F.count("*").alias("segments"), F.max("number").alias("highest"))
+
+
 def segment_extents(captures: DataFrame) -> DataFrame:
     return captures.groupBy("segment").agg(F.max(F.col("offset") + F.col("length")).alias("extent"))
 

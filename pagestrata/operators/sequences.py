@@ -64,6 +64,15 @@ def route_watermarks(items: DataFrame, by: str = "route_key", at: str = "ts", it
     return marks.join(ids, by, "left").withColumn("high_ids", F.coalesce("high_ids", F.array().cast(ids.schema["high_ids"].dataType)))
 
 
+def page_floors(items: DataFrame, floors: DataFrame, by: str = "route_key", at: str = "ts", raw: str = "raw") -> DataFrame:
+    """(by, page, reached_floor, unparsable): whether a page has a time at or before its route's floor, and how many of its times are text that is none, each a gap. Missing times are neither."""
+    rows = items.join(floors.select(by, "floor"), by, "left")
+    return rows.groupBy(by, "page").agg(
+        F.coalesce(F.max(F.col(at) <= F.col("floor")), F.lit(False)).alias("reached_floor"),
+        F.sum(F.when(F.col(at).isNull() & (F.coalesce(raw, F.lit("")) != ""), 1).otherwise(0)).alias("unparsable"),
+    )
+
+
 def item_time_range(items: DataFrame, by: tuple[str, ...] = ("route_key", "page"), raw: str = "raw", order: str = "pos") -> DataFrame:
     """The oldest and newest time of each page, as written: compared as instants, the first of equal ones kept. Text that is no time with an offset doesn't count; pages without any have no row."""
     ms = instant_ms(F.col(raw))
@@ -128,5 +137,22 @@ def frontier_next(frontier: DataFrame, started: DataFrame, n: int = 1) -> DataFr
 
 
 def replay_list(captures: DataFrame, since: int, derives: Column, cap: int = 100) -> DataFrame:
-    """The newest captures after ``since`` that lead to more work."""
+    """The newest captures after ``since`` that lead to more work, up to ``cap``."""
     return captures.where((F.col("seq") > since) & derives).orderBy(F.col("seq").desc()).limit(cap)
+
+
+def replay_truncated(captures: DataFrame, since: int, derives: Column, cap: int = 100) -> DataFrame:
+    """How many captures ``replay_list`` leaves out: one row."""
+    return captures.where((F.col("seq") > since) & derives).agg(F.greatest(F.lit(0), F.count("*") - cap).alias("truncated"))
+
+
+def open_gates(frontier: DataFrame, state: DataFrame) -> DataFrame:
+    """Routes whose run can advance and that have nothing pending: what waits for them may go."""
+    busy = frontier.where(F.col("state") == "pending").select("route_key").distinct()
+    return state.where("can_advance").select("route_key").distinct().join(busy, "route_key", "left_anti")
+
+
+def gated(frontier: DataFrame, gates: DataFrame) -> DataFrame:
+    """The queue with ``gate_open``: an item without ``gated_by`` is never held."""
+    opened = gates.select(F.col("route_key").alias("gated_by"), F.lit(True).alias("opened"))
+    return frontier.join(opened, "gated_by", "left").withColumn("gate_open", F.col("gated_by").isNull() | F.coalesce("opened", F.lit(False))).drop("opened")

@@ -67,6 +67,12 @@ FROM {lineitem} GROUP BY 'b' || CAST(l_orderkey % 97 AS STRING), CASE WHEN l_lin
 SELECT CAST(event_id AS BIGINT) AS seq, 'k' || CAST(user_id * 31 % 400 AS STRING) AS url_key, 'r' || CAST(user_id % 40 AS STRING) AS route_key,
        CASE WHEN event_id % 97 = 0 THEN 'in_flight' WHEN event_id % 89 = 0 THEN 'failed' WHEN event_id % 7 = 0 THEN 'done' ELSE 'pending' END AS state,
        user_id % 2 = 0 AS ordered, CAST(user_id % 5 AS INTEGER) AS priority, event_id % 6 <> 0 AS gate_open
+FROM {events}""",
+    # pages, gaps and ends of runs, as a stream brings them
+    "run_rows": """
+SELECT CAST(user_id % 20 AS STRING) AS route_key, CASE WHEN event_id % 50 = 49 THEN 'end' WHEN event_id % 400 = 7 THEN 'gap' ELSE 'page' END AS kind,
+       CAST(floor(event_id / 10.0) AS BIGINT) AS page, CAST(CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 37 END AS BIGINT) AS id,
+       CAST(CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_id * 7 % 5003 END AS BIGINT) AS ts, CASE WHEN event_id % 110 = 0 THEN 'soon' ELSE NULL END AS raw, CAST(event_id AS BIGINT) AS event_id
 FROM {events}""",
     # times as sites write them
     "raw_times": """

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +9,9 @@ from pyspark.sql import functions as F
 
 from pagestrata.functions import digests, ids, text, times, urls
 from pagestrata.operators import classify, extract, invariants, lineage, matching, policies, rollups, sequences
+from pagestrata.operators import routes as site_routes
 from pagestrata.plans.adapters import adapt, table
-from pagestrata.sources import bundle
+from pagestrata.sources import bundle, copying
 from pagestrata.storage import new_path
 from pagestrata.streaming import routes
 
@@ -27,9 +27,14 @@ def query(f: Query) -> Query:
 # --- scalar functions -------------------------------------------------------------------------------------------------
 
 
+#: What is put behind every third URL, by its number: tracking, order, escapes, malformed codes, missing values, dots and odd characters.
+URL_TAILS = ("", "?utm_source=a&z=1&a=2&a=1", "?q=a%20b&p=c+d&%75tm_term=x", "?e=%zz&f=%C3%A9&g=é&h=~*-._", "?flag&empty=&&=v#frag?x=1", "/a/./b/../c d/é", "/x%2Fy/<z>", "?start=1&sort=t&ck=9")
+
+
 @query
 def url_key(spark, d):
-    return table(spark, d, "pages").select("page_id", urls.url_key(F.concat("url", F.when(F.col("page_id") % 3 == 0, "").when(F.instr("url", "?") > 0, "").otherwise(F.lit("?utm_source=a&z=1&a=2&a=1")))).alias("url_key"))
+    tail = F.get(F.array(*(F.lit(t) for t in URL_TAILS)), (F.col("page_id") % len(URL_TAILS)).cast("int"))
+    return table(spark, d, "pages").select("page_id", urls.url_key(F.concat(F.substring_index("url", "?", 1), tail)).alias("url_key"))
 
 
 @query
@@ -145,7 +150,9 @@ def claimed_delta(spark, d):
 
 @query
 def dq_index_rules(spark, d):
-    rows = adapt(spark, d, "captures").select("capture_id", "segment", (F.col("start_at") - 50).alias("offset"), (F.col("length") % 1000).alias("length"), "verdict", F.when(F.col("seq") % 8 == 0, "other").otherwise(F.col("surface")).alias("surface"),
+    seq = F.col("seq")
+    rows = adapt(spark, d, "captures").select("capture_id", F.when(seq % 19 != 0, seq.cast("string")).alias("warc_record_id"), F.when(seq % 17 != 0, "u").alias("url"), F.when(seq % 23 != 0, F.col("intent")).alias("intent"), "route_key",
+        F.when(seq % 12 == 0, "cooked").when(seq % 13 != 0, "raw").alias("capture_fidelity"), "segment", (F.col("start_at") - 50).alias("offset"), (F.col("length") % 1000).alias("length"), "verdict", F.when(F.col("seq") % 8 == 0, "other").otherwise(F.col("surface")).alias("surface"),
         F.concat("observed_at", F.when(F.col("seq") % 9 == 0, "").otherwise("T00:00:00+08:00")).alias("observed_at"), F.when(F.col("seq") % 10 == 0, digests.EMPTY_SHA256).alias("content_sha256"), F.when(F.col("seq") % 11 == 0, "x").alias("verdict_reason"))
     return invariants.index_rules(rows).select("capture_id", F.array_join("broken", ",").alias("broken"))
 
@@ -511,30 +518,367 @@ def warc_roundtrip(spark, d):
     return read.select(F.col("seq").alias("page_id"), "url", F.octet_length("body").alias("bytes"), F.sha2("body", 256).alias("sha256"))
 
 
-def _event_stream(spark, d):
-    """The table as a stream of its files; its folder of links is made so that a single file can be a source."""
-    source = table(spark, d, "events")
-    folder = new_path(spark, "event-stream")
-    source.repartitionByRange(4, "event_id").write.parquet(folder)
-    return spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 2).parquet(folder)
+def _in_order(spark, rows, order, parts=4):
+    """A stream of files that come one after another, each with its range of ``order``. They are written one by one, as a stream takes files by age."""
+    folder = new_path(spark, "stream-source")
+    low, high = rows.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        rows.coalesce(1).write.parquet(folder)
+    else:
+        width = (high - low) // parts + 1
+        for k in range(parts):
+            rows.where(F.col(order).between(low + k * width, low + (k + 1) * width - 1)).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def _ended(stream, mode, checkpoint, put=None, path=None):
+    """Run a stream over all that is there."""
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    (out.foreachBatch(put) if put else out.format("parquet").option("path", path)).start().awaitTermination()
 
 
 @query
 def stream_event_window(spark, d):
-    counts = routes.event_windows(_event_stream(spark, d))
-    name = f"windows_{uuid.uuid4().hex}"
-    counts.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    """Counts by day, as the windows were when the last batch had come. Each batch's rows are a folder of files."""
+    out = new_path(spark, "windows")
+    put = lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/part={k}")
+    _ended(routes.event_windows(_in_order(spark, table(spark, d, "events"), "event_id"), late="4000 days"), "update", new_path(spark, "checkpoint"), put)
+    rows = spark.read.parquet(out).groupBy("window", "event_type").agg(F.max_by("n", "batch").alias("n"))
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @query
 def stream_route_state(spark, d):
-    """Each route's last state, after its events came in micro-batches and each batch's run ended."""
-    rows = _event_stream(spark, d).select(
-        (F.col("user_id") % 20).cast("string").alias("route_key"), F.when(F.col("event_id") % 50 == 49, "end").when(F.col("event_id") % 400 == 7, "gap").otherwise("page").alias("kind"),
-        F.floor(F.col("event_id") / 10).alias("page"), (F.col("event_id") % 37).alias("id"), F.col("event_id").alias("ts"))
+    """Each route's last state, after its rows came in micro-batches."""
+    rows = adapt(spark, d, "run_rows").select("route_key", "kind", "page", "id", "ts", "raw")
     out = new_path(spark, "route-state")
     put = lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{out}/part={k}")
-    routes.route_state(rows).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", new_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    with routes.map_state(spark):
+        _ended(routes.route_state(_in_order(spark, rows, "page")), "update", new_path(spark, "checkpoint"), put)
     states = spark.read.parquet(out)
-    return states.groupBy("route_key").agg(F.max_by(F.struct("high_water", "low_water", "gaps", "pages", "items", "stalled"), "batch").alias("s")).select("route_key", "s.*")
+    return states.groupBy("route_key").agg(F.max_by(F.struct("high_water", "pending_high", "low_water", "gaps", "pages", "items", "stalled"), "batch").alias("s")).select("route_key", "s.*")
+
+
+@query
+def stream_write_once(spark, d):
+    """Events written by batches, all of them twice: as a replay would."""
+    out = new_path(spark, "once")
+    source = _in_order(spark, table(spark, d, "events").select("event_id", "event_type"), "event_id")
+    for _ in range(2):
+        routes.write_idempotent(source, out, new_path(spark, "checkpoint"), "event_id").awaitTermination()
+    return spark.read.parquet(out).select("event_id", "event_type")
+
+
+# --- more functions and policies --------------------------------------------------------------------------------------
+
+
+@query
+def url_tokens(spark, d):
+    name = F.get(F.array(*(F.lit(n) for n in ("ck", "CK", "utm_source", "start"))), (F.col("page_id") % 4).cast("int"))
+    url = F.when(F.col("page_id") % 7 == 0, "no url").otherwise(F.concat("url", F.when(F.col("page_id") % 3 == 0, "?ck=1").when(F.col("page_id") % 3 == 1, "?a=1").otherwise("")))
+    return table(spark, d, "pages").select("page_id", urls.is_tracking_param(name).alias("tracking"), urls.with_token(url, "ck", "t").alias("with_token"), urls.is_shortlink(url, ["example.com", "example.net"]).alias("shortlink"))
+
+
+@query
+def digest_fields(spark, d):
+    fields = digests.digest_fields(F.create_map(F.lit("text"), F.col("text"), F.lit("source"), F.col("source")))
+    return table(spark, d, "documents").select("doc_id", fields["text"].alias("text"), fields["source"].alias("source"))
+
+
+@query
+def bundle_names(spark, d):
+    made = ids.new_bundle_id(F.col("o_orderdate").cast("timestamp"), F.lpad(F.hex("o_orderkey"), 6, "0"))
+    rows = table(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 9 == 0, "odd").otherwise(F.lower(made)).alias("id")).withColumn("bundle_id", F.replace(F.replace("id", F.lit("t"), F.lit("T")), F.lit("z"), F.lit("Z")))
+    b = F.col("bundle_id")
+    segment = ids.segment_filename(F.when(F.col("o_orderkey") % 2 == 0, "data").otherwise("assets"), b, F.col("o_orderkey") * 50)
+    return rows.select(
+        "o_orderkey", "bundle_id", ids.is_bundle_id(b).alias("valid"), F.date_format(ids.bundle_time(b), "yyyy-MM-dd").alias("day"), ids.bundle_of_directory(ids.directory_name(b)).alias("from_directory"),
+        ids.index_filename(b).alias("index_file"), segment.alias("segment"), ids.segment_number(segment).alias("number"), ids.segment_kind(segment).alias("kind"))
+
+
+@query
+def decoded_entities(spark, d):
+    raw = F.concat(F.lit("&amp;lt; "), "p_name", F.lit(" &lt;&#65;&#x42;&gt; &odd; &quot;"), F.col("p_partkey").cast("string"), F.lit("&quot; & &#0;"))
+    return table(spark, d, "part").select("p_partkey", text.decode_entities(raw).alias("decoded"))
+
+
+@query
+def capture_labels(spark, d):
+    seq = F.col("seq")
+    kind = F.get(F.array(F.lit("page"), F.lit("start"), F.lit(None).cast("string")), (seq % 3).cast("int"))
+    at = F.when(seq % 7 != 0, F.concat(F.col("observed_at"), F.lit("T01:02:03Z")))
+    rows = adapt(spark, d, "captures")
+    return rows.select(
+        "seq", text.short_id(F.col("capture_id")).alias("short_id"), policies.human_time(F.concat("observed_at", F.when(seq % 5 == 0, "?").otherwise(" 10:20:30"))).alias("human_time"),
+        policies.capture_title(F.col("route_key"), kind, seq, F.col("url_key")).alias("title"), policies.capture_subtitle(F.col("item_count"), at, at, F.concat("observed_at", F.lit("T05:06:07+08:00")), seq % 2 == 0).alias("subtitle"),
+        policies.subject_label(F.concat(F.lit("/"), F.when(seq % 2 == 0, "book").otherwise("film"), F.lit("/"), seq.cast("string")), [("/book/([0-9]+)", "Book"), ("/film/([0-9]+)", "Film")]).alias("subject"))
+
+
+@query
+def state_labels(spark, d):
+    n = F.col("o_orderkey")
+    names = spark.createDataFrame([("1-URGENT", "Urgent"), ("2-HIGH", "High"), ("5-LOW", "Low")], "o_orderpriority string, name string")
+    rows = policies.with_labels(table(spark, d, "orders"), names, "o_orderpriority", "name")
+    return rows.select("o_orderkey", "name", policies.contiguity_label(n % 4 == 0, n % 3 == 0, (n % 5).cast("int")).alias("contiguity"), policies.chain_headline((n % 3).cast("int")).alias("headline"))
+
+
+@query
+def offset_times(spark, d):
+    at, n = F.col("o_orderdate").cast("timestamp") + F.expr("make_interval(0, 0, 0, 0, 0, 0, o_orderkey % 86400 + 0.25)"), F.col("o_orderkey")
+    done = F.when(n % 3 == 0, times.to_rfc3339(at, 480)).when(n % 3 == 1, "yesterday")
+    bundle_id = F.when(n % 2 == 0, "20240102T030405Z-00ff00").otherwise("odd")
+    return table(spark, d, "orders").select("o_orderkey", times.to_rfc3339(at, 480).alias("local"), times.to_rfc3339(at, -210).alias("west"), times.warc_date(at).alias("warc_date"), times.time_key(done, bundle_id).alias("time_key"))
+
+
+@query
+def same_account(spark, d):
+    n = F.col("c_custkey")
+    user, name = F.when(n % 4 != 0, (n % 3).cast("string")), F.when(n % 5 != 0, (n % 2).cast("string"))
+    return table(spark, d, "customer").select("c_custkey", *(classify.same_account(user, name, *want).alias(c) for c, want in {"both": ("1", "0"), "by_id": ("1", None), "by_name": (None, "0"), "any": (None, None)}.items()))
+
+
+@query
+def derives_work(spark, d):
+    paged = F.when(F.col("seq") % 4 == 0, "page").when(F.col("seq") % 4 == 1, "")
+    return adapt(spark, d, "captures").select("seq", policies.derives_work(F.col("route_key"), paged).alias("derives"))
+
+
+def _list_page():
+    n = F.col("p_partkey")
+    head = F.concat(F.lit("<h1>"), "p_name", F.when(n % 5 == 0, "").when(n % 5 == 1, " (many)").otherwise(F.concat(F.lit(" ("), (n * 3).cast("string"), F.lit(")"))), F.lit("</h1>"))
+    pages = F.concat(F.lit("<i>page "), (n % 4).cast("string"), F.lit(" of "), F.when(n % 7 == 0, "9223372036854775808").otherwise((n % 6).cast("string")), F.lit("</i>"))
+    return F.concat(head, F.when(n % 11 == 0, "").otherwise(pages))
+
+
+@query
+def claimed_counts(spark, d):
+    found = extract.claimed_count(_list_page(), r"<h1>([^<(]*) \(([0-9]+|many)\)</h1>")
+    return table(spark, d, "part").select("p_partkey", found["count"].alias("claimed"), found["raw"].alias("raw"))
+
+
+@query
+def paginations(spark, d):
+    found = extract.pagination(_list_page(), "<i>page ([0-9]+) of ([0-9]+)</i>")
+    return table(spark, d, "part").select("p_partkey", found["page"].cast("string").alias("page"), found["total_pages"].cast("string").alias("total_pages"))
+
+
+@query
+def cover_images(spark, d):
+    n = F.col("p_partkey")
+    img = F.concat(F.lit('<img src="'), F.when(n % 3 == 0, "default.png").otherwise(F.concat(F.lit("c"), n.cast("string"))), F.lit('">'))
+    html = F.concat(F.lit('<img src="logo">'), F.when(n % 5 == 0, "").otherwise('<div id="cover">'), F.repeat(F.lit("x"), (n % 4 * 300).cast("int")), img)
+    found = extract.cover_image(html, '<div id="cover">', 'src="([^"]+)"', "default")
+    return table(spark, d, "part").select("p_partkey", found["url"].alias("url"), found["reason"].alias("reason"))
+
+
+@query
+def embedded_images(spark, d):
+    n = F.col("p_partkey").cast("string")
+    figure = lambda u, c: F.concat(F.lit('<figure><img src="'), u, F.lit('">'), F.when(c.isNotNull(), F.concat(F.lit("<p>"), c, F.lit("</p>"))).otherwise(""), F.lit("</figure>"))
+    html = F.concat(figure(n, F.col("p_name")), figure(F.lit("b"), F.lit(None).cast("string")), figure(n, F.lit("again")), F.lit("<figure>none</figure>"))
+    found = extract.embedded_images(html, "<figure>.*?</figure>", 'src="([^"]+)"', "<p>([^<]*)</p>")
+    return table(spark, d, "part").select("p_partkey", F.array_join(F.map_keys(found), ",").alias("urls"), F.array_join(F.map_values(found), ",").alias("captions"))
+
+
+@query
+def render_sample(spark, d):
+    sample = extract.render_sample(adapt(spark, d, "captures"), "route_key", "seq")
+    return extract.sample_failures(sample, "route_key", F.when(F.col("seq") % 5 != 0, F.col("verdict") != "ok"))
+
+
+@query
+def extracted_rows(spark, d):
+    """Rows of an extractor, as JSON text and read again by their schema."""
+    from pagestrata import schemas
+
+    made = F.to_json(F.struct(F.col("p_name").alias("title"), F.when(F.col("p_partkey") % 2 == 0, "2024-01-01").alias("date"), F.array(F.col("p_name"), F.lit("t")).alias("tags"), F.lit(1).alias("other")))
+    mark = F.from_json(F.when(F.col("p_partkey") % 7 == 0, "{").otherwise(made), schemas.MARK)
+    return table(spark, d, "part").select("p_partkey", mark["title"].alias("title"), mark["date"].alias("date"), F.size(mark["tags"]).alias("n_tags"), mark["comment"].alias("comment"))
+
+
+@query
+def verification(spark, d):
+    checks = matching.declared_files(adapt(spark, d, "files"), _other_copy(adapt(spark, d, "files"))).select(F.col("code").alias("problem"))
+    return rollups.verification(checks.unionByName(adapt(spark, d, "files").select(F.lit(None).cast("string").alias("problem"))))
+
+
+@query
+def export_state(spark, d):
+    exported = table(spark, d, "nation").select(F.concat(F.lit("b"), F.col("n_nationkey").cast("string")).alias("bundle_id"), F.lit("2024-01-01").alias("exported_at"))
+    return rollups.export_state(rollups.storage_usage(adapt(spark, d, "files")), exported).select("bundle_id", "export_state")
+
+
+@query
+def bundle_sizes(spark, d):
+    c = adapt(spark, d, "captures")
+    declared = c.where("bundle_id < '1995'").groupBy("bundle_id", "segment").agg((F.max(F.col("start_at") + F.col("length"))).alias("bytes"))
+    return rollups.bundle_sizes(c, declared)
+
+
+@query
+def segment_numbers(spark, d):
+    name = F.concat(F.when(F.col("seq") % 2 == 0, "data").otherwise("assets"), F.lit("-"), "bundle_id", F.lit("-"), F.lpad((F.col("seq") % 300).cast("string"), 5, "0"), F.when(F.col("seq") % 7 == 0, ".warc").otherwise(".warc.gz"))
+    return rollups.segment_numbers(adapt(spark, d, "captures").withColumn("segment", name))
+
+
+@query
+def page_floors(spark, d):
+    items = adapt(spark, d, "items").withColumn("raw", F.when(F.col("event_id") % 18 == 0, "soon").when(F.col("event_id") % 9 == 0, ""))
+    floors = adapt(spark, d, "items").groupBy("route_key").agg((F.min("ts") + 50).alias("floor")).where("length(route_key) % 2 = 0")
+    return sequences.page_floors(items, floors)
+
+
+@query
+def replay_truncated(spark, d):
+    return sequences.replay_truncated(adapt(spark, d, "captures"), 100, F.col("verdict") == "ok")
+
+
+@query
+def opened_gates(spark, d):
+    """The queue whose items wait for another route, and which of them may go."""
+    rows = adapt(spark, d, "frontier").drop("gate_open").withColumn("gated_by", F.when(F.col("seq") % 3 == 0, F.concat(F.lit("r"), (F.col("seq") % 40).cast("string"))))
+    state = rows.select("route_key").distinct().withColumn("can_advance", F.substring("route_key", 2, 2).cast("int") % 2 == 0)
+    gates = sequences.open_gates(rows.where("state <> 'pending' or route_key not in ('r2', 'r4', 'r6')"), state)
+    return sequences.gated(rows, gates).select("seq", "gate_open")
+
+
+@query
+def within_budget(spark, d):
+    rows = adapt(spark, d, "items").withColumn("took", F.col("event_id") % 5000)
+    return policies.within_budget(rows, "route_key", "pos", "took", 22_000).select("event_id", "spent_ms")
+
+
+@query
+def import_totals(spark, d):
+    sizes = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.floor("o_totalprice").alias("bytes"))
+    return matching.import_totals(plan_import(spark, d), sizes)
+
+
+@query
+def route_order(spark, d):
+    return site_routes.in_order(site_routes.route_table(spark)).select("turn", "key", "intent", "kind", "surface", "enumeration", "ordered")
+
+
+@query
+def seeded_frontier(spark, d):
+    seeds = site_routes.seed_frontier(site_routes.route_table(spark), "example.com", "some one")
+    return seeds.select("route_key", "url", "url_key", "ordered", "priority", F.col("cursor.kind").alias("cursor_kind"), F.col("cursor.value").alias("cursor_value"))
+
+
+# --- files ------------------------------------------------------------------------------------------------------------
+
+
+BUNDLE = "20240102T030405Z-00ff00"
+
+
+def _captures(spark, d):
+    """Pages as captures that say all they can."""
+    n = F.col("page_id")
+    pair = lambda k, v: F.struct(F.lit(k).alias("name"), v.alias("value"))
+    return table(spark, d, "pages").select(
+        n.alias("seq"), "url", F.col("html").cast("binary").alias("body"), F.when(n % 4 == 0, "assets").otherwise("data").alias("kind"), (200 + n % 3).cast("int").alias("http_status"),
+        F.array(pair("Content-Type", F.lit("text/html")), pair("X-Id", n.cast("string")), pair("X-Id", F.lit("again"))).alias("headers"), F.lit("text/html").alias("content_type"),
+        F.when(n % 5 == 0, "gone").otherwise("ok").alias("verdict"), F.lit("page").alias("intent"), F.concat(F.lit("r"), (n % 3).cast("string")).alias("route_key"), F.lit("html").alias("surface"),
+        F.lit("decoded_body+observed_headers").alias("capture_fidelity"), F.timestamp_seconds(1_700_000_000 + n).alias("written_at"), (n % 20).cast("int").alias("item_count"), F.struct(F.lit("page").alias("kind"), n.alias("value")).alias("cursor"))
+
+
+def _written(spark, d, lanes=4):
+    folder, index_path = new_path(spark, "segments"), new_path(spark, "index")
+    return folder, index_path, bundle.write_captures(_captures(spark, d), folder, index_path, lanes, limit=1 << 22, bundle_id=BUNDLE)
+
+
+@query
+def capture_write(spark, d):
+    """What captures say, read back from the index and from the records."""
+    folder, _, index = _written(spark, d)
+    value = lambda column, name: F.array_join(F.transform(F.filter(column, lambda h: h["name"] == name), lambda h: h["value"]), ",")
+    read = bundle.read_captures(index, folder).select("seq", value(F.col("headers"), "WARC-Date").alias("warc_date"), value(F.col("headers"), "WARC-Payload-Digest").alias("payload_digest"), "status_line", value(F.col("http_headers"), "X-Id").alias("x_id"), F.octet_length("body").alias("bytes"))
+    ruled = invariants.index_rules(index).withColumn("broken", F.array_join("broken", ","))
+    kept = ruled.select("seq", "capture_id", "url", "url_key_rules", "intent", "route_key", "verdict", "capture_fidelity", "observed_at", "http_status", "content_type", "content_sha256", "item_count", F.col("cursor.value").alias("cursor_value"), ids.segment_kind(F.col("segment")).alias("kind"), "broken")
+    return kept.join(read, "seq")
+
+
+@query
+def segment_heads(spark, d):
+    folder, _, index = _written(spark, d)
+    heads = bundle.segment_heads(index, folder).withColumn("kind", ids.segment_kind(F.col("segment")))
+    return heads.select("kind", "warc_type", (F.col("filename") == F.col("segment")).alias("named"), F.col("fields")["isPartOf"].alias("part_of"), F.col("fields")["format"].alias("format")).distinct()
+
+
+@query
+def segment_descriptors(spark, d):
+    """Of each kind of segments: their records, and whether files, digests and index agree. Segments are one lane's."""
+    folder, _, index = _written(spark, d, lanes=1)
+    files = bundle.file_digests(spark, folder).withColumn("name", F.regexp_extract("path", "([^/]+)$", 1))
+    found = bundle.describe_segments(files.select("name", "bytes", "sha256"), index)
+    ends = rollups.segment_extents(index).withColumnRenamed("segment", "filename")
+    both = found.join(ends, "filename").withColumn("kind", ids.segment_kind(F.col("filename")))
+    return both.groupBy("kind").agg(F.sum("record_count").alias("records"), F.min("first_capture_id").alias("first_capture_id"), F.max("last_capture_id").alias("last_capture_id"), F.min((F.col("bytes") == F.col("extent")) & (F.length("sha256") == 64)).alias("whole"))
+
+
+@query
+def index_recount(spark, d):
+    """Counts of an index read from its files, strictly, and leniently with a line that is cut short in each."""
+    _, index_path, _ = _written(spark, d)
+    strict = rollups.index_counts(bundle.read_index(spark, index_path)).withColumn("reading", F.lit("strict"))
+    torn = new_path(spark, "torn")
+    lines = spark.read.text(index_path)
+    lines.unionByName(lines.where("value like '%\"gone\"%'").select(F.substring("value", 1, 40).alias("value"))).write.text(torn)
+    good, broken = bundle.read_index_lenient(spark, torn)
+    lenient = rollups.index_counts(good).withColumn("reading", F.lit("lenient"))
+    lost = broken.agg(F.lit("broken").alias("dimension"), F.lit("lines").alias("value"), F.count("*").alias("n")).withColumn("reading", F.lit("lenient"))
+    return strict.unionByName(lenient).unionByName(lost)
+
+
+@query
+def manifest_roundtrip(spark, d):
+    """Manifests of bundles, built, written, and their segments and state read back."""
+    c = adapt(spark, d, "captures").withColumnRenamed("start_at", "offset").withColumn("segment", F.concat_ws("-", "bundle_id", "segment"))
+    segments = rollups.segment_state(c).withColumnRenamed("segment", "filename").withColumnRenamed("records", "record_count").withColumn("bundle_id", ids.capture_bundle(F.col("first_capture_id")))
+    state = adapt(spark, d, "state").select("bundle_id", "route_key", "high_water_time", "contiguous", "advanced")
+    about = c.select("bundle_id").distinct().withColumn("status", F.lit("complete")).withColumn("completed_at", F.concat("bundle_id", F.lit("-12-31T00:00:00Z")))
+    made = bundle.build_manifest(about, segments, state, state.select("bundle_id", "route_key").distinct(), c)
+    path = new_path(spark, "manifests")
+    made.repartition("bundle_id").select(F.col("manifest").alias("value"), F.col("bundle_id").alias("b")).write.partitionBy("b").text(path)
+    read = bundle.read_manifests(spark, path)
+    seg = bundle.segment_table(read).groupBy("bundle_id").agg(F.count("*").alias("segments"), F.sum("record_count").alias("records"), F.min("first_capture_id").alias("first_capture_id"))
+    runs = bundle.state_table(read).groupBy("bundle_id").agg(F.count("*").alias("runs"), F.sum(F.col("contiguous").cast("int")).alias("contiguous"))
+    listed = bundle.coverage_table(read).groupBy("bundle_id").agg(F.count("*").alias("covered"))
+    broken = invariants.manifest_rules(read.select("bundle_id", "status", "completed_at")).select("bundle_id", F.size("broken").alias("broken"))
+    return seg.join(runs, "bundle_id").join(listed, "bundle_id").join(broken, "bundle_id")
+
+
+@query
+def manifest_cross_check(spark, d):
+    return bundle.cross_check(adapt(spark, d, "segments"), adapt(spark, d, "captures"))
+
+
+@query
+def recovery_plan(spark, d):
+    """Segments with bytes after their index, segments that no row points at, and segments that are too short."""
+    index = adapt(spark, d, "captures").withColumnRenamed("start_at", "offset").withColumn("segment", F.concat("segment", F.lit(".warc.gz")))
+    n = F.substring("name", 6, 1).cast("int")
+    files = rollups.segment_extents(index).select(F.col("segment").alias("name"), F.col("extent").alias("bytes")).withColumn("bytes", F.col("bytes") + F.when(n == 1, 5).when(n == 2, -1).otherwise(0))
+    return copying.repair_plan(files.unionByName(files.where(n == 3).select(F.lit("lost.warc.gz").alias("name"), "bytes")), index)
+
+
+@query
+def bundle_discovery(spark, d):
+    """Directories with a manifest, a few levels deep, found again. One directory a nation of the first ten."""
+    root = new_path(spark, "bundles")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for k in (r.n_nationkey for r in table(spark, d, "nation").where("n_nationkey < 10").select("n_nationkey").collect()):
+        place = "/".join([f"d{k}"] * (k % 5 + 1))
+        for name in ("manifest.json", "inner/index-x.ndjson"):
+            out = files.create(hadoop.Path(f"{root}/{place}/{name}"))
+            out.write(10)
+            out.close()
+    found = copying.find_bundles(spark, root)
+    return found.select(F.regexp_extract("directory", "(d[0-9].*)$", 1).alias("directory"), "depth")
+
+
+@query
+def identity_conflicts(spark, d):
+    names = table(spark, d, "orders").select(F.concat(F.lit("d"), (F.col("o_orderkey") % 500).cast("string")).alias("directory"), F.when(F.col("o_orderkey") % 1700 == 0, "other").otherwise((F.col("o_orderkey") % 500).cast("string")).alias("bundle_id"))
+    return bundle.identity_conflicts(names).select("directory", F.col("ids").cast("int").alias("ids"))

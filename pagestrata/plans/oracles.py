@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pagestrata.functions.digests import EMPTY_SHA256
-from pagestrata.functions.urls import TRACKING_PARAMS
 from pagestrata.operators.classify import AUTO_RESUME, NO_AUTO_RESUME, TRANSITIONS
 from pagestrata.plans.adapters import oracle_view as v
 
@@ -48,18 +47,15 @@ _WALK = """WITH RECURSIVE b AS (SELECT * FROM {bundles}), walk AS (
   UNION ALL SELECT w.head, b.bundle_id, b.previous_bundle_id, w.depth + 1, list_append(w.path, b.bundle_id) FROM walk w JOIN b ON w.next_id = b.bundle_id WHERE NOT list_contains(w.path, b.bundle_id))"""
 
 ORACLES: dict[str, str] = {
-    "url_key": f"""
-SELECT page_id, CASE WHEN scheme <> '' AND host <> '' THEN scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN tail = '' THEN '' ELSE '?' || tail END END AS url_key
-FROM (SELECT page_id, scheme, CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END AS host, path, coalesce(t.tail, '') AS tail
-  FROM (SELECT page_id, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://([^/]+)', 1)) AS host,
-               regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.-]*://[^/]+(/.*)$', 1) AS path
-        FROM (SELECT page_id, split_part(regexp_replace(u, '#.*$', ''), '?', 1) AS bare
-              FROM (SELECT page_id, url || CASE WHEN page_id % 3 = 0 OR instr(url, '?') > 0 THEN '' ELSE '?utm_source=a&z=1&a=2&a=1' END AS u FROM pages) a) b) c
-  LEFT JOIN (SELECT page_id AS pid, string_agg(kv, '&' ORDER BY split_part(kv, '=', 1), pos) AS tail FROM (
-       SELECT page_id, unnest(parts) AS kv, generate_subscripts(parts, 1) AS pos FROM (
-         SELECT page_id, string_split(substr(w, instr(w, '?') + 1), '&') AS parts FROM (
-           SELECT page_id, regexp_replace(url || CASE WHEN page_id % 3 = 0 OR instr(url, '?') > 0 THEN '' ELSE '?utm_source=a&z=1&a=2&a=1' END, '#.*$', '') AS w FROM pages) a WHERE instr(w, '?') > 0) p) q
-     WHERE kv <> '' AND split_part(kv, '=', 1) NOT IN ({_quoted(TRACKING_PARAMS)}) GROUP BY page_id) t ON t.pid = page_id) e""",
+    "url_key": r"""
+WITH t(k, tail) AS (VALUES (0, ''), (1, '?utm_source=a&z=1&a=2&a=1'), (2, '?q=a%20b&p=c+d&%75tm_term=x'), (3, '?e=%zz&f=%C3%A9&g=é&h=~*-._'), (4, '?flag&empty=&&=v#frag?x=1'), (5, '/a/./b/../c d/é'), (6, '/x%2Fy/<z>'), (7, '?start=1&sort=t&ck=9')),
+want(k, path, query) AS (VALUES (0, '', ''), (1, '', '?a=2&a=1&z=1'), (2, '', '?p=c+d&q=a+b'), (3, '', '?e=%25zz&f=%C3%A9&g=%C3%A9&h=%7E*-._'), (4, '', '?=v&empty=&flag='), (5, '/a/c%20d/%C3%A9', ''), (6, '/x%2Fy/%3Cz%3E', ''), (7, '', '?sort=t&start=1')),
+u AS (SELECT page_id, page_id % 8 AS k, split_part(url, '?', 1) AS base FROM pages),
+p AS (SELECT page_id, k, lower(regexp_extract(base, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme, lower(regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://([^/#]+)', 1)) AS host,
+             regexp_extract(base, '^[A-Za-z][A-Za-z0-9+.-]*://[^/#]+(/[^#]*)', 1) AS path, contains(base, '#') AS cut FROM u)
+SELECT page_id, CASE WHEN scheme <> '' AND host <> '' THEN scheme || '://' || CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '') WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END
+  || CASE WHEN cut THEN CASE WHEN p.path = '' THEN '/' ELSE p.path END ELSE CASE WHEN p.path || want.path = '' THEN '/' ELSE p.path || want.path END || query END END AS url_key
+FROM p JOIN want ON p.k = want.k""",
     "url_cursor": "SELECT page_id, CASE WHEN regexp_matches(url, '[?&]page=') THEN TRY_CAST(regexp_extract(url, '[?&]page=([^&#]*)', 1) AS BIGINT) ELSE 1 END AS cursor FROM pages",
     "host_rollup": "SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)) AS host, count(*) AS pages, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages GROUP BY 1",
     "sha256_hex": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
@@ -111,14 +107,18 @@ ON pid = page_id GROUP BY page_id""",
 SELECT route_key, bundle_id, captured_count, claimed_count, captured_count - claimed_count AS delta FROM (
   SELECT route_key, bundle_id, count(*) AS captured_count, CASE WHEN max(item_count) > 5 THEN max(item_count) * 10 END AS claimed_count FROM {v("captures")} GROUP BY 1, 2) x""",
     "dq_index_rules": f"""
-SELECT capture_id, rtrim(CASE WHEN start_at - 50 >= 0 THEN '' ELSE 'offset,' END || CASE WHEN length % 1000 >= 1 THEN '' ELSE 'length,' END || CASE WHEN seq % 8 = 0 THEN 'surface,' ELSE '' END || CASE WHEN seq % 9 = 0 THEN 'observed_at,' ELSE '' END
+SELECT capture_id, rtrim(CASE WHEN seq % 19 = 0 THEN 'missing_warc_record_id,' ELSE '' END || CASE WHEN seq % 17 = 0 THEN 'missing_url,' ELSE '' END || CASE WHEN seq % 23 = 0 THEN 'missing_intent,' ELSE '' END
+  || CASE WHEN seq % 13 = 0 AND seq % 12 <> 0 THEN 'missing_capture_fidelity,' ELSE '' END || CASE WHEN start_at - 50 >= 0 THEN '' ELSE 'offset,' END || CASE WHEN length % 1000 >= 1 THEN '' ELSE 'length,' END
+  || CASE WHEN seq % 8 = 0 THEN 'surface,' ELSE '' END || CASE WHEN seq % 12 = 0 THEN 'capture_fidelity,' ELSE '' END || CASE WHEN seq % 9 = 0 THEN 'observed_at,' ELSE '' END
   || CASE WHEN seq % 10 = 0 AND verdict = 'ok' THEN 'empty_not_ok,' ELSE '' END || CASE WHEN seq % 11 = 0 AND verdict <> 'unknown' THEN 'reason_only_unknown,' ELSE '' END, ',') AS broken FROM {v("captures")} WHERE '{EMPTY_SHA256}' <> ''""",
     "merge_pages": f"""
 SELECT route_key, string_agg(CAST(id AS STRING), ',' ORDER BY page, id) AS items, count(DISTINCT CASE WHEN id IS NOT NULL THEN page END) AS pages_with_items FROM {v("items")} GROUP BY route_key""",
     "index_counts": f"""
 SELECT 'verdict' AS dimension, verdict AS value, count(*) AS n FROM {v("captures")} GROUP BY verdict UNION ALL
 SELECT 'surface', surface, count(*) FROM {v("captures")} GROUP BY surface UNION ALL SELECT 'intent', intent, count(*) FROM {v("captures")} GROUP BY intent""",
-    "bundle_summary": f"SELECT bundle_id, route_key, count(*) AS captures, CAST(sum(length) AS BIGINT) AS bytes, CAST(sum(CASE WHEN verdict = 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS ok FROM {v('captures')} GROUP BY 1, 2",
+    "bundle_summary": f"""
+SELECT bundle_id, 'route_key' AS dimension, route_key AS value, count(*) AS captures, CAST(sum(length) AS BIGINT) AS bytes FROM {v("captures")} GROUP BY 1, 3
+UNION ALL SELECT bundle_id, 'verdict', verdict, count(*), CAST(sum(length) AS BIGINT) FROM {v("captures")} GROUP BY 1, 3""",
     "items_by_route": f"SELECT route_key, CAST(sum(coalesce(item_count, 1)) AS BIGINT) AS items FROM {v('captures')} WHERE verdict = 'ok' GROUP BY 1",
     "segment_state": f"SELECT segment, count(*) AS records, arg_min(capture_id, seq) AS first_capture_id, arg_max(capture_id, seq) AS last_capture_id FROM {v('captures')} GROUP BY 1",
     "segment_extents": f"SELECT segment, max(start_at + length) AS extent FROM {v('captures')} GROUP BY 1",
@@ -261,4 +261,132 @@ SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'r' || CAST(p_partkey AS STRI
        CAST(CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS skipped_others, CAST(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END AS BIGINT) AS unresolved FROM part""",
     "generated_urls": """
 SELECT n_nationkey, CAST(k * 15 AS INTEGER) AS "offset", '/list/' || CAST(n_nationkey AS STRING) || '?start=' || CAST(k * 15 AS STRING) AS url FROM nation, (SELECT unnest(range(0, 30)) AS k) s WHERE k * 15 <= n_nationkey * 10""",
+    "stream_route_state": f"""
+WITH g AS (SELECT route_key, page, kind, count(*) AS n, max(ts) AS top, min(ts) AS bottom, count(DISTINCT id) AS ids, count(CASE WHEN ts IS NULL AND raw <> '' THEN 1 END) AS unread FROM {v("run_rows")} GROUP BY 1, 2, 3),
+s AS (SELECT *, coalesce(sum(CASE WHEN kind = 'end' THEN 1 ELSE 0 END) OVER (PARTITION BY route_key ORDER BY page, kind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM g),
+runs AS (SELECT route_key, run, bool_or(kind = 'end') AS ended, max(CASE WHEN kind = 'page' THEN top END) AS pending, sum(CASE kind WHEN 'gap' THEN n WHEN 'page' THEN unread ELSE 0 END) AS gaps FROM s GROUP BY 1, 2),
+high AS (SELECT route_key, max(CASE WHEN ended AND gaps = 0 THEN pending END) AS high_water, max(CASE WHEN NOT ended THEN pending END) AS pending_high, coalesce(max(CASE WHEN NOT ended THEN gaps END), 0) AS gaps FROM runs GROUP BY 1),
+fresh AS (SELECT route_key, page, count(*) AS n FROM (SELECT route_key, id, min(page) AS page FROM {v("run_rows")} WHERE kind = 'page' AND id IS NOT NULL GROUP BY 1, 2) f GROUP BY 1, 2),
+p AS (SELECT g.route_key, g.page, g.ids, coalesce(f.n, 0) AS fresh, g.bottom, row_number() OVER (PARTITION BY g.route_key ORDER BY g.page) AS k FROM g LEFT JOIN fresh f ON g.route_key = f.route_key AND g.page = f.page WHERE kind = 'page'),
+r AS (SELECT *, k - max(CASE WHEN fresh > 0 THEN k ELSE 0 END) OVER w AS barren, k - max(CASE WHEN ids > 0 THEN k ELSE 0 END) OVER w AS empties FROM p WINDOW w AS (PARTITION BY route_key ORDER BY page)),
+t AS (SELECT route_key, min(bottom) AS low_water, count(*) AS pages, CAST(sum(ids) AS BIGINT) AS items, bool_or(barren >= 3 OR empties >= 2) AS stalled FROM r GROUP BY 1)
+SELECT h.route_key, h.high_water, h.pending_high, t.low_water, CAST(h.gaps AS INTEGER) AS gaps, coalesce(t.pages, 0) AS pages, coalesce(t.items, 0) AS items, coalesce(t.stalled, false) AS stalled FROM high h LEFT JOIN t ON h.route_key = t.route_key""",
+    "stream_write_once": "SELECT event_id, event_type FROM events",
+    "url_tokens": r"""
+WITH u AS (SELECT page_id, page_id % 4 IN (0, 2) AS tracking, CASE WHEN page_id % 7 = 0 THEN 'no url' ELSE url || CASE page_id % 3 WHEN 0 THEN '?ck=1' WHEN 1 THEN '?a=1' ELSE '' END END AS u FROM pages)
+SELECT page_id, tracking, CASE WHEN contains(u, '?ck=') OR contains(u, '&ck=') THEN u ELSE u || CASE WHEN contains(u, '?') THEN '&' ELSE '?' END || 'ck=t' END AS with_token,
+       lower(regexp_extract(u, '^[a-z]+://([^/:?#]+)', 1)) IN ('example.com', 'example.net') AS shortlink FROM u""",
+    "digest_fields": "SELECT doc_id, sha256(text) AS text, sha256(source) AS source FROM documents",
+    "bundle_names": r"""
+WITH b AS (SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 9 = 0 THEN 'odd' ELSE strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || '-' || lpad(lower(hex(o_orderkey)), 6, '0') END AS id FROM orders),
+s AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'data' ELSE 'assets' END AS kind, o_orderkey * 50 AS number FROM b)
+SELECT o_orderkey, id AS bundle_id, id <> 'odd' AS valid, CASE WHEN id <> 'odd' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN id <> 'odd' THEN id END AS from_directory, 'index-' || id || '.ndjson' AS index_file,
+       kind || '-' || id || '-' || CASE WHEN number < 100000 THEN lpad(CAST(number AS STRING), 5, '0') ELSE CAST(number AS STRING) END || '.warc.gz' AS segment, CAST(number AS BIGINT) AS number, kind FROM s""",
+    "decoded_entities": r"""SELECT p_partkey, '&lt; ' || p_name || ' <AB> &odd; "' || CAST(p_partkey AS STRING) || '" & &#0;' AS decoded FROM part""",
+    "capture_labels": f"""
+SELECT seq, lpad(CAST(seq AS STRING), 9, '0') AS short_id, observed_at || CASE WHEN seq % 5 = 0 THEN '?' ELSE ' 10:20' END AS human_time,
+       route_key || ' / ' || CASE seq % 3 WHEN 0 THEN 'page ' || CAST(seq AS STRING) WHEN 1 THEN 'from ' || CAST(seq AS STRING) ELSE url_key END AS title,
+       CASE WHEN item_count IS NULL THEN '' WHEN item_count = 0 THEN '0 items (the end) / ' ELSE CAST(item_count AS STRING) || ' items / ' END
+         || CASE WHEN seq % 7 <> 0 THEN observed_at ELSE 'fetched ' || observed_at || 'T05:06:07' || CASE WHEN seq % 2 = 0 THEN '' ELSE ' (no item times in this archive)' END END AS subtitle,
+       CASE WHEN seq % 2 = 0 THEN 'Book ' ELSE 'Film ' END || CAST(seq AS STRING) AS subject FROM {v("captures")}""",
+    "state_labels": """
+SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'Urgent' WHEN '2-HIGH' THEN 'High' WHEN '5-LOW' THEN 'Low' ELSE o_orderpriority END AS name,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'verified' WHEN o_orderkey % 3 <> 0 THEN 'in progress' WHEN o_orderkey % 5 > 0 THEN CAST(o_orderkey % 5 AS STRING) || ' gaps' ELSE 'not finished' END AS contiguity,
+       CASE o_orderkey % 3 WHEN 0 THEN 'no finished archive' WHEN 1 THEN 'one archive, nothing incremental yet' ELSE '2 archives, from the newest back' END AS headline FROM orders""",
+    "offset_times": r"""
+WITH t AS (SELECT o_orderkey, o_orderdate + to_seconds(o_orderkey % 86400) AS moment FROM orders)
+SELECT o_orderkey, strftime(moment + INTERVAL 8 HOUR, '%Y-%m-%dT%H:%M:%S+08:00') AS local, strftime(moment - INTERVAL 210 MINUTE, '%Y-%m-%dT%H:%M:%S-03:30') AS west, strftime(moment, '%Y-%m-%dT%H:%M:%SZ') AS warc_date,
+       CASE WHEN o_orderkey % 3 = 0 THEN epoch_ms(moment) WHEN o_orderkey % 2 = 0 THEN 1704164645000 ELSE 0 END AS time_key FROM t""",
+    "same_account": """
+SELECT c_custkey, coalesce(u = '1', false) AND coalesce(n = '0', false) AS "both", coalesce(u = '1', false) AS by_id, coalesce(n = '0', false) AS by_name, true AS "any"
+FROM (SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_custkey % 3 AS STRING) END AS u, CASE WHEN c_custkey % 5 <> 0 THEN CAST(c_custkey % 2 AS STRING) END AS n FROM customer) c""",
+    "derives_work": f"SELECT seq, seq % 4 = 0 OR starts_with(route_key, 'interest.') AS derives FROM {v('captures')}",
+    "claimed_counts": """
+SELECT p_partkey, CASE WHEN p_partkey % 5 > 1 THEN p_partkey * 3 END AS claimed, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '<h1>' || p_name || ' (many)</h1>' ELSE '<h1>' || p_name || ' (' || CAST(p_partkey * 3 AS STRING) || ')</h1>' END AS raw FROM part""",
+    "paginations": """
+SELECT p_partkey, CASE WHEN ok THEN CAST(p_partkey % 4 AS STRING) END AS page, CASE WHEN ok THEN CASE WHEN p_partkey % 7 = 0 THEN '9223372036854775808' ELSE CAST(p_partkey % 6 AS STRING) END END AS total_pages
+FROM (SELECT p_partkey, p_partkey % 11 <> 0 AND p_partkey % 4 > 0 AND (p_partkey % 7 = 0 OR p_partkey % 6 > 0) AS ok FROM part) x""",
+    "cover_images": """
+SELECT p_partkey, CASE WHEN reason = 'ok' THEN 'c' || CAST(p_partkey AS STRING) END AS url, reason
+FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 OR p_partkey % 4 = 3 THEN 'not_found' WHEN p_partkey % 3 = 0 THEN 'placeholder' ELSE 'ok' END AS reason FROM part) x""",
+    "embedded_images": "SELECT p_partkey, CAST(p_partkey AS STRING) || ',b' AS urls, p_name || ',' AS captions FROM part",
+    "render_sample": f"""
+SELECT route_key, count(*) AS pages, CAST(sum(CASE WHEN seq % 5 = 0 OR verdict <> 'ok' THEN 1 ELSE 0 END) AS BIGINT) AS failures
+FROM (SELECT *, row_number() OVER (PARTITION BY route_key ORDER BY seq) AS turn FROM {v("captures")}) c WHERE turn <= 30 GROUP BY 1""",
+    "extracted_rows": """
+SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_name END AS title, CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 2 = 0 THEN '2024-01-01' END AS date, CAST(CASE WHEN p_partkey % 7 <> 0 THEN 2 END AS INTEGER) AS n_tags, CAST(NULL AS STRING) AS comment FROM part""",
+    "verification": f"""
+WITH problems AS (SELECT count(*) AS n FROM (SELECT * FROM {v("files")}) a FULL JOIN {_OTHER} b ON a.bundle_id = b.bundle_id AND a.name = b.name
+                  WHERE (b.name IS NULL) OR (a.name IS NOT NULL AND a.bytes <> b.bytes) OR (a.name IS NULL AND b.name NOT IN ('manifest.json', 'README.txt', 'checkpoint.json')))
+SELECT problems.n + f.n AS checked, CAST(f.n AS BIGINT) AS ok, CAST(problems.n AS BIGINT) AS problems FROM problems, (SELECT count(*) AS n FROM {v("files")}) f""",
+    "export_state": f"SELECT bundle_id, CASE WHEN CAST(substr(bundle_id, 2) AS INTEGER) IN (SELECT n_nationkey FROM nation) THEN 'exported' ELSE 'not_exported' END AS export_state FROM {v('files')} GROUP BY 1",
+    "bundle_sizes": f"""
+WITH d AS (SELECT bundle_id, sum(bytes) AS bytes FROM (SELECT bundle_id, segment, max(start_at + length) AS bytes FROM {v("captures")} WHERE bundle_id < '1995' GROUP BY 1, 2) s GROUP BY 1)
+SELECT c.bundle_id, c.captures, CAST(coalesce(d.bytes, c.bytes) AS BIGINT) AS total_bytes, d.bytes IS NOT NULL AS exact FROM (SELECT bundle_id, count(*) AS captures, sum(length) AS bytes FROM {v("captures")} GROUP BY 1) c LEFT JOIN d ON c.bundle_id = d.bundle_id""",
+    "segment_numbers": f"""
+SELECT CASE WHEN seq % 2 = 0 THEN 'data' ELSE 'assets' END AS kind, count(DISTINCT bundle_id || '/' || CAST(seq % 300 AS STRING)) AS segments, CAST(max(seq % 300) AS BIGINT) AS highest FROM {v("captures")} WHERE seq % 7 <> 0 GROUP BY 1""",
+    "page_floors": f"""
+WITH f AS (SELECT route_key, min(ts) + 50 AS floor FROM {v("items")} WHERE length(route_key) % 2 = 0 GROUP BY 1)
+SELECT i.route_key, i.page, coalesce(bool_or(i.ts <= f.floor), false) AS reached_floor, CAST(sum(CASE WHEN i.ts IS NULL AND i.event_id % 18 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS unparsable FROM (SELECT * FROM {v("items")}) i LEFT JOIN f ON i.route_key = f.route_key GROUP BY 1, 2""",
+    "replay_truncated": f"SELECT greatest(0, count(*) - 100) AS truncated FROM {v('captures')} WHERE seq > 100 AND verdict = 'ok'",
+    "opened_gates": f"""
+WITH f AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'r' || CAST(seq % 40 AS STRING) END AS gate FROM {v("frontier")}),
+open AS (SELECT route_key FROM f GROUP BY 1 HAVING CAST(substr(route_key, 2) AS INTEGER) % 2 = 0 AND NOT bool_or(state = 'pending' AND route_key NOT IN ('r2', 'r4', 'r6')))
+SELECT seq, gate IS NULL OR gate IN (SELECT route_key FROM open) AS gate_open FROM f""",
+    "within_budget": f"""
+SELECT event_id, spent_ms FROM (SELECT event_id, CAST(coalesce(sum(event_id % 5000) OVER (PARTITION BY route_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_ms FROM {v("items")}) x WHERE spent_ms < 22000""",
+    "route_order": """
+WITH media(m) AS (VALUES ('movie'), ('book'), ('music'), ('game'), ('drama')), states(s) AS (VALUES ('collect'), ('wish'), ('do')),
+rows_(priority, key, intent, kind, surface, enumeration, ordered) AS (
+  SELECT 0, 'profile.overview', 'profile.overview', 'data', 'html', 'full', CAST(NULL AS BOOLEAN) UNION ALL SELECT 0, 'profile.category_entry.' || m, 'profile.category_entry.' || m, 'data', 'html', 'full', NULL FROM media
+  UNION ALL SELECT 40, 'interest.' || m || '.' || s, 'interest.list.' || m || '.' || s, 'data', 'html', 'full', NULL FROM media, states WHERE m <> 'drama' OR s <> 'do'
+  UNION ALL SELECT * FROM (VALUES (10, 'broadcast.timeline', 'broadcast.timeline', 'data', 'html', 'bounded', NULL), (30, 'asset.status_photo', 'asset.image.user_upload', 'assets', 'asset', 'bounded', false),
+    (30, 'asset.longform_embed', 'asset.image.user_upload', 'assets', 'asset', 'bounded', false), (20, 'note.list', 'note.list', 'data', 'html', 'full', NULL), (20, 'review.list', 'review.list', 'data', 'html', 'full', NULL),
+    (21, 'note.item', 'note.item', 'data', 'html', 'full', false), (21, 'review.item', 'review.item', 'data', 'html', 'full', false), (22, 'doulist.list', 'doulist.list.created', 'data', 'html', 'full', NULL),
+    (23, 'doulist.item', 'doulist.item', 'data', 'html', 'full', NULL), (90, 'interest.item', 'interest.item', 'catalog', 'html', 'full', false), (91, 'asset.subject_cover', 'asset.image.catalog_thumbnail', 'catalog', 'asset', 'full', false)) t)
+SELECT CAST(row_number() OVER (ORDER BY priority, key) AS INTEGER) AS turn, key, intent, kind, surface, enumeration, ordered FROM rows_""",
+    "seeded_frontier": """
+WITH m(m, host, tail) AS (VALUES ('movie', 'movie', ''), ('book', 'book', ''), ('music', 'music', ''), ('game', 'www', 'games'), ('drama', 'www', '')),
+s(s) AS (VALUES ('collect'), ('wish'), ('do')),
+x AS (
+  SELECT 'profile.category_entry.' || m AS route_key, 'https://' || host || '.example.com/' || CASE WHEN m = 'drama' THEN 'location/people/some%20one/drama/' ELSE 'people/some%20one/' || tail END AS url, '' AS query, '' AS sorted, 0 AS priority, NULL AS cursor_kind, NULL AS cursor_value FROM m
+  UNION ALL SELECT 'interest.' || m || '.' || s, CASE m WHEN 'game' THEN 'https://www.example.com/people/some%20one/games' WHEN 'drama' THEN 'https://www.example.com/location/people/some%20one/drama/' || s ELSE 'https://' || host || '.example.com/people/some%20one/' || s END,
+    CASE m WHEN 'game' THEN '?action=' || s || '&start=0' WHEN 'drama' THEN '?sort=time&start=0&filter=all&mode=grid&tags_sort=count' WHEN 'movie' THEN '?start=0&sort=time&rating=all&mode=grid&type=all&filter=all' ELSE '?start=0&sort=time&rating=all&filter=all&mode=grid' END,
+    CASE m WHEN 'game' THEN '?action=' || s || '&start=0' WHEN 'drama' THEN '?filter=all&mode=grid&sort=time&start=0&tags_sort=count' WHEN 'movie' THEN '?filter=all&mode=grid&rating=all&sort=time&start=0&type=all' ELSE '?filter=all&mode=grid&rating=all&sort=time&start=0' END, 40, 'start', 0 FROM m, s WHERE m <> 'drama' OR s <> 'do'
+  UNION ALL SELECT 'profile.overview', 'https://www.example.com/people/some%20one/', '', '', 0, NULL, NULL UNION ALL SELECT 'broadcast.timeline', 'https://www.example.com/people/some%20one/statuses', '?p=1', '?p=1', 10, 'page', 1
+  UNION ALL SELECT 'note.list', 'https://www.example.com/people/some%20one/notes', '?start=0', '?start=0', 20, 'start', 0 UNION ALL SELECT 'review.list', 'https://www.example.com/people/some%20one/reviews', '?start=0', '?start=0', 20, 'start', 0
+  UNION ALL SELECT 'doulist.list', 'https://www.example.com/people/some%20one/doulists/all', '?start=0', '?start=0', 22, 'start', 0)
+SELECT route_key, url || query AS url, url || sorted AS url_key, cursor_kind IS NOT NULL AS ordered, CAST(priority AS INTEGER) AS priority, cursor_kind, CAST(cursor_value AS INTEGER) AS cursor_value FROM x""",
+    "capture_write": """
+SELECT page_id AS seq, '20240102T030405Z-00ff00#' || CASE WHEN page_id < 1000000 THEN lpad(CAST(page_id AS STRING), 6, '0') ELSE CAST(page_id AS STRING) END AS capture_id, url, 'v1' AS url_key_rules, 'page' AS intent, 'r' || CAST(page_id % 3 AS STRING) AS route_key,
+       CASE WHEN page_id % 5 = 0 THEN 'gone' ELSE 'ok' END AS verdict, 'decoded_body+observed_headers' AS capture_fidelity, strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS observed_at, CAST(200 + page_id % 3 AS INTEGER) AS http_status,
+       'text/html' AS content_type, sha256(html) AS content_sha256, CAST(page_id % 20 AS INTEGER) AS item_count, page_id AS cursor_value, CASE WHEN page_id % 4 = 0 THEN 'assets' ELSE 'data' END AS kind, CASE WHEN html = '' AND page_id % 5 > 0 THEN 'empty_not_ok' ELSE '' END AS broken,
+       strftime(make_timestamp((1700000000 + page_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS warc_date,
+       'sha1:' || list_aggregate(list_transform(range(0, 40, 5), lambda i: list_aggregate(list_transform(range(0, 4), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(sha1(html), CAST(i + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * k AS BIGINT)) & 31 AS BIGINT) + 1, 1)), 'string_agg', '')), 'string_agg', '') AS payload_digest,
+       'HTTP/1.1 ' || CAST(200 + page_id % 3 AS STRING) AS status_line, CAST(page_id AS STRING) || ',again' AS x_id, CAST(strlen(html) AS INTEGER) AS bytes FROM pages""",
+    "segment_heads": "SELECT DISTINCT CASE WHEN page_id % 4 = 0 THEN 'assets' ELSE 'data' END AS kind, 'warcinfo' AS warc_type, true AS named, '20240102T030405Z-00ff00' AS part_of, 'WARC File Format 1.1' AS format FROM pages",
+    "segment_descriptors": """
+SELECT CASE WHEN page_id % 4 = 0 THEN 'assets' ELSE 'data' END AS kind, count(*) AS records, min(id) AS first_capture_id, max(id) AS last_capture_id, true AS whole
+FROM (SELECT page_id, '20240102T030405Z-00ff00#' || lpad(CAST(page_id AS STRING), 6, '0') AS id FROM pages) p GROUP BY 1""",
+    "index_recount": """
+WITH c AS (SELECT CASE WHEN page_id % 5 = 0 THEN 'gone' ELSE 'ok' END AS verdict FROM pages),
+n AS (SELECT 'verdict' AS dimension, verdict AS value, count(*) AS n FROM c GROUP BY 2 UNION ALL SELECT 'surface', 'html', count(*) FROM c UNION ALL SELECT 'intent', 'page', count(*) FROM c)
+SELECT *, 'strict' AS reading FROM n UNION ALL SELECT *, 'lenient' FROM n UNION ALL SELECT 'broken', 'lines', count(*), 'lenient' FROM c WHERE verdict = 'gone'""",
+    "manifest_roundtrip": f"""
+WITH c AS (SELECT bundle_id, count(DISTINCT segment) AS segments, CAST(count(*) AS BIGINT) AS records, min(capture_id) AS first_capture_id FROM {v("captures")} GROUP BY 1),
+s AS (SELECT bundle_id, count(*) AS runs, CAST(sum(CASE WHEN contiguous THEN 1 ELSE 0 END) AS BIGINT) AS contiguous, count(DISTINCT route_key) AS covered FROM {v("state")} GROUP BY 1)
+SELECT c.*, s.runs, s.contiguous, s.covered, CAST(0 AS INTEGER) AS broken FROM c JOIN s ON c.bundle_id = s.bundle_id""",
+    "manifest_cross_check": f"""
+SELECT coalesce(s.filename, c.segment) AS filename, s.record_count, coalesce(c.n, 0) AS indexed, CASE WHEN s.filename IS NULL THEN 'undeclared' ELSE 'count_mismatch' END AS problem
+FROM (SELECT * FROM {v("segments")}) s FULL JOIN (SELECT segment, count(*) AS n FROM {v("captures")} GROUP BY 1) c ON s.filename = c.segment WHERE s.record_count IS DISTINCT FROM coalesce(c.n, 0)""",
+    "recovery_plan": f"""
+WITH e AS (SELECT segment || '.warc.gz' AS name, max(start_at + length) AS extent, CAST(substr(segment, 6, 1) AS INTEGER) AS n FROM {v("captures")} GROUP BY segment)
+SELECT name, CASE n WHEN 1 THEN 'truncate' ELSE 'fatal' END AS action, extent AS keep_bytes FROM e WHERE n IN (1, 2) UNION ALL SELECT 'lost.warc.gz', 'delete', 0 FROM e WHERE n = 3""",
+    "bundle_discovery": """
+SELECT array_to_string(list_transform(range(0, k % 5 + 1), lambda i: 'd' || CAST(k AS STRING)), '/') AS directory, CAST(k % 5 + 1 AS INTEGER) AS depth FROM (SELECT CAST(n_nationkey AS BIGINT) AS k FROM nation WHERE n_nationkey < 10) n WHERE k % 5 < 3""",
+    "identity_conflicts": """
+SELECT 'd' || CAST(o_orderkey % 500 AS STRING) AS directory, CAST(count(DISTINCT CASE WHEN o_orderkey % 1700 = 0 THEN -1 ELSE o_orderkey % 500 END) AS INTEGER) AS ids FROM orders GROUP BY 1 HAVING count(DISTINCT CASE WHEN o_orderkey % 1700 = 0 THEN -1 ELSE o_orderkey % 500 END) > 1""",
+    "import_totals": "SELECT a.action, count(*) AS bundles, CAST(sum(floor(o.o_totalprice)) AS BIGINT) AS bytes FROM (%PLAN%) a JOIN orders o ON a.pos = o.o_orderkey WHERE a.action IN ('import', 'resume') GROUP BY 1",
 }
+ORACLES["import_totals"] = ORACLES["import_totals"].replace("%PLAN%", ORACLES["plan_import"])

@@ -25,6 +25,6 @@ BROADCAST = "target_title string, action string, posted_at string, rating string
 LONG_FORM = "title string, published_at string, location string, body string"
 LIST = "id string, title string, visibility string, items array<struct<title:string,comment:string,entry_id:string,upstream_id:string>>"
 ROUTE = (
-    "key string, intent string, kind string, surface string, priority int, source string, enumeration string, safety_net boolean, "
-    "pagination struct<kind:string,step:int,first:int>, ordered boolean, requires array<string>"
+    "key string, intent string, kind string, surface string, priority int, source string, enumeration string, safety_net string, "
+    "pagination struct<kind:string,step:int,first:int>, ordered boolean, requires array<string>, template string"
 )

@@ -20,7 +20,12 @@ def base32_sha1(data: bytes) -> str:
 
 
 def header_block(first: bytes, headers: Iterable[Header]) -> bytes:
-    return first + CRLF + b"".join(f"{k}: {v}".encode() + CRLF for k, v in headers) + CRLF
+    lines = []
+    for name, value in headers:
+        if "\r" in value or "\n" in value:
+            raise ValueError(f"the value of {name} holds a line end")
+        lines.append(f"{name}: {value}".encode() + CRLF)
+    return first + CRLF + b"".join(lines) + CRLF
 
 
 def http_block(status: int, reason: str, headers: Sequence[Header], body: bytes) -> bytes:
@@ -32,6 +37,11 @@ def fields_block(fields: Iterable[Header]) -> bytes:
     return b"".join(f"{k}: {v}".encode() + CRLF for k, v in fields)
 
 
+def warcinfo(record_id: str, date: str, filename: str, fields: Iterable[Header]) -> bytes:
+    """The record at the head of a segment, which says what the segment is part of."""
+    return record("warcinfo", record_id, date, fields_block(fields), "application/warc-fields", [("WARC-Filename", filename)])
+
+
 def record(kind: str, record_id: str, date: str, block: bytes, content_type: str | None = None, headers: Iterable[Header] = ()) -> bytes:
     """One record: header, block, and the two line ends after it."""
     own = [("WARC-Type", kind), ("WARC-Record-ID", f"<{record_id}>"), ("WARC-Date", date), *headers]

@@ -156,12 +156,12 @@ def test_walks_end_at_gaps_and_cycles(spark):
 def test_invariants(spark):
     from pagestrata.functions.digests import EMPTY_SHA256
 
-    good = ("c", "s", 0, 1, "ok", "html", "2024-01-01T00:00:00Z", "x", None)
-    bad = (None, "", -1, 0, "odd", "x", "2024-01-01", None, "why")
-    empty = ("c", "s", 0, 1, "ok", "html", "2024-01-01T00:00:00Z", EMPTY_SHA256, None)
-    df = invariants.index_rules(spark.createDataFrame([good, bad, empty], "capture_id string, segment string, offset long, length long, verdict string, surface string, observed_at string, content_sha256 string, verdict_reason string"))
+    good = ("c", "r", "s", 0, 1, "u", "i", "k", "ok", "html", "raw", "2024-01-01T00:00:00Z", "x", None)
+    bad = (None, None, "", -1, 0, None, "i", None, "odd", "x", "cooked", "2024-01-01", None, "why")
+    empty = (*good[:12], EMPTY_SHA256, None)
+    df = invariants.index_rules(spark.createDataFrame([good, bad, empty], "capture_id string, warc_record_id string, segment string, offset long, length long, url string, intent string, route_key string, verdict string, surface string, capture_fidelity string, observed_at string, content_sha256 string, verdict_reason string"))
     broken = [r.broken for r in df.collect()]
-    assert broken[0] == [] and broken[2] == ["empty_not_ok"] and broken[1] == ["capture_id", "segment", "offset", "length", "verdict", "surface", "observed_at", "reason_only_unknown"]
+    assert broken[0] == [] and broken[2] == ["empty_not_ok"] and broken[1] == ["missing_capture_id", "missing_warc_record_id", "missing_url", "missing_route_key", "offset", "length", "verdict", "surface", "capture_fidelity", "observed_at", "reason_only_unknown"]
     keep, quarantined = invariants.quarantine(df)
     assert keep.count() == 1 and quarantined.count() == 2
     s = invariants.state_rules(spark.createDataFrame([(None, None, None, "full", True, True, [], "2024-01-01T00:00:00Z"), (1, None, "2024-01-01", "full", True, False, ["g"], None)], "claimed_count int, claimed_source string, floor_time string, enumeration string, advanced boolean, contiguous boolean, gaps array<string>, high_water_time string"))
