@@ -875,7 +875,7 @@ def bundle_discovery(spark, d):
             out.write(10)
             out.close()
     found = copying.find_bundles(spark, root)
-    return found.select(F.regexp_extract("directory", "(d[0-9].*)$", 1).alias("directory"), "depth")
+    return found.select(F.regexp_extract("directory", "/(d[0-9]+(/d[0-9]+)*)$", 1).alias("directory"), "depth")
 
 
 @query
