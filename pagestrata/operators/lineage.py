@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagestrata.storage import new_path
@@ -76,33 +76,35 @@ def chain_holes(state: DataFrame) -> DataFrame:
     return both.select("bundle_id", "route_key", "floor_from_bundle_id", kind.alias("hole")).where("hole is not null")
 
 
+def _proven(rows: Column) -> Column:
+    """Whether a route's rows (newest first) prove it without a hole: from the newest on, each contiguous run names the source of its floor, down to one that had no floor. A walk that meets no end within the rows is a cycle."""
+    row = lambda cur: F.get(F.filter(rows, lambda r: r["bundle_id"] == cur), 0)
+
+    def told(r: Column) -> Column:
+        return F.when(~F.coalesce(r["contiguous"], F.lit(False)), False).when(r["floor_time"].isNull(), True).when(r["source"].isNull(), False)
+
+    def step(walk: Column, _: Column) -> Column:
+        now = F.transform(F.array(row(walk["cur"])), lambda r: F.struct(r["source"].alias("cur"), told(r).alias("proven")))
+        return F.when(walk["proven"].isNotNull(), walk).otherwise(F.get(now, 0))
+
+    start = F.struct(F.get(rows, 0)["bundle_id"].alias("cur"), F.lit(None).cast("boolean").alias("proven"))
+    return F.coalesce(F.aggregate(rows, start, step)["proven"], F.lit(False))
+
+
 def chain_coverage(state: DataFrame) -> DataFrame:
     """Of each route in one chain (``pos`` counts from the newest bundle): reach, bundles, gaps, and whether it is proven contiguous.
 
-    The proof starts at the newest bundle that has the route and follows the floors' sources; it holds where a contiguous run had
-    no floor. A hole anywhere on the route breaks it. Routes that never had a high water need every run to be contiguous.
+    A hole anywhere on the route breaks the proof. Routes that never had a high water need every run to be contiguous. A route's rows,
+    one a bundle of the chain, are brought together once; walks and holes are worked out there.
     """
-    spark = state.sparkSession
-    view = f"state_{uuid.uuid4().hex}"
-    state.createOrReplaceTempView(view)
-    proven = _recursive(spark, f"""
-        WITH RECURSIVE proof(route_key, bundle_id, contiguous, floor_time, source, path) AS (
-          SELECT s.route_key, s.bundle_id, s.contiguous, s.floor_time, s.floor_from_bundle_id, array(s.bundle_id)
-          FROM {view} s JOIN (SELECT route_key, min(pos) AS pos FROM {view} GROUP BY route_key) f ON s.route_key = f.route_key AND s.pos = f.pos
-          UNION ALL
-          SELECT s.route_key, s.bundle_id, s.contiguous, s.floor_time, s.floor_from_bundle_id, array_append(p.path, s.bundle_id)
-          FROM proof p JOIN {view} s ON p.source = s.bundle_id AND p.route_key = s.route_key
-          WHERE p.contiguous AND p.floor_time IS NOT NULL AND NOT array_contains(p.path, s.bundle_id))
-        SELECT route_key, true AS proven FROM proof WHERE contiguous AND floor_time IS NULL GROUP BY route_key""")
-    gaps = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "gaps"))), lambda e: e["gaps"]))
-    total = state.groupBy("route_key").agg(
-        F.max("high_water_time").alias("newest"), F.min("low_water_time").alias("oldest"),
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "bundle_id"))), lambda e: e["bundle_id"]).alias("bundles"),
-        F.min("contiguous").alias("all_contiguous"), gaps.alias("gaps"),
+    row = F.struct("pos", "bundle_id", "contiguous", "floor_time", F.col("floor_from_bundle_id").alias("source"), "high_water_time", "gaps")
+    routes = state.groupBy("route_key").agg(
+        F.max("high_water_time").alias("newest"), F.min("low_water_time").alias("oldest"), F.min("contiguous").alias("all_contiguous"),
+        F.array_sort(F.collect_list(row)).alias("rows"),
     )
-    holes = chain_holes(state).groupBy("route_key").agg(F.count("*").alias("holes"))
-    out = total.join(proven, "route_key", "left").join(holes, "route_key", "left").withColumn("holes", F.coalesce("holes", F.lit(0)))
-    ok = F.when(F.col("newest").isNull(), F.col("all_contiguous")).otherwise(F.coalesce("proven", F.lit(False)))
+    rows = F.col("rows")
+    held = lambda r: F.exists(rows, lambda s: (s["bundle_id"] == r["source"]) & s["high_water_time"].eqNullSafe(r["floor_time"]))
+    holes = F.size(F.filter(rows, lambda r: r["source"].isNotNull() & ~held(r)))
+    out = routes.select("route_key", "newest", "oldest", F.transform(rows, lambda r: r["bundle_id"]).alias("bundles"), "all_contiguous", _proven(rows).alias("proven"), holes.cast("long").alias("holes"), F.flatten(F.transform(rows, lambda r: r["gaps"])).alias("gaps"))
+    ok = F.when(F.col("newest").isNull(), F.col("all_contiguous")).otherwise(F.col("proven"))
     return out.select("route_key", "newest", "oldest", "bundles", (ok & (F.col("holes") == 0)).alias("contiguous"), "holes", "gaps")
-
-
