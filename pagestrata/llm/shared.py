@@ -14,8 +14,9 @@ BROADCAST_ROWS = 1_000_000
 #: Keys with more than this part of all rows are dealt over salts; by counting, there are fewer such keys than this.
 HOT_KEYS = 1000
 
-#: Least and largest group in bytes of text; the largest takes a worker about 1 GB.
+#: Least and largest group in bytes of text; a group takes a worker about 16 times its size, so larger ones are made where executors have more memory for each core.
 GROUP_BYTES = (8 << 20, 64 << 20)
+GROUP_MEMORY = 16
 GROUPS_GROW_FROM = 32 << 30
 #: What a row counts beside its text, and what one task should read.
 ROW_BYTES = 64
@@ -71,9 +72,17 @@ def text_bytes(docs: DataFrame) -> int:
     return ROW_BYTES * rows + (size or 0)
 
 
-def group_size(total: int) -> int:
+def core_memory(spark: SparkSession) -> int:
+    """Bytes of an executor for each of its cores; 0 where the session doesn't say."""
+    conf = spark.sparkContext.getConf()
+    bytes_of = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    return bytes_of(conf.get("spark.executor.memory", "0b")) // int(conf.get("spark.executor.cores", "1"))
+
+
+def group_size(total: int, memory: int = 0) -> int:
     """Bytes for each group of documents whose groups all send to all hash ranges: it grows with the root of the input, so that the number of messages grows no faster than the input, up to what a task can hold."""
-    return int(min(GROUP_BYTES[1], max(GROUP_BYTES[0], GROUP_BYTES[0] * math.sqrt(total / GROUPS_GROW_FROM))))
+    most = max(GROUP_BYTES[1], memory // GROUP_MEMORY)
+    return int(min(most, max(GROUP_BYTES[0], GROUP_BYTES[0] * math.sqrt(total / GROUPS_GROW_FROM))))
 
 
 def groups_for(total: int, bytes_each: int, least: int = 1) -> int:

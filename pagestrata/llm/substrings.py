@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.llm import blobs
 from pagestrata.llm import textscan as ts
-from pagestrata.llm.shared import deal, group_size, groups_for, text_bytes
+from pagestrata.llm.shared import core_memory, deal, group_size, groups_for, text_bytes
 
 WINDOW = 50
 BLOCK = WINDOW // 2
@@ -209,7 +209,7 @@ def _cut(table: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
 def _run(docs: DataFrame, columns: list[str], keep_text: bool, group_bytes: int | None) -> DataFrame:
     """The result columns; column k of those carried is called ck."""
     total = text_bytes(docs)
-    group_bytes = group_bytes or group_size(total)
+    group_bytes = group_bytes or group_size(total, core_memory(docs.sparkSession))
     spread = 2 * docs.sparkSession.sparkContext.defaultParallelism
     groups = groups_for(total, group_bytes, spread)
     buckets = groups_for(total, 2 * group_bytes, spread)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from pagestrata.llm import blobs, bwt
 from pagestrata.llm import textscan as ts
-from pagestrata.llm.shared import deal, group_size, groups_for, text_bytes
+from pagestrata.llm.shared import core_memory, deal, group_size, groups_for, text_bytes
 
 WINDOW = 200
 ANCHOR = 32
@@ -424,7 +424,7 @@ def removals(docs: DataFrame, group_bytes: int | None = None, most_texts: int =
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
     docs = docs.select("doc_id", "text")
     total = text_bytes(docs)
-    group_bytes = group_bytes or group_size(total)
+    group_bytes = group_bytes or group_size(total, core_memory(docs.sparkSession))
     spread = 2 * docs.sparkSession.sparkContext.defaultParallelism
     groups = buckets = groups_for(total, group_bytes, spread)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -281,3 +281,14 @@ def test_clashing_columns_are_carried(spark, run):
     docs = frame(spark, some_texts(16, 16)).selectExpr("*", *(f"'{n}' as {n}" for n in names))
     out = run(docs)
     assert out.columns == docs.columns and {tuple(r)[2:] for r in out.collect()} == {tuple(names)}
+
+
+def test_groups_grow_with_the_root_of_the_input(spark):
+    from pagestrata.llm import shared
+
+    sizes = [shared.group_size(n) for n in (0, 1 << 30, 32 << 30, 128 << 30, 1 << 50)]
+    assert sizes == [8 << 20, 8 << 20, 8 << 20, 16 << 20, 64 << 20]
+    assert shared.group_size(100 << 40, 8 << 30) > 256 << 20  # executors of 8 GB a core
+    assert shared.core_memory(spark) >= 0
+    with pytest.raises(ValueError):
+        shared.groups_for(1 << 60, 1 << 10)
