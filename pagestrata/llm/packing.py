@@ -192,14 +192,22 @@ def fill_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[
         rest += [(i, a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
     rest.sort(key=lambda p: -p[2])
     lengths, total = [p[2] for p in rest], sum(p[2] for p in rest)
-    windows = math.ceil(total / capacity)
-    while rest:
+    few, windows = math.ceil(total / capacity) - 1, math.ceil(total / capacity)
+    fits: list[list[int]] = []
+    while rest and windows > few:
         dealt = difference(lengths, windows)
-        over = max(sum(lengths[k] for k in w) for w in dealt) - total / windows
-        if total / windows + over <= capacity:
-            return out + [[rest[k] for k in w] for w in dealt if w]
-        windows = max(windows + 1, math.ceil(total / (capacity - over)) if over < capacity / 2 else 0)
-    return out
+        mean = total / windows
+        over = max(sum(lengths[k] for k in w) for w in dealt) - mean
+        if mean + over <= capacity:
+            # enough windows; between these and what was too few, half as many more may do
+            fits, most_windows = dealt, windows
+        else:
+            few = windows
+        if fits:
+            windows = (few + most_windows) // 2
+        else:
+            windows = max(windows + 1, math.ceil(total / (capacity - over)) if over < capacity / 2 else 0)
+    return out + [[rest[k] for k in w] for w in fits if w]
 
 
 def _pack(table: pa.Table, kind: str, capacity: int, with_ids: bool) -> pa.Table:
