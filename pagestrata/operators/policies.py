@@ -13,6 +13,7 @@ FETCH_TYPES = ("capture",)
 SKIPPED_TYPES = ("page", "batch")
 IDLE_BATCHES = 3
 DERIVING_PREFIX = "interest."
+LIST_LIMITS = {"rows": 500, "pages": 30, "bad_rows": 100, "directories": 400, "routes": 40}
 QUOTA_NAME = "QuotaExceededError"
 QUOTA_WORDS = "(?i)quota|storage full|no space"
 
@@ -132,6 +133,11 @@ def idle_batches(batches: DataFrame, by: str, order: str, progressed: Column, li
     return network_down(batches, by, order, ~progressed, limit).withColumnsRenamed({"run": "idle", "down": "stalled"})
 
 
+def listed(rows: DataFrame, what: str, *order: str) -> DataFrame:
+    """The rows that a report shows of a list, the first in order; a report's feature, not a stage's."""
+    return rows.orderBy(*order).limit(LIST_LIMITS[what])
+
+
 def within_budget(batches: DataFrame, by: str, order: str, took_ms: str, budget_ms: int) -> DataFrame:
     """Batches that are begun: each drive goes on while the batches before took less than the budget, so the last one may pass it."""
     before = F.sum(took_ms).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

@@ -748,6 +748,15 @@ def within_budget(spark, d):
     return policies.within_budget(rows, "route_key", "pos", "took", 22_000).select("event_id", "spent_ms")
 
 
+@query
+def list_limits(spark, d):
+    """What reports show: captures, unlike ones, and routes."""
+    c = adapt(spark, d, "captures")
+    shown = [policies.listed(c.select(F.lit("rows").alias("what"), F.col("capture_id").alias("name")), "rows", "name"), policies.listed(c.where("verdict <> 'ok'").select(F.lit("bad_rows").alias("what"), F.col("capture_id").alias("name")), "bad_rows", "name"),
+             policies.listed(adapt(spark, d, "frontier").select(F.lit("routes").alias("what"), F.col("route_key").alias("name")).distinct(), "routes", "name")]
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
+
+
 @query
 def import_totals(spark, d):
     sizes = table(spark, d, "orders").select(F.col("o_orderkey").alias("pos"), F.floor("o_totalprice").alias("bytes"))

@@ -333,6 +333,9 @@ SELECT i.route_key, i.page, coalesce(bool_or(i.ts <= f.floor), false) AS reached
 WITH f AS (SELECT *, CASE WHEN seq % 3 = 0 THEN 'r' || CAST(seq % 40 AS STRING) END AS gate FROM {v("frontier")}),
 open AS (SELECT route_key FROM f GROUP BY 1 HAVING CAST(substr(route_key, 2) AS INTEGER) % 2 = 0 AND NOT bool_or(state = 'pending' AND route_key NOT IN ('r2', 'r4', 'r6')))
 SELECT seq, gate IS NULL OR gate IN (SELECT route_key FROM open) AS gate_open FROM f""",
+    "list_limits": f"""
+SELECT 'rows' AS what, name FROM (SELECT capture_id AS name FROM {v("captures")} ORDER BY 1 LIMIT 500) a UNION ALL SELECT 'bad_rows', name FROM (SELECT capture_id AS name FROM {v("captures")} WHERE verdict <> 'ok' ORDER BY 1 LIMIT 100) b
+UNION ALL SELECT 'routes', name FROM (SELECT DISTINCT route_key AS name FROM {v("frontier")} ORDER BY 1 LIMIT 40) c""",
     "within_budget": f"""
 SELECT event_id, spent_ms FROM (SELECT event_id, CAST(coalesce(sum(event_id % 5000) OVER (PARTITION BY route_key ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS spent_ms FROM {v("items")}) x WHERE spent_ms < 22000""",
     "route_order": """

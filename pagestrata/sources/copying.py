@@ -60,8 +60,8 @@ def copy_files(files: DataFrame, source: str, target: str) -> DataFrame:
     return files.select("name", "bytes").repartition(n, "name").mapInArrow(lambda it: _copy(it, source, target), _DONE_DDL)
 
 
-def find_bundles(spark: SparkSession, path: str, depth: int = MAX_DEPTH) -> DataFrame:
-    """Directories with a manifest or an index within ``depth`` levels, but not those within another bundle."""
+def find_bundles(spark: SparkSession, path: str, depth: int = MAX_DEPTH, most: int = MAX_DIRECTORIES) -> DataFrame:
+    """Directories with a manifest or an index within ``depth`` levels, but not those within another bundle; the first ``most`` of them by name."""
     base = spark._jvm.org.apache.hadoop.fs.Path(path).toString().split("://")[-1].removeprefix("file:").rstrip("/")
     files = bundle.list_files(spark, path).where(F.col("name").rlike("^(manifest\\.json|index-.*\\.ndjson)$"))
     rows = files.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("directory")).distinct()
@@ -69,7 +69,7 @@ def find_bundles(spark: SparkSession, path: str, depth: int = MAX_DEPTH) -> Data
     rows = rows.withColumn("depth", F.length(inner) - F.length(F.replace(inner, F.lit("/"), F.lit("")))).where(F.col("depth") <= depth)
     above = F.transform(F.sequence(F.lit(1), F.col("depth")), lambda k: F.array_join(F.slice(F.split("directory", "/"), F.lit(1), F.size(F.split("directory", "/")) - k), "/"))
     nested = rows.where("depth > 0").select("directory", F.explode(above).alias("outer")).join(rows.select(F.col("directory").alias("outer")), "outer", "left_semi")
-    return rows.join(nested.select("directory").distinct(), "directory", "left_anti").select("directory", "depth")
+    return rows.join(nested.select("directory").distinct(), "directory", "left_anti").select("directory", "depth").orderBy("directory").limit(most)
 
 
 def repair_plan(files: DataFrame, index: DataFrame) -> DataFrame:
