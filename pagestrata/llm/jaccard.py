@@ -86,6 +86,7 @@ def _set_keys(hashes: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarr
     return np.ascontiguousarray(np.stack([one, two], 1).astype(">u8")).view("S16").ravel()
 
 
+@ts.gives_back
 def _signatures(batches: Iterator[pa.RecordBatch], bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     rng = np.random.default_rng(20240229)
     factor = rng.integers(1, 1 << 63, bands * rows, dtype=np.uint64) | np.uint64(1)
@@ -162,6 +163,7 @@ def _roots(link: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
         left, right = new_left, new_right
 
 
+@ts.gives_back
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by band. Those whose set has a partner for which this is the first band that they share, and not both in one large group."""
     schema = pa.schema([("k", pa.binary()), ("g", pa.int64()), ("no", pa.int32())])
@@ -213,6 +215,7 @@ def _both_large(one: np.ndarray, two: np.ndarray) -> np.ndarray:
     return (one[:, None] == two[None, :]) & (one[:, None] != 0)
 
 
+@ts.gives_back
 def _ship(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each task in which a set is verified: its shingle hashes. Texts with another set than the one looked for are passed over, repeated ones of a task too."""
     schema = pa.schema([("g", pa.int64()), ("no", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("k", pa.binary()), ("copies", pa.int64()), ("large", pa.int64()), ("bands", pa.binary()), ("hashes", pa.binary())])
@@ -278,6 +281,7 @@ def _verify_many(no: int, sets: list[np.ndarray], bands: np.ndarray, large: np.n
     return out
 
 
+@ts.gives_back
 def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by task (and set); each task's sets are compared when its last row has come. A number of -1 says that all its pairs are: those of one block of a large group, or between two."""
     schema = pa.schema([("k", pa.binary()), ("other", pa.binary()), ("links", pa.int64())])

@@ -39,7 +39,7 @@ GROUP_BYTES = 2 << 20
 #: What is left of a document after whole windows is cut into pieces of this part of a window at most.
 CUTS = 4
 #: Words whose ids a worker keeps, from one task to the next; others are tokenised each time.
-CACHED_WORDS = 200_000
+CACHED_WORDS = 100_000
 
 _TOKENIZERS: dict = {}
 _WORDS: dict = {}
@@ -140,6 +140,7 @@ def _merger(tokens):
     return tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
 
 
+@ts.gives_back
 def _tokenise(batches: Iterator[pa.RecordBatch], path: str | None, kind: str) -> Iterator[pa.RecordBatch]:
     words = _WORDS.get((path, kind)) or _WORDS.setdefault((path, kind), WordIds(path, kind))
     end = np.array([END_ID], kind).tobytes()
@@ -210,6 +211,7 @@ def fill_windows(sizes: list[int], capacity: int = CAPACITY) -> list[list[tuple[
     return out + [[rest[k] for k in w] for w in fits if w]
 
 
+@ts.gives_back
 def _pack(table: pa.Table, kind: str, capacity: int, with_ids: bool) -> pa.Table:
     ids = [x.as_py() for x in table.column("ids")]
     width = np.dtype(kind).itemsize

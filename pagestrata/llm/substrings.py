@@ -76,6 +76,7 @@ def _by_bucket(g: int, keys: np.ndarray, seconds: np.ndarray | None, ids: np.nda
     return pa.Table.from_arrays([pa.array(some, pa.int32()), pa.array([g] * some.size, pa.int32()), *packed], schema=_PART)
 
 
+@ts.gives_back
 def _probes(table: pa.Table, buckets: int) -> pa.Table:
     """A group's distinct anchor hashes. Low bits: 1 it is a reference block here, 2 documents with different doc_id here have it."""
     words, rows = _words(table)
@@ -93,6 +94,7 @@ def _probes(table: pa.Table, buckets: int) -> pa.Table:
     return _by_bucket(g, keys, None, None, buckets)
 
 
+@ts.gives_back
 def _hits(table: pa.Table) -> pa.Table:
     """One hash range of all groups: tell each group which of its anchors are reference blocks that another document has too."""
     groups = table.column("g").to_numpy()
@@ -123,6 +125,7 @@ def _joined(table: pa.Table, column: str, ordered: bool) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *(open_(x.as_py()) for x in table.column(column))])
 
 
+@ts.gives_back
 def _extend(table: pa.Table, hits: pa.Table, buckets: int) -> pa.Table:
     """The distinct 50-word windows of a group that contain a hit, each with its smallest doc_id and whether a larger one has it here."""
     if not table.num_rows or not hits.num_rows:
@@ -151,6 +154,7 @@ def _windows(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndar
     return ts.window_hashes(words, WINDOW)[places], ts.window_hashes(words, WINDOW, 2)[places] & ~_ONE
 
 
+@ts.gives_back
 def _smallest(table: pa.Table) -> pa.Table:
     """One hash range of all groups: tell each group which of its windows a smaller doc_id than some of its own has, and that doc_id."""
     groups = table.column("g").to_numpy()
@@ -167,6 +171,7 @@ def _smallest(table: pa.Table) -> pa.Table:
     return _answers(groups, keys, seconds, ids, owner, len(lists))
 
 
+@ts.gives_back
 def _cut(table: pa.Table, answers: pa.Table, keep_text: bool) -> pa.Table:
     """The final rows of a group."""
     n = table.num_rows
@@ -218,9 +223,9 @@ def _run(docs: DataFrame, columns: list[str], keep_text: bool, group_bytes: int
     dealt = deal(named, groups, group_bytes).withColumn("rank", F.col("doc_id").cast("long")).repartition(groups_for(total, 2 * group_bytes, spread), "g")
     by_group = dealt.groupBy("g")
     probes = by_group.applyInArrow(lambda t: _probes(t, buckets), _PART_DDL)
-    hits = probes.groupBy("bucket").applyInArrow(_hits, _ANSWER_DDL)
+    hits = probes.groupBy("bucket").applyInArrow(lambda t: _hits(t), _ANSWER_DDL)
     windows = by_group.cogroup(hits.groupBy("g")).applyInArrow(lambda a, b: _extend(a, b, buckets), _PART_DDL)
-    answers = windows.groupBy("bucket").applyInArrow(_smallest, _ANSWER_DDL)
+    answers = windows.groupBy("bucket").applyInArrow(lambda t: _smallest(t), _ANSWER_DDL)
     carried = "".join(f", c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
     fields = f"doc_id {kind}{', text string' if keep_text else ''}{carried}, n_words long, n_removed long, kept_sha256 string"
     return by_group.cogroup(answers.groupBy("g")).applyInArrow(lambda a, b: _cut(a, b, keep_text), fields)

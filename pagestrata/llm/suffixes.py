@@ -129,6 +129,7 @@ def _group(table: pa.Table) -> int:
     return table.column("g")[0].as_py() if table.num_rows else 0
 
 
+@ts.gives_back
 def _probes(table: pa.Table, buckets: int) -> pa.Table:
     """A group's distinct segments, by anchor; bit 1 of a key: more than once here."""
     found = [(s.hash, s.key) for s in _segments(table)]
@@ -156,6 +157,7 @@ def _answers(groups: np.ndarray, owner: np.ndarray, keys: np.ndarray, ranges: np
     return pa.Table.from_arrays([pa.array(groups[some], pa.int32()), *(pa.array(x, pa.binary()) for x in (packed, *more))], schema=_ANSWER)
 
 
+@ts.gives_back
 def _sift(table: pa.Table, most_texts: int) -> pa.Table:
     """One hash range: which segments are repeated as they are (FULL), and which must be compared (SHIP, one copy of each text of an anchor)."""
     groups = table.column("g").to_numpy()
@@ -195,6 +197,7 @@ def _code(told: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(told[at] & ~_CODE == keys, told[at] & _CODE, U64(0))
 
 
+@ts.gives_back
 def _ship(table: pa.Table, answers: pa.Table, buckets: int) -> pa.Table:
     """One copy of each segment that must be compared, and the distinct windows of those that are counted (low bit: more than once here)."""
     told = _told(answers)
@@ -334,6 +337,7 @@ def _count(table: pa.Table) -> pa.Table:
     return _answers(table.column("g").to_numpy(), owner, keys, seconds=seconds)
 
 
+@ts.gives_back
 def _compare(table: pa.Table) -> pa.Table:
     """One hash range: the windows that are counted, and the repeated runs of the segments that are compared."""
     text = pc.is_valid(table.column("texts"))
@@ -374,6 +378,7 @@ def _align(table: pa.Table) -> pa.Table:
     return _answers(groups, owner[which], keys[which] & ~_CODE, (lo.astype(U64) << U64(32)) | hi.astype(U64))
 
 
+@ts.gives_back
 def _cut(table: pa.Table, answers: pa.Table) -> pa.Table:
     n = table.num_rows
     ranged, paired = (pc.is_valid(answers.column(c)) for c in ("ranges", "seconds"))
@@ -433,5 +438,5 @@ def removals(docs: DataFrame, group_bytes: int | None = None, most_texts: int =
     sifted = probes.groupBy("bucket").applyInArrow(lambda t: _sift(t, most_texts), _ANSWER_DDL)
     shipped = by_group.cogroup(sifted.groupBy("g")).applyInArrow(lambda a, b: _ship(a, b, buckets), _PART_DDL)
     # a fixed number of tasks: packed texts look too small to be dealt out by their bytes
-    compared = shipped.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_compare, _ANSWER_DDL)
-    return by_group.cogroup(sifted.unionByName(compared).groupBy("g")).applyInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    compared = shipped.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _compare(t), _ANSWER_DDL)
+    return by_group.cogroup(sifted.unionByName(compared).groupBy("g")).applyInArrow(lambda a, b: _cut(a, b), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -7,7 +7,10 @@ UTF-8, so splitting bytes equals splitting code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+from inspect import isgeneratorfunction
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +23,26 @@ LONG_WORD = 512
 # what Arrow frees goes back to the system: workers idle for long beside the JVM
 pa.set_memory_pool(pa.system_memory_pool())
 
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)  # where the C library has it
+
+
+def gives_back(work: Callable) -> Callable:
+    """A worker's function, after which freed memory goes back to the system too."""
+    if isgeneratorfunction(work):
+        @wraps(work)
+        def run(*args):
+            yield from work(*args)
+            _trim(0)
+    else:
+        @wraps(work)
+        def run(*args):
+            try:
+                return work(*args)
+            finally:
+                _trim(0)
+    return run
+
+
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

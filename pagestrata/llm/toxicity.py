@@ -120,6 +120,7 @@ def train(blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]], share: float)
     return (w * ratio).astype(np.float32), float(b)
 
 
+@ts.gives_back
 def _fit(batches: Iterator[pa.RecordBatch], share: float) -> Iterator[pa.RecordBatch]:
     blocks, used = [], 0
     for batch in batches:
@@ -151,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     return np.frombuffer(rows[0].weights, np.float32), rows[0].intercept
 
 
+@ts.gives_back
 def _score(batches: Iterator[pa.RecordBatch], weights: np.ndarray, intercept: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
