@@ -18,7 +18,7 @@ Defined cases: a null text is empty (the SHA-256 is that of no bytes); texts und
 cut whole (it is scanned in pieces, each window start in one of them); matches never cross documents but may be in one; rows with
 equal or null doc_id are documents of their own, and many copies of one row are dealt over groups; an empty table gives an empty
 result; extra columns are ignored. Segments of one anchor (64 bits) are told apart by 61-bit hashes of their text, counted windows
-by 127-bit ones.
+by 95-bit ones.
 """
 
 from __future__ import annotations
@@ -105,10 +105,10 @@ class Segments:
         return ts.mix((total[at + size] - total[at]) * down[at])
 
     def windows(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first byte, hash, another hash with low bit 0) of the windows of some segments."""
+        """(first byte, hash, another hash of 31 bits above a low bit of 0) of the windows of some segments."""
         size = self.end[chosen] - self.start[chosen] - WINDOW + 1
         at = np.repeat(self.start[chosen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return at, self._hashes(at - self.base, WINDOW), self._hashes(at - self.base, WINDOW, 2) & ~U64(1)
+        return at, self._hashes(at - self.base, WINDOW), self._hashes(at - self.base, WINDOW, 2) >> U64(33) << U64(1)
 
 
 def _slices(table: pa.Table):
