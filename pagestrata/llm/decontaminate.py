@@ -112,7 +112,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     held = held.select("doc_id", "fp", "m", "start", F.slice("hashes", F.col("start") + 1, F.col("m")).alias("part"))
     # windows of the same shingles, as leaks of one item have them, are fingerprinted and compared once
     held = written(held, "held")
-    parts = written(held.groupBy("m", F.xxhash64("part").alias("part_fp")).agg(F.first("part").alias("part")), "parts")
+    parts = held.groupBy("m", F.xxhash64("part").alias("part_fp")).agg(F.first("part").alias("part"))
     printed = written(parts.withColumn("print", simhash("part")), "prints")
 
     probes = printed.select("m", "part_fp", "print", F.explode(blocks(F.col("print"))).alias("block")).select("m", "part_fp", "print", "block.no", "block.bits")
@@ -121,8 +121,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     index = index.select("m", "item_fp", "item_print", "block.no", F.explode(neighbours(F.col("block.bits"), radius)).alias("bits"))
     # far larger than the optimizer takes it for
     near = probes.hint("merge").join(index, ["m", "no", "bits"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= radius)
-    near = written(near.select("m", "part_fp", "item_fp").distinct(), "near")
-    pairs = near.join(printed.select("m", "part_fp", "part"), ["m", "part_fp"]).join(texts.select("m", "item_fp", "hashes"), ["m", "item_fp"])
+    pairs = near.select("m", "part_fp", "item_fp").distinct().join(printed.select("m", "part_fp", "part"), ["m", "part_fp"]).join(texts.select("m", "item_fp", "hashes"), ["m", "item_fp"])
     exact = pairs.withColumn("similarity", weighted_jaccard(F.col("part"), F.col("hashes"))).where(F.col("similarity") >= similarity - 1e-9)
     exact = exact.join(items.select("m", "item_fp", "item").distinct(), ["m", "item_fp"])
     exact = written(exact.select("m", "part_fp", "item", "similarity"), "exact")

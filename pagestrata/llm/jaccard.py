@@ -323,7 +323,8 @@ def _large_groups(banded: DataFrame, large: DataFrame) -> DataFrame | None:
     """k, large (the group's number), blocks and block of the sets that are connected by large bands."""
     if not large.limit(1).count():
         return None
-    groups = components(banded.join(small_or_plain(large.select("band", "low")), "band").select(F.col("k").alias("a"), F.col("low").alias("b")))
+    edges = spread_join(banded, large.select("band", "low", F.col("n").alias("times")), "band", F.xxhash64("k"))
+    groups = components(edges.select(F.col("k").alias("a"), F.col("low").alias("b")))
     return groups.select(F.col("node").alias("k"), F.xxhash64("root").alias("large"))
 
 
@@ -340,7 +341,7 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
     banded = sets.select("k", "size", F.posexplode("bands").alias("no", "band"))
     shared = written(banded.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("m"), F.min("k").alias("low")).where("n > 1"), "bands")
     too_large = (F.col("n") > block_sets) | (F.col("m") > block_shingles)
-    hits = banded.join(shared.select("band", too_large.alias("over")), "band")
+    hits = spread_join(banded, shared.select("band", too_large.alias("over"), F.col("n").alias("times")), "band", F.xxhash64("k"))
     listed = hits.groupBy("k").agg(F.collect_list(F.when(~F.col("over"), F.col("no"))).alias("nos"))
     groups = _large_groups(banded, shared.where(too_large))
     none = F.lit(0).cast("long")
@@ -357,8 +358,8 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
     zero = F.lit(0)
     tasks = tasks.select("k", task(F.col("g"), F.col("no"), zero, zero, zero).alias("task"))
     if groups is not None:
-        whole = candidates.where("large <> 0").groupBy("large").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("size") / block_shingles)).alias("blocks"))
-        blocked = candidates.where("large <> 0").join(small_or_plain(whole), "large").withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
+        whole = candidates.where("large <> 0").groupBy("large").agg(F.greatest(F.ceil(F.count("*") / block_sets), F.ceil(F.sum("size") / block_shingles)).alias("blocks"), F.count("*").alias("times"))
+        blocked = spread_join(candidates.where("large <> 0"), written(whole, "blocks"), "large", F.xxhash64("k")).withColumn("block", F.pmod(F.xxhash64("k"), F.col("blocks")))
         blocked = blocked.select("k", "large", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("x"))
         tasks = tasks.unionByName(blocked.select("k", task(F.col("large"), F.lit(-1), F.least("block", "x"), F.greatest("block", "x"), F.col("block")).alias("task")))
     shipped = candidates.select("k", "id", "fp", "copies", "large", "bands").join(tasks.groupBy("k").agg(F.collect_list("task").alias("tasks")), "k")
@@ -377,7 +378,9 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
     classed = spread_join(linked, smallest, "root", F.xxhash64("k")).select("k", "class_id", F.coalesce("links", none).alias("links"), "copies")
     alone = sets.where("copies > 1").join(linked.select("k"), "k", "left_anti").select("k", F.col("id").alias("class_id"), none.alias("links"), "copies")
     by_set = written(classed.unionByName(alone).select("k", "class_id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("copies").alias("times")), "by_set")
-    out = spread_join(signed.select("id", "fp", "k"), by_set, "k", F.monotonically_increasing_id(), "left")
+    out = spread_join(signed.where("k is not null").select("id", "k"), by_set, "k", F.monotonically_increasing_id(), "left").select("id", "class_id", "n_links")
+    # texts without shingles have no key, by which they would all meet in one task
+    out = out.unionByName(signed.where("k is null").select("id", F.col("id").alias("class_id"), none.alias("n_links")))
     real = lambda c: F.when(c != NO_ID, c).cast(kind)
     return out.select(real(F.col("id")).alias("doc_id"), real(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("n_links", none).alias("n_links"))
 
@@ -385,4 +388,5 @@ def link_documents(docs: DataFrame, similarity: float = SIMILARITY, recall: floa
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The documents without all but the smallest doc_id of each class, with their own columns. Documents without doc_id, or of equal one, all stay if their class's smallest id is theirs."""
     classes = link_documents(docs, similarity, recall).where("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(small_or_plain(written(classes, "others")), "doc_id", "left_anti").select(*docs.columns)
+    others = small_or_plain(written(classes, "others"))
+    return docs.where("doc_id is not null").join(others, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id is null"))

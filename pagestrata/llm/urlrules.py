@@ -112,7 +112,9 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: tuple = RULES) -> DataFr
     parsed = spark.sql(parsed_sql(view, rules))
     spark.catalog.dropTempView(view)
     counted = outcomes.where("page_id is not null").groupBy("page_id").agg(F.count("bad").alias("n"), F.sum("bad").alias("bad"))
-    hosts = parsed.join(counted, "page_id", "left").groupBy("host").agg(F.count("*").alias("times"), F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"))
+    told = parsed.join(counted, "page_id").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    number = lambda c: F.coalesce(c, F.lit(0)).cast("double").alias(c)
+    hosts = parsed.groupBy("host").agg(F.count("*").alias("times")).join(told, "host", "left").select("host", "times", number("n"), number("bad"))
     poor = written(poor_hosts(hosts).withColumn("poor", F.lit(True)), "poor")
     few = poor.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     known = parsed.join(F.broadcast(poor.drop("times")), "host", "left") if few else spread_join(parsed, poor, "host", F.xxhash64("page_id", "path"), "left")
