@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pagestrata.llm import textscan as ts
 from pagestrata.llm.shared import deal, groups_for, small_batches, text_bytes

@@ -29,7 +29,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from pagestrata.llm import blobs, bwt
 from pagestrata.llm import textscan as ts
