@@ -38,7 +38,7 @@ GROUP_BYTES = 2 << 20
 #: What is left of a document after whole windows is cut into pieces of this part of a window at most.
 CUTS = 4
 #: Words whose ids a worker keeps, from one task to the next; others are tokenised each time.
-CACHED_WORDS = 100_000
+CACHED_WORDS = 50_000
 
 _TOKENIZERS: dict = {}
 _WORDS: dict = {}

@@ -15,9 +15,9 @@ BROADCAST_ROWS = 1_000_000
 HOT_KEYS = 1000
 
 #: Least and largest group in bytes of text; a group takes a worker about 16 times its size, so larger ones are made where executors have more memory for each core.
-GROUP_BYTES = (4 << 20, 64 << 20)
+GROUP_BYTES = (2 << 20, 64 << 20)
 GROUP_MEMORY = 16
-GROUPS_GROW_FROM = 8 << 30
+GROUPS_GROW_FROM = 2 << 30
 #: What a row counts beside its text, and what one task should read.
 ROW_BYTES = 64
 TASK_BYTES = 64 << 20

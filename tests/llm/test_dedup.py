@@ -286,8 +286,8 @@ def test_clashing_columns_are_carried(spark, run):
 def test_groups_grow_with_the_root_of_the_input(spark):
     from pagestrata.llm import shared
 
-    sizes = [shared.group_size(n) for n in (0, 1 << 30, 8 << 30, 32 << 30, 1 << 50)]
-    assert sizes == [4 << 20, 4 << 20, 4 << 20, 8 << 20, 64 << 20]
+    sizes = [shared.group_size(n) for n in (0, 1 << 30, 2 << 30, 8 << 30, 1 << 50)]
+    assert sizes == [2 << 20, 2 << 20, 2 << 20, 4 << 20, 64 << 20]
     assert shared.group_size(100 << 40, 8 << 30) > 256 << 20  # executors of 8 GB a core
     assert shared.core_memory(spark) >= 0
     with pytest.raises(ValueError):
