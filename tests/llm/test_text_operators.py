@@ -55,6 +55,34 @@ def test_quality_scores_are_mean_log_ratios(spark):
             assert r.kept == (not plain_counts(texts[r.doc_id])[-1] and want >= quality.THRESHOLD)
 
 
+def test_quality_target_counts_all_labels(spark):
+    """Where all documents are trusted, over 1,000,000 of them too, the target is the corpus."""
+    docs = spark.range(1_000_300).selectExpr("id as doc_id", "concat('w', id % 100003, ' v') as text")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    assert not quality.log_ratios(docs, labels, 1 << 16).any()
+
+
+@pytest.mark.parametrize("stable", [True, False])
+def test_quality_of_many_labels_equals_that_of_few(spark, monkeypatch, stable):
+    """Trusted rows are found by their places; where rows come in another order each time, by a join of the texts."""
+    texts = some_texts(13) * 2
+    ids = [None if i % 7 == 0 else i // 3 for i in range(len(texts))]
+    labels = spark.createDataFrame([(i, int(i % 4 > 0), 0) for i in range(0, len(texts), 2)] + [(2, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = frame(spark, texts, ids).repartition(5, "text")
+    few = quality.log_ratios(docs, labels, 1 << 16)
+
+    def reordered(batches):
+        for batch in batches:
+            yield batch.take(np.random.default_rng().permutation(batch.num_rows))
+
+    joins = []
+    by_join = quality._sums_by_join
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(quality, "_sums_by_join", lambda *a: joins.append(1) or by_join(*a))
+    many = quality.log_ratios(docs if stable else docs.coalesce(1).mapInArrow(reordered, docs.schema), labels, 1 << 16)
+    assert few.any() and (many == few).all() and len(joins) == (not stable)
+
+
 def test_quality_keeps_clashing_columns_and_repeated_rows(spark):
     texts = ["some plain words that go on for a while and never repeat", None, ""] * 3
     names = ["score", "kept", "n_words", "base_failed", "c0", "whole_text"]
